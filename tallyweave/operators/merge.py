@@ -37,7 +37,7 @@ def diff3(base: str, local: str, remote: str) -> tuple[str, bool]:
     while n < len(edits):
         start, end, group = edits[n][0], edits[n][1], [edits[n]]
         n += 1
-        while n < len(edits) and (edits[n][0] < end or edits[n][0] == start or edits[n][0] == end and edits[n][2] != group[-1][2]):
+        while n < len(edits) and (edits[n][0] < end or edits[n][0] == start):
             end = max(end, edits[n][1])
             group.append(edits[n])
             n += 1

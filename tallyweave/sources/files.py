@@ -28,7 +28,8 @@ def scan_manifest(spark: SparkSession, root: str, tenant_id: str | None, vault_i
     """Manifest rows of the regular files under ``root`` that the rules let pass.
 
     Contents are read only to be hashed, and not at all where a prior row has the same size and mtime. Clocks come from the
-    prior row, else they are empty; the file system's inode is not shown to Spark and stays null.
+    prior row, else they are empty; the file system's inode is not shown to Spark and stays null, and Spark's scan passes
+    over files of no bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = files.withColumnRenamed("path", "__uri").select(
