@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import vc_compare
@@ -27,11 +27,8 @@ def _same(a: str, b: str) -> Column:
     return F.coalesce(F.col(a)["content_hash"] == F.col(b)["content_hash"], F.lit(False))
 
 
-def decide(local: str = "local", remote: str = "remote", indexed: str = "indexed") -> Column:
-    """struct(action, kind) from three nullable row structs; kind is null where there is no conflict."""
-    states = F.concat(_state(local), _state(remote), _state(indexed))
-    lr, li, ri = _same(local, remote), _same(local, indexed), _same(remote, indexed)
-    order = vc_compare(F.col(local)["vector_clock"], F.col(remote)["vector_clock"])
+def decide(states: Column, lr: Column, li: Column, ri: Column, order: Column) -> Column:
+    """struct(action, kind) from the three states (P, T or N each), content equalities and clock order; kind is null without conflict."""
 
     def is_(*names: str) -> Column:
         return states.isin(*names)
@@ -41,10 +38,10 @@ def decide(local: str = "local", remote: str = "remote", indexed: str = "indexed
     fork, gone = do("conflict_fork", "concurrent"), "modified_deleted"
     both_changed = F.when(lr, do("skip")).when(order == "before", do("download")).when(order == "after", do("upload")).otherwise(fork)
     return (
-        F.when(is_("PNN"), do("upload"))
+        F.when(is_("PPP"), F.when(li & ri, do("skip")).when(ri, do("upload")).when(li, do("download")).otherwise(both_changed))
+        .when(is_("PNN"), do("upload"))
         .when(is_("NPN", "NPT"), do("download"))
         .when(is_("PPN"), choose(lr, do("skip"), fork))
-        .when(is_("PPP"), F.when(li & ri, do("skip")).when(ri, do("upload")).when(li, do("download")).otherwise(both_changed))
         .when(is_("TPP"), choose(ri, do("delete_remote"), do("download", gone)))
         .when(is_("PTP"), choose(li, do("delete_local"), do("upload", gone)))
         .when(is_("PNT"), choose(li, do("skip"), do("upload")))
@@ -74,23 +71,53 @@ def sides(local: DataFrame, remote: DataFrame, indexed: DataFrame) -> DataFrame:
     return tagged.groupBy(*KEY).agg(pick("local"), pick("remote"), pick("indexed"))
 
 
-def reconcile(local: DataFrame, remote: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Action of every path of three snapshots: KEY, action, rename_to, server_version, conflict.
+def _decided(local: DataFrame, remote: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The sides of every key with what is decided about them (__d)."""
+    known = sides(local, remote, indexed).withColumns(
+        {
+            "__st": F.concat(_state("local"), _state("remote"), _state("indexed")), "__lr": _same("local", "remote"), "__li": _same("local", "indexed"), "__ri": _same("remote", "indexed"),
+            "__order": vc_compare(F.col("local")["vector_clock"], F.col("remote")["vector_clock"]),
+        }
+    )
+    return known.withColumn("__d", decide(*map(F.col, ("__st", "__lr", "__li", "__ri", "__order"))))
 
-    ``server_version`` is the remote row if there is one; ``conflict`` has its kind and the three hashes. An empty snapshot
-    is fine; a null tenant is a tenant.
-    """
-    decided = sides(local, remote, indexed).withColumn("__d", decide())
+
+def _actions(decided: DataFrame, path: Column, action: Column, rename_to: Column) -> DataFrame:
     h = lambda side: F.col(side)["content_hash"].alias(f"{side.replace('indexed', 'base')}_hash")
     return decided.select(
-        *KEY,
-        F.col("__d.action").alias("action"),
-        F.lit(None).cast("string").alias("rename_to"),
+        *SCOPE,
+        path.alias("path"),
+        action.alias("action"),
+        rename_to.cast("string").alias("rename_to"),
         F.col("remote").alias("server_version"),
         F.when(F.col("__d.kind").isNotNull(), F.struct(F.col("__d.kind").alias("kind"), h("local"), h("remote"), h("indexed"))).alias("conflict"),
     )
 
 
+def reconcile(local: DataFrame, remote: DataFrame, indexed: DataFrame, fold: bool = False) -> DataFrame:
+    """Action of every path of three snapshots: KEY, action, rename_to, server_version, conflict.
+
+    ``server_version`` is the remote row if there is one; ``conflict`` has its kind and the three hashes. An empty snapshot
+    is fine; a null tenant is a tenant. With ``fold`` the rows are those of fold_renames, found in the same pass: rows that
+    may pair meet in a window over their (inode, hash), all others are dealt by path, and nothing is joined back.
+    """
+    decided = _decided(local, remote, indexed)
+    action, path = F.col("__d.action"), F.col("path")
+    if not fold:
+        return _actions(decided, path, action, F.lit(None))
+    file = F.when(action == "upload", F.col("local")).when(action == "delete_remote", F.col("indexed"))
+    able = file["inode"].isNotNull()
+    keyed = decided.withColumns({"__inode": F.when(able, file["inode"]), "__file": F.when(able, file["content_hash"]).otherwise(path)})
+    w = Window.partitionBy(*SCOPE, "__inode", "__file")
+    last = lambda name: F.max(F.when((action == name) & F.col("__inode").isNotNull(), path)).over(w)
+    paired = keyed.withColumns({"__new": last("upload"), "__old": last("delete_remote")})
+    both = F.col("__new").isNotNull() & F.col("__old").isNotNull()
+    renamed, freed = both & (action == "upload") & (path == F.col("__new")), both & (action == "delete_remote") & (path == F.col("__old"))
+    return _actions(
+        paired, F.when(renamed, F.col("__old")).otherwise(path), F.when(renamed, "rename_remote").when(freed, "skip").otherwise(action), F.when(renamed, path)
+    )
+
+
 def detect_renames(prior: DataFrame, current: DataFrame) -> DataFrame:
     """SCOPE, from_path, to_path, inode, content_hash: equal (inode, hash), the old path gone, the new one new.
 
@@ -108,7 +135,8 @@ def fold_renames(actions: DataFrame, local: DataFrame, indexed: DataFrame) -> Da
     """Actions in which an upload and a remote deletion of one (inode, hash) become a remote rename.
 
     The upload's row turns to rename_remote with the old path and ``rename_to`` the new one; the deletion's turns to skip
-    and keeps its path. Of several paths with one key the largest counts, on either side.
+    and keeps its path. Of several paths with one key the largest counts, on either side. For actions that are not at
+    hand yet, ``reconcile(..., fold=True)`` gives the same rows without joins.
     """
     file = [*SCOPE, "inode", "content_hash"]
     rows = lambda action, snapshot: join_on(actions.where(F.col("action") == action).select(*KEY), snapshot.where("inode is not null").select(*KEY, "inode", "content_hash"), KEY, "inner")

@@ -23,8 +23,7 @@ def three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local, remote, indexed = three(spark, sf_dir)
-    return reconcile.fold_renames(reconcile.reconcile(local, remote, indexed), local, indexed)
+    return reconcile.reconcile(*three(spark, sf_dir), fold=True)
 
 
 #: The decision table over outer joins, and rename folding, as the oracle sees them.
@@ -87,6 +86,12 @@ def reconcile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {_ACTIONS} SELECT * FROM actions")
 def fold_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local, remote, indexed = three(spark, sf_dir)
+    return _flat(reconcile.fold_renames(reconcile.reconcile(local, remote, indexed), local, indexed))
+
+
+@register(f"WITH {_ACTIONS} SELECT * FROM actions")
+def reconcile_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(actions(spark, sf_dir))
 
 
