@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
+import re
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,31 +14,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens in a sequence, open bins of a packer, rows that one packer takes, words that a worker remembers.
-CAPACITY, OPEN_BINS, ROWS_PER_PACKER, REMEMBERED = 2048, 2048, 50_000, 400_000
+#: Tokens in a sequence, open bins of a packer, rows that one packer takes, words and parts of them that a worker remembers.
+CAPACITY, OPEN_BINS, ROWS_PER_PACKER, REMEMBERED, REMEMBERED_PARTS = 2048, 2048, 50_000, 200_000, 600_000
+#: Pieces that are put in order, longest first, before they are placed one by one.
+LOOK_AHEAD = 2048
+
+
+#: Stretches of plain characters (ASCII and composed Latin letters, whose lower case is one letter each) and what the
+#: vocabulary's own pattern cuts them into once they are lower-cased.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PLAIN_TEXT = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_MARKS = re.compile("[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+_PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
 class WordIds(dict):
-    """Token ids of white-space-free stretches as little-endian bytes, remembered up to a bound.
+    """Token ids of stretches between ASCII white space, as little-endian bytes, remembered up to a bound.
 
-    The vocabulary drops ASCII white space and no pre-token crosses it, so a text's ids are those of its stretches.
+    The vocabulary drops ASCII white space and no pre-token crosses it, so a text's ids are those of its stretches; a plain
+    stretch's ids are those of its parts, which repeat far more often. Plain texts are cut into parts as a whole. Anything
+    else goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task a core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encode(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        cut, whole = [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                cut.append((word, _PARTS.findall(text.lower())))
+            else:
+                whole.append((word, text))
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts.clear()
+        new = list({p for _, parts in cut for p in parts if p not in self.parts})
+        self.parts.update(zip(new, self.encoded(new), strict=True))
+        for word, parts in cut:
+            self[word] = b"".join([self.parts[p] for p in parts])
+        self.update(zip([w for w, _ in whole], self.encoded([t for _, t in whole]), strict=True))
+
+    def plain_ids(self, texts: list[str]) -> list[bytes]:
+        split = [_MARKS.sub(r" \g<0> ", t.lower()).split() for t in texts]
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts.clear()
+        new = list({p for parts in split for p in set(parts) if p not in self.parts})
+        if new:
+            self.parts.update(zip(new, self.encoded(new), strict=True))
+        return [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
 
-    def ids(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
+    def stretch_ids(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self) > REMEMBERED:
             self.clear()
-        new = [w for w in set(words) if w not in self]
+        new = {w for words in split for w in set(words) if w not in self}
         if new:
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for w, e in zip(new, encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(self.__getitem__, words))
+            self.learn(list(new))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        plain = [_PLAIN_TEXT.fullmatch(t) is not None and "'" not in t and "<|" not in t for t in texts]
+        one, other = iter(self.plain_ids([t for t, p in zip(texts, plain, strict=True) if p])), iter(self.stretch_ids([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(one if p else other) for p in plain]
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -54,11 +103,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 taken, piece, data = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = words.ids(text or "") + end
+                for i, ids in enumerate(words.ids([t or "" for t in part.column(1).to_pylist()])):
+                    ids += end
                     for n, begin in enumerate(range(0, len(ids), step)):
                         taken.append(i)
                         piece.append(n)
@@ -111,7 +160,7 @@ def pack_pieces(pieces: DataFrame, rows: int, capacity: int = CAPACITY, open_bin
     """``pieces`` (with doc_id, piece, length <= ``capacity``) with ``sequence_id`` and ``offset``.
 
     ``rows`` tells about how many there are. They are dealt by hash to one packer for each ``rows_per_packer``; each
-    packs its own in hashed order with ``open_bins`` open bins, so memory is bounded and a rerun of a lost
+    packs its own in hashed order, LOOK_AHEAD at a time longest first, with ``open_bins`` open bins, so memory is bounded and a rerun of a lost
     packer gives the same sequences. Ties and repeated rows are packed like any others; no rows give no rows.
     """
     packers = max(1, math.ceil(rows / rows_per_packer))
@@ -121,33 +170,22 @@ def pack_pieces(pieces: DataFrame, rows: int, capacity: int = CAPACITY, open_bin
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        queue: list[int] = []
-
-        placing = None
+        arriving: deque[int] = deque()
+        places = best_fit(iter(arriving.popleft, None), capacity, open_bins)
         for batch in batches:
-            queue.extend(reversed(batch.column("length").to_pylist()))
-            n = len(queue)
-            placing = placing or best_fit(_Feed(queue), capacity, open_bins)
-            placed = [next(placing) for _ in range(n)]
+            lengths = batch.column("length").to_pylist()
+            found: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+            for at in range(0, len(lengths), LOOK_AHEAD):
+                order = sorted(range(at, min(at + LOOK_AHEAD, len(lengths))), key=lambda i: (-lengths[i], i))
+                arriving.extend(lengths[i] for i in order)
+                for i in order:
+                    found[i] = next(places)
             columns = [batch.column(c) for c in names[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([base + p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([base + p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names)
 
     return dealt.mapInArrow(pack, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long")
 
 
-class _Feed:
-    """Lengths that arrive batch by batch, as one stream."""
-
-    def __init__(self, queue: list[int]):
-        self.queue = queue
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return self.queue.pop()
-
-
 def packed_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = False, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Every document packed: its pieces with ids' CRC-32 (and the ids, if kept), sequence and offset."""
     pieces = token_pieces(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids"))
