@@ -197,7 +197,7 @@ def mix_sources(
         _slots(shares, shards, shard_slots, block, seed), "source_no int, round long, block long, take long, shard long, position long"
     )
     slots = (
-        drawn.join(pieces, ["source_no", "block"])
+        drawn.join(pieces.hint("merge"), ["source_no", "block"])  # the slots are as many as the blocks; Spark guesses fewer
         .withColumn("given", F.least(F.col("words"), F.col("take") - (F.col("first") - F.col("block") * block)))
         .where("given > 0")
         .select("shard", "position", "round", "doc_id", "text_hash", "source_no", "start", (F.col("first") - F.col("start")).alias("low"), (F.col("first") - F.col("start") + F.col("given")).alias("high"))
