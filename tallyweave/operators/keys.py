@@ -59,5 +59,5 @@ def paginate(rows: DataFrame, partition: Sequence[str], order: Sequence[Column],
     """Each partition's page with ``position`` (from 1), ``total`` and ``has_more``; the limit is held to 1..max_limit."""
     limit, offset = min(max(limit, 1), max_limit), min(max(offset, 0), max_offset)
     w = Window.partitionBy(*partition)
-    ranked = rows.withColumns({"position": F.row_number().over(w.orderBy(*order)), "total": F.count("*").over(w)})
+    ranked = rows.withColumns({"position": F.row_number().over(w.orderBy(*order)).cast("long"), "total": F.count("*").over(w)})
     return ranked.where(F.col("position").between(offset + 1, offset + limit)).withColumn("has_more", F.lit(offset + limit) < F.col("total"))

@@ -74,7 +74,7 @@ def version_history(history: DataFrame, live: DataFrame, limit: int = 50, offset
     current = join_on(live.where("not deleted").select(*columns), totals, KEY)
     shown = min(max(limit, 1), 200) + min(max(offset, 0), 10_000)
     total = F.coalesce("total", F.lit(0))
-    now = current.select(*columns, F.lit(0).alias("position"), total.alias("total"), (total > shown).alias("has_more"), F.lit(True).alias("is_current"))
+    now = current.select(*columns, F.lit(0).cast("long").alias("position"), total.alias("total"), (total > shown).alias("has_more"), F.lit(True).alias("is_current"))
     return page.unionByName(now)
 
 

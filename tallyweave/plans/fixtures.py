@@ -84,7 +84,7 @@ def _views(d: Dialect) -> dict[str, str]:
         ),
         "history": (
             f"SELECT 't' || CAST(l_suppkey % 10 AS STRING) AS tenant_id, 'v' || CAST(l_suppkey % 3 AS STRING) AS vault_id, CAST(l_partkey AS STRING) AS path, "
-            f"row_number() OVER (PARTITION BY l_suppkey % 10, l_suppkey % 3, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS version_id, "
+            f"CAST(row_number() OVER (PARTITION BY l_suppkey % 10, l_suppkey % 3, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS version_id, "
             f"{d.sha('CAST(l_orderkey AS STRING)')} AS content_hash, CAST(l_quantity AS BIGINT) AS size, {d.epoch('l_shipdate')} AS created_at FROM $lineitem"
         ),
         "files": (

@@ -317,7 +317,7 @@ def trash_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.trash_scopes(view(spark, sf_dir, "files"))
 
 
-@register(f"WITH {_TIER} SELECT tenant_id, name AS plan_tier, storage AS max_storage_bytes, max_nodes, max_vaults, versions AS max_versions, snapshots AS max_snapshots, age AS max_age_secs FROM tier")
+@register(f"WITH {_TIER} SELECT tenant_id, name AS plan_tier, storage AS max_storage_bytes, max_nodes, max_vaults, versions AS max_versions, snapshots AS max_snapshots, CAST(age AS BIGINT) AS max_age_secs FROM tier")
 def tier_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenants = view(spark, sf_dir, "tenants").withColumn("plan_tier", F.coalesce(parse_tier(F.upper("plan_tier")), F.lit("free")))
     return with_limits(tenants)

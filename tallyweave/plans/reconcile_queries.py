@@ -126,7 +126,7 @@ def causality_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""SELECT l.tenant_id, l.vault_id, l.path, CASE WHEN l.ca < r.ca OR l.cb < r.cb THEN CASE WHEN l.ca > r.ca OR l.cb > r.cb THEN 'concurrent' ELSE 'before' END WHEN l.ca > r.ca OR l.cb > r.cb THEN 'after' ELSE 'equal' END AS causality,
-    NOT (l.ca > r.ca OR l.cb > r.cb) AND (l.ca < r.ca OR l.cb < r.cb) AS happens_before, 'nodeA=' || greatest(l.ca, r.ca) || ',nodeB=' || greatest(l.cb, r.cb) AS merged, 'nodeA=' || (l.ca + 1) || ',nodeB=' || l.cb AS advanced, l.cb AS tick, 0 AS no_tick
+    NOT (l.ca > r.ca OR l.cb > r.cb) AND (l.ca < r.ca OR l.cb < r.cb) AS happens_before, 'nodeA=' || greatest(l.ca, r.ca) || ',nodeB=' || greatest(l.cb, r.cb) AS merged, 'nodeA=' || (l.ca + 1) || ',nodeB=' || l.cb AS advanced, l.cb AS tick, CAST(0 AS BIGINT) AS no_tick
     FROM local_files l JOIN remote_files r ON {same('l', 'r')}"""
 )
 def vector_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
