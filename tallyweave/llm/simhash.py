@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, simila
     known = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first")
     lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = known.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = stored(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
+    # Both sides come straight from tables, so a fingerprint that very many rows share is a skewed join that Spark splits.
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
