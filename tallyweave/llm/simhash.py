@@ -19,6 +19,8 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints that bit correlations and candidate counts are estimated on; rows of a bucket before it is split.
 SAMPLE, BUCKET_ROWS = 2048, 1024
+#: Bits in which the second fingerprints of texts that are 0.8 alike may differ.
+SKETCH_BITS = 16
 #: Cost of writing a probe and of comparing a pair, in like units, for choosing partitions.
 PROBE_COST, PAIR_COST = 1.0, 0.004
 
@@ -37,7 +39,7 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """A bit is 1 if it is set in over half the hashes; no hashes give 0."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 32_768):
@@ -50,15 +52,28 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (64 bits, as a signed long): one row for each row of ``docs``."""
+def _remixed(hashes: list[int]) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    h = np.array(hashes, np.uint64)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFrame:
+    """doc_id, fp (64 bits, as a signed long) and, if wanted, a second fingerprint sk: one row for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed([fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()])], ["doc_id", "fp"])
+            first, second = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                first.append(fingerprint(hashes))
+                second.append(fingerprint(_remixed(hashes)) if sketch else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(first), _signed(second)], ["doc_id", "fp", "sk"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long, sk long")
 
 
 @dataclass(frozen=True)
@@ -133,12 +148,16 @@ def _masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for d in range(most + 1) for c in combinations(range(width), d)], np.uint64)
 
 
+_PROBE = ["bucket", "fp", "sk", "own"]
+_PROBE_SCHEMA = "bucket long, fp long, sk long, own boolean"
+
+
 def _probes(plan: Partitions):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
+            every, others = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             for at in range(0, len(every), 2000):
-                fps = every[at : at + 2000]
+                fps, sks = every[at : at + 2000], others[at : at + 2000]
                 for i, (bits, most) in enumerate(zip(plan.bits, plan.thresholds, strict=True)):
                     if most >= 0:
                         masks = _masks(len(bits), most)
@@ -146,7 +165,7 @@ def _probes(plan: Partitions):
                         own = np.zeros(keys.shape, bool)
                         own[:, 0] = True
                         bucket = (keys | np.uint64(i << 40)).ravel().view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(fps, len(masks)).view(np.int64)), pa.array(own.ravel())], ["bucket", "fp", "own"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(fps, len(masks)).view(np.int64)), pa.array(np.repeat(sks, len(masks))), pa.array(own.ravel())], _PROBE)
 
     return emit
 
@@ -168,8 +187,10 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _verify(max_bits: int, nearest: bool):
     """Links among the rows of each bucket: a spanning star of each component, or each probe's nearest neighbour."""
 
-    def links(fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index, probes = np.unique(fps[own]), np.unique(fps)
+    def links(fps: np.ndarray, sks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        index, at_index = np.unique(fps[own], return_index=True)
+        probes, at_probe = np.unique(fps, return_index=True)
+        index_sks, probe_sks = sks[own][at_index], sks[at_probe]
         if not len(index) or len(probes) < 2:
             return probes[:0], probes[:0]
         tile = max(1, 4_000_000 // len(index))
@@ -178,9 +199,11 @@ def _verify(max_bits: int, nearest: bool):
             p = probes[at : at + tile]
             apart = np.bitwise_count(p[:, None] ^ index[None, :])
             if nearest:
-                apart[p[:, None] == index[None, :]] = 255
+                other = np.bitwise_count(probe_sks[at : at + tile, None] ^ index_sks[None, :])
+                apart[(apart > max_bits) | (other > SKETCH_BITS) | (p[:, None] == index[None, :])] = 128
+                apart += other
                 j = apart.argmin(1)
-                r = np.flatnonzero(apart[np.arange(len(p)), j] <= max_bits)
+                r = np.flatnonzero(apart[np.arange(len(p)), j] <= max_bits + SKETCH_BITS)
                 first.append(p[r])
                 second.append(index[j[r]])
             else:
@@ -199,18 +222,18 @@ def _verify(max_bits: int, nearest: bool):
         held: list[np.ndarray] | None = None
         for batch in _then_none(batches):
             if batch is not None:
-                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "fp", "own")]
+                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "fp", "sk", "own")]
                 held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
             if held is None or not len(held[0]):
                 continue
-            bucket, salt, fp, own = held
+            bucket, salt, fp, sk, own = held
             new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1
             cuts = [0, *new.tolist(), len(bucket)]
             whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last bucket may go on
             out = []
             for s, e in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
                 if e - s > 1:
-                    out.append(links(fp[s:e].view(np.uint64), own[s:e]))
+                    out.append(links(fp[s:e].view(np.uint64), sk[s:e].view(np.uint64), own[s:e]))
             held = [x[cuts[whole] :] for x in held]
             if out:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
@@ -225,23 +248,25 @@ def _then_none(batches: Iterator) -> Iterator:
 
 
 def near_links(fps: DataFrame, max_bits: int, nearest: bool = False) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fps`` (fp) whose components are those of all pairs within ``max_bits``.
+    """Links (a, b) among distinct fingerprints ``fps`` (fp, sk) whose components are those of all pairs within ``max_bits``.
 
-    With ``nearest`` the links are real pairs instead: each fingerprint with its nearest in every bucket it probes. A
+    With ``nearest`` the links are real pairs instead: each fingerprint with its nearest in every bucket it probes, of those
+    whose second fingerprints (sk) differ in SKETCH_BITS bits at most; that keeps what only happens to be near, the more
+    common the more texts there are, from being compared in full. A
     bucket of over BUCKET_ROWS fingerprints is split into cells: its probes are dealt over them and its own
     rows go to each, so no task holds a group whole and no pair is lost. Fewer than two fingerprints give no link.
     """
     n = fps.count()
     sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     plan = plan_partitions(sample, n, max_bits)
-    rows = fps.select("fp").mapInArrow(_probes(plan), "bucket long, fp long, own boolean")
+    rows = fps.select("fp", "sk").mapInArrow(_probes(plan), _PROBE_SCHEMA)
     exact = Partitions(plan.bits, tuple(min(t, 0) for t in plan.thresholds))
-    large = fps.select("fp").mapInArrow(_probes(exact), "bucket long, fp long, own boolean").groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
+    large = fps.select("fp", "sk").mapInArrow(_probes(exact), _PROBE_SCHEMA).groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
     large = stored(large.select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("cells")), "large-buckets")
     if large.limit(1).count():
         cells = F.coalesce("cells", F.lit(1))
         each = F.when(F.col("own"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), cells).cast("int")))
-        rows = rows.join(large, "bucket", "left").select("bucket", F.explode(each).alias("salt"), "fp", "own")
+        rows = rows.join(large, "bucket", "left").select("bucket", F.explode(each).alias("salt"), "fp", "sk", "own")
     else:
         rows = rows.withColumn("salt", F.lit(0))
     together = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
@@ -259,9 +284,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, simila
     other; null ids never are a component's id unless all are null; equal rows are in one component; columns besides
     doc_id and text are ignored; no rows give none. Nothing but a bounded sample of fingerprints reaches the driver.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    links = near_links(classes.select("fp"), max_bits, nearest=similarity is not None)
+    rows = stored(fingerprints(docs, shingle, sketch=similarity is not None), "fingerprints")
+    least = F.coalesce(F.min_by("sk", "doc_id"), F.min("sk"))
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), least.alias("sk")), "classes")
+    links = near_links(classes.select("fp", "sk"), max_bits, nearest=similarity is not None)
     if similarity is not None:
         links = similar_links(docs, classes, stored(links, "candidates"), shingle, similarity)
     roots = stored(connected_components(links), "roots")

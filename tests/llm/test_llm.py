@@ -411,7 +411,7 @@ def test_near_links_miss_nothing(spark, max_bits, monkeypatch):
             b ^= sum(1 << int(i) for i in rng.choice(64, rng.integers(1, max_bits + 3), replace=False))
             fps.add(b)
     fps = [(f, f) for f in sorted(fps)]
-    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f, _ in fps], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), 0) for f, _ in fps], "fp long, sk long")
     roots = {r["node"]: r["root"] for r in components.connected_components(simhash.near_links(df, max_bits)).collect()}
     got, want = defaultdict(set), defaultdict(set)
     for f, _ in fps:
