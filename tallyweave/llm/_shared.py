@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,15 +13,14 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _LOCAL.setdefault("dir", "") or _LOCAL.__setitem__("dir", tempfile.mkdtemp(prefix="spark-llm-")) or _LOCAL["dir"]
-    return base.rstrip("/")
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-llm-")
 
 
-_LOCAL: dict[str, str] = {}
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -40,6 +40,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those of smallest hash: the same ones in every run, from anywhere in the table."""
-    return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
+def sample_by_hash(df: DataFrame, key: str, rows: int, total: int, slack: float = 2.0) -> DataFrame:
+    """At most ``rows`` rows, those of smallest hash: the same ones in every run, from anywhere in the table.
+
+    Of ``total`` rows only the share that gives ``slack`` times as many is ordered at all, so what meets in one task does not
+    grow with the table.
+    """
+    h = F.xxhash64(key)
+    below = F.pmod(h, F.lit(1 << 30)) < int(min(1.0, slack * rows / max(1, total)) * (1 << 30))
+    return df.where(below).orderBy(F.pmod(h, F.lit(1 << 30)), h, F.col(key)).limit(rows)

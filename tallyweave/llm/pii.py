@@ -105,7 +105,7 @@ def train(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, spans: int = TRA
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["x", "y"])
 
     likely = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    rows = sample_by_hash(likely, "doc_id", documents).select("text").mapInArrow(label, "x array<double>, y double").limit(spans).collect()
+    rows = sample_by_hash(likely, "doc_id", documents, docs.count(), slack=10).select("text").mapInArrow(label, "x array<double>, y double").limit(spans).collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, width)
     return fitted(x, np.array([r["y"] for r in rows]), PRECISION)
 

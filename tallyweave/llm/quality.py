@@ -118,7 +118,7 @@ def measured(texts: list[str | None], rules: dict[str, Callable]) -> dict[str, t
 
 def cascade_order(docs: DataFrame, rules: dict[str, Callable] = RULES, rows: int = SAMPLE_ROWS) -> list[str]:
     """Rules by rejection per cost on ``rows`` rows of smallest hash; names break ties."""
-    texts = [r["text"] for r in sample_by_hash(docs.select("doc_id", "text"), "doc_id", rows).select("text").collect()]
+    texts = [r["text"] for r in sample_by_hash(docs.select("doc_id", "text"), "doc_id", rows, docs.count()).select("text").collect()]
     cost = measured(texts, rules)
     return sorted(rules, key=lambda r: (-cost[r][1] / max(cost[r][0], 1e-9), r))
 

@@ -89,7 +89,7 @@ def training_samples(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> Da
     Random: values that the fixed patterns find, and digests of the ids in base 64 and hexadecimal. Ordinary: the
     texts' own words, alone and joined as identifiers are.
     """
-    picked = sample_by_hash(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", documents)
+    picked = sample_by_hash(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", documents, docs.count())
     digest = F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))
     words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 60)
     shown = picked.select(
