@@ -90,8 +90,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Exact top ten in plain SQL; the other queries have no counterpart there (see tests/llm for brute-force checks).
+#: What plain SQL can say; the other queries have no counterpart there (see tests/llm for brute-force checks).
 ORACLES: dict[str, str] = {
+    "op7_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c FROM d, unnest(range(1, len(w) - 6)) r(i)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM windows, unnest(range(0, 8)) r(j) WHERE c > 1 GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, count(*) FILTER (w[i] = w[i + 1]) AS n FROM d, unnest(range(1, len(w))) r(i) GROUP BY doc_id
+), s AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS lines, coalesce(runs.n, 0) AS runs
+  FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN runs ON runs.doc_id = d.doc_id
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 5 * lines OR 100 * runs > 30 * n_words OR word_chars NOT BETWEEN 2 * n_words AND 14 * n_words) AS kept
+FROM b
+""",
     "op4_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
