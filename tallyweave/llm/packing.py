@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
@@ -14,8 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import sliced
+
 #: Tokens in a sequence, open bins of a packer, rows that one packer takes, words and parts of them that a worker remembers.
-CAPACITY, OPEN_BINS, ROWS_PER_PACKER, REMEMBERED, REMEMBERED_PARTS = 2048, 2048, 50_000, 200_000, 600_000
+CAPACITY, OPEN_BINS, ROWS_PER_PACKER, REMEMBERED, REMEMBERED_PARTS = 2048, 2048, 50_000, 100_000, 400_000
 #: Pieces that are put in order, longest first, before they are placed one by one.
 LOOK_AHEAD = 2048
 
@@ -28,6 +31,16 @@ _MARKS = re.compile("[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
+def _byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable Latin-1 as itself, the others in turn from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(0x100) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 class WordIds(dict):
     """Token ids of stretches between ASCII white space, as little-endian bytes, remembered up to a bound.
 
@@ -47,6 +60,14 @@ class WordIds(dict):
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encode(texts, add_special_tokens=False)]
 
+    def encoded_parts(self, parts: list[str]) -> list[bytes]:
+        """Parts are pre-tokens already: the vocabulary's model takes them as they are, once bytes are written as its characters."""
+        out = []
+        for part in parts:
+            tokens = self.tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
+            out.append(struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
+        return out
+
     def learn(self, words: list[bytes]) -> None:
         cut, whole = [], []
         for word in words:
@@ -58,7 +79,7 @@ class WordIds(dict):
         if len(self.parts) > REMEMBERED_PARTS:
             self.parts.clear()
         new = list({p for _, parts in cut for p in parts if p not in self.parts})
-        self.parts.update(zip(new, self.encoded(new), strict=True))
+        self.parts.update(zip(new, self.encoded_parts(new), strict=True))
         for word, parts in cut:
             self[word] = b"".join([self.parts[p] for p in parts])
         self.update(zip([w for w, _ in whole], self.encoded([t for _, t in whole]), strict=True))
@@ -67,9 +88,9 @@ class WordIds(dict):
         split = [_MARKS.sub(r" \g<0> ", t.lower()).split() for t in texts]
         if len(self.parts) > REMEMBERED_PARTS:
             self.parts.clear()
-        new = list({p for parts in split for p in set(parts) if p not in self.parts})
+        new = list(set().union(*split).difference(self.parts))
         if new:
-            self.parts.update(zip(new, self.encoded(new), strict=True))
+            self.parts.update(zip(new, self.encoded_parts(new), strict=True))
         return [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
 
     def stretch_ids(self, texts: list[str]) -> list[bytes]:
@@ -87,7 +108,10 @@ class WordIds(dict):
         return [next(one if p else other) for p in plain]
 
 
-_WORKER: dict[str, WordIds] = {}
+@functools.cache
+def worker_words(path: str) -> WordIds:
+    """One memory for all tasks of a worker process."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -101,27 +125,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, WordIds(tokenizer))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                taken, piece, data = [], [], []
-                for i, ids in enumerate(words.ids([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    for n, begin in enumerate(range(0, len(ids), step)):
-                        taken.append(i)
-                        piece.append(n)
-                        data.append(ids[begin : begin + step])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(taken, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        pa.array([n * capacity for n in piece], pa.int64()),
-                        pa.array([len(d) // 4 for d in data], pa.int64()),
-                        pa.array(data, pa.binary()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
+        words = worker_words(tokenizer)
+        for part in sliced(batches):
+            taken, piece, data = [], [], []
+            for i, ids in enumerate(words.ids([t or "" for t in part.column(1).to_pylist()])):
+                ids += end
+                for n, begin in enumerate(range(0, len(ids), step)):
+                    taken.append(i)
+                    piece.append(n)
+                    data.append(ids[begin : begin + step])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(taken, pa.int64())),
+                    pa.array(piece, pa.int32()),
+                    pa.array([n * capacity for n in piece], pa.int64()),
+                    pa.array([len(d) // 4 for d in data], pa.int64()),
+                    pa.array(data, pa.binary()),
+                ],
+                ["doc_id", "piece", "start", "length", "ids"],
+            )
 
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
