@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WORD, stored, word_count
+from ._shared import WORD, sliced, stored, word_count
 
 #: Words in a block, blocks in an output shard, and the number of sources that the driver may plan for.
 BLOCK, SHARD_SLOTS, MAX_SOURCES = 128, 4096, 100_000
@@ -253,7 +253,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows, texts = [], []
             for i, (text, slots_) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)):
                 by: dict[tuple[int, int], list[tuple[int, int]]] = {}

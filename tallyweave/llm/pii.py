@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._gbt import BoostedTrees, entropy, fitted
-from ._shared import sample_by_hash
+from ._shared import sample_by_hash, sliced
 
 #: The kinds in their order, each with its pattern.
 PATTERNS = {
@@ -95,7 +95,7 @@ def train(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, spans: int = TRA
     width = len(features("0", (0, 1)))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x, y = [], []
             for text in batch.column(0).to_pylist():
                 base = base_spans(text)
@@ -124,7 +124,7 @@ def find_pii(docs: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             bases = [base_spans(t) for t in texts]
             open_ = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not _overlaps(c, bases[i])]

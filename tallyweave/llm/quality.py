@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ._shared import sample_by_hash
+from ._shared import sample_by_hash, sliced
 
 #: Rows of the sample on which cost and rejection are estimated. It decides the order of rules, never a verdict.
 SAMPLE_ROWS, WINDOW = 500, 8
@@ -139,7 +139,7 @@ def apply_rules(docs: DataFrame, rules: dict[str, Callable] = RULES, order: list
     at = rows.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             failed = [first_failed(TextStats(t), order, rules) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed, pa.string())], [*batch.schema.names, "rejected_by"])
 
@@ -153,7 +153,7 @@ def text_statistics(docs: DataFrame, rules: dict[str, Callable] = RULES, order:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 stats = TextStats(t)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let, stored
+from ._shared import let, sliced, stored
 from .components import connected_components
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             first, second = [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
@@ -303,7 +303,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """fp, shingles (sorted distinct hashes) of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = [shingle_hashes(t, shingle) for t in batch.column(0).to_pylist()]
             sets = [np.unique(np.array(h, np.uint64)).view(np.int64) for h in hashes]
             yield pa.RecordBatch.from_arrays([_signed([fingerprint(h) for h in hashes]), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
