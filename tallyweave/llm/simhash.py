@@ -19,8 +19,8 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints that bit correlations and candidate counts are estimated on; rows of a bucket before it is split.
 SAMPLE, BUCKET_ROWS = 2048, 1024
-#: Bits in which the second fingerprints of texts that are 0.8 alike may differ.
-SKETCH_BITS = 16
+#: MinHash values in a band, and the share of pairs right at the wanted similarity that may have no band in common.
+BAND_VALUES, MISSED = 4, 1e-6
 #: Cost of writing a probe and of comparing a pair, in like units, for choosing partitions.
 PROBE_COST, PAIR_COST = 1.0, 0.004
 
@@ -52,28 +52,16 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _remixed(hashes: list[int]) -> np.ndarray:
-    """Other hashes of the same shingles."""
-    h = np.array(hashes, np.uint64)
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(29))
-
-
-def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits, as a signed long) and, if wanted, a second fingerprint sk: one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp (64 bits, as a signed long): one row for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            first, second = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                first.append(fingerprint(hashes))
-                second.append(fingerprint(_remixed(hashes)) if sketch else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(first), _signed(second)], ["doc_id", "fp", "sk"])
+            prints = [fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(prints)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long, sk long")
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long")
 
 
 @dataclass(frozen=True)
@@ -148,16 +136,16 @@ def _masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for d in range(most + 1) for c in combinations(range(width), d)], np.uint64)
 
 
-_PROBE = ["bucket", "fp", "sk", "own"]
-_PROBE_SCHEMA = "bucket long, fp long, sk long, own boolean"
+_PROBE = ["bucket", "fp", "own"]
+_PROBE_SCHEMA = "bucket long, fp long, own boolean"
 
 
 def _probes(plan: Partitions):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, others = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            every = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(every), 2000):
-                fps, sks = every[at : at + 2000], others[at : at + 2000]
+                fps = every[at : at + 2000]
                 for i, (bits, most) in enumerate(zip(plan.bits, plan.thresholds, strict=True)):
                     if most >= 0:
                         masks = _masks(len(bits), most)
@@ -165,7 +153,7 @@ def _probes(plan: Partitions):
                         own = np.zeros(keys.shape, bool)
                         own[:, 0] = True
                         bucket = (keys | np.uint64(i << 40)).ravel().view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(fps, len(masks)).view(np.int64)), pa.array(np.repeat(sks, len(masks))), pa.array(own.ravel())], _PROBE)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(fps, len(masks)).view(np.int64)), pa.array(own.ravel())], _PROBE)
 
     return emit
 
@@ -184,13 +172,11 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = after
 
 
-def _verify(max_bits: int, nearest: bool):
-    """Links among the rows of each bucket: a spanning star of each component, or each probe's nearest neighbour."""
+def _verify(max_bits: int):
+    """Links among the rows of each bucket: a spanning star of each component."""
 
-    def links(fps: np.ndarray, sks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index, at_index = np.unique(fps[own], return_index=True)
-        probes, at_probe = np.unique(fps, return_index=True)
-        index_sks, probe_sks = sks[own][at_index], sks[at_probe]
+    def links(fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        index, probes = np.unique(fps[own]), np.unique(fps)
         if not len(index) or len(probes) < 2:
             return probes[:0], probes[:0]
         tile = max(1, 4_000_000 // len(index))
@@ -198,21 +184,12 @@ def _verify(max_bits: int, nearest: bool):
         for at in range(0, len(probes), tile):
             p = probes[at : at + tile]
             apart = np.bitwise_count(p[:, None] ^ index[None, :])
-            if nearest:
-                other = np.bitwise_count(probe_sks[at : at + tile, None] ^ index_sks[None, :])
-                apart[(apart > max_bits) | (other > SKETCH_BITS) | (p[:, None] == index[None, :])] = 128
-                apart += other
-                j = apart.argmin(1)
-                r = np.flatnonzero(apart[np.arange(len(p)), j] <= max_bits + SKETCH_BITS)
-                first.append(p[r])
-                second.append(index[j[r]])
-            else:
-                r, j = np.nonzero(apart <= max_bits)
-                keep = p[r] != index[j]
-                first.append(p[r[keep]])
-                second.append(index[j[keep]])
+            r, j = np.nonzero(apart <= max_bits)
+            keep = p[r] != index[j]
+            first.append(p[r[keep]])
+            second.append(index[j[keep]])
         a, b = np.concatenate(first), np.concatenate(second)
-        if nearest or not len(a):
+        if not len(a):
             return a, b
         root = _roots(np.searchsorted(probes, a), np.searchsorted(probes, b), len(probes))
         moved = np.flatnonzero(root != np.arange(len(probes)))
@@ -222,18 +199,18 @@ def _verify(max_bits: int, nearest: bool):
         held: list[np.ndarray] | None = None
         for batch in _then_none(batches):
             if batch is not None:
-                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "fp", "sk", "own")]
+                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "fp", "own")]
                 held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
             if held is None or not len(held[0]):
                 continue
-            bucket, salt, fp, sk, own = held
+            bucket, salt, fp, own = held
             new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1
             cuts = [0, *new.tolist(), len(bucket)]
             whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last bucket may go on
             out = []
             for s, e in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
                 if e - s > 1:
-                    out.append(links(fp[s:e].view(np.uint64), sk[s:e].view(np.uint64), own[s:e]))
+                    out.append(links(fp[s:e].view(np.uint64), own[s:e]))
             held = [x[cuts[whole] :] for x in held]
             if out:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
@@ -247,49 +224,47 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_links(fps: DataFrame, max_bits: int, nearest: bool = False) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fps`` (fp, sk) whose components are those of all pairs within ``max_bits``.
+def near_links(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) among distinct fingerprints ``fps`` (fp) whose components are those of all pairs within ``max_bits``.
 
-    With ``nearest`` the links are real pairs instead: each fingerprint with its nearest in every bucket it probes, of those
-    whose second fingerprints (sk) differ in SKETCH_BITS bits at most; that keeps what only happens to be near, the more
-    common the more texts there are, from being compared in full. A
-    bucket of over BUCKET_ROWS fingerprints is split into cells: its probes are dealt over them and its own
+    A bucket of over BUCKET_ROWS fingerprints is split into cells: its probes are dealt over them and its own
     rows go to each, so no task holds a group whole and no pair is lost. Fewer than two fingerprints give no link.
     """
     n = fps.count()
     sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     plan = plan_partitions(sample, n, max_bits)
-    rows = fps.select("fp", "sk").mapInArrow(_probes(plan), _PROBE_SCHEMA)
+    rows = fps.select("fp").mapInArrow(_probes(plan), _PROBE_SCHEMA)
     exact = Partitions(plan.bits, tuple(min(t, 0) for t in plan.thresholds))
-    large = fps.select("fp", "sk").mapInArrow(_probes(exact), _PROBE_SCHEMA).groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
+    large = fps.select("fp").mapInArrow(_probes(exact), _PROBE_SCHEMA).groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
     large = stored(large.select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("cells")), "large-buckets")
     if large.limit(1).count():
         cells = F.coalesce("cells", F.lit(1))
         each = F.when(F.col("own"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), cells).cast("int")))
-        rows = rows.join(large, "bucket", "left").select("bucket", F.explode(each).alias("salt"), "fp", "sk", "own")
+        rows = rows.join(large, "bucket", "left").select("bucket", F.explode(each).alias("salt"), "fp", "own")
     else:
         rows = rows.withColumn("salt", F.lit(0))
     together = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
-    return together.mapInArrow(_verify(max_bits, nearest), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return together.mapInArrow(_verify(max_bits), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row: rows whose fingerprints differ in ``max_bits`` bits or fewer are linked,
     and component_id is the smallest doc_id that links reach.
 
-    With ``similarity`` a link must also reach that Jaccard similarity of word shingles (checked on whole texts of
-    one document for each fingerprint, and on each fingerprint's nearest ones).
+    With ``similarity`` links are those of ``text_groups`` instead, whatever the bits: rows whose whole texts reach that
+    Jaccard similarity of word shingles.
 
     Equal fingerprints are one class before any search. Null and empty texts have fingerprint 0 and link like any
     other; null ids never are a component's id unless all are null; equal rows are in one component; columns besides
     doc_id and text are ignored; no rows give none. Nothing but a bounded sample of fingerprints reaches the driver.
     """
-    rows = stored(fingerprints(docs, shingle, sketch=similarity is not None), "fingerprints")
-    least = F.coalesce(F.min_by("sk", "doc_id"), F.min("sk"))
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), least.alias("sk")), "classes")
-    links = near_links(classes.select("fp", "sk"), max_bits, nearest=similarity is not None)
     if similarity is not None:
-        links = similar_links(docs, classes, stored(links, "candidates"), shingle, similarity)
+        groups = stored(text_groups(docs, shingle, similarity), "groups")
+        lowest = stored(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
+        return groups.join(lowest, "root").select("doc_id", "fp", "component_id")
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    links = near_links(classes.select("fp"), max_bits)
     roots = stored(connected_components(links), "roots")
     known = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first")
     lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -299,24 +274,165 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, simila
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """fp, shingles (sorted distinct hashes) of each row."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+def band_count(similarity: float) -> int:
+    """Bands that texts of this similarity share none of once in 1 / MISSED pairs."""
+    return math.ceil(math.log(MISSED) / math.log(1 - similarity**BAND_VALUES)) if similarity < 1 else 1
+
+
+def far_bits(similarity: float) -> int:
+    """Of 128 fingerprint bits, those that texts of this similarity may differ in: five standard deviations over the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(2 * BITS * p + 5 * math.sqrt(2 * BITS * p * (1 - p)))
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each band of BAND_VALUES MinHash values; no hashes give none."""
+    if not len(hashes):
+        return hashes
+    seeds = _mixed(np.arange(1, 2 * bands * BAND_VALUES + 1, dtype=np.uint64))
+    flips, factors = seeds[::2, None], seeds[1::2, None] | np.uint64(1)
+    least = np.full(bands * BAND_VALUES, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 512):
+            least = np.minimum(least, ((hashes[None, at : at + 512] ^ flips) * factors).min(1))
+    key = np.arange(bands, dtype=np.uint64)
+    for values in least.reshape(bands, BAND_VALUES).T:
+        key = _mixed(key ^ values)
+    return key
+
+
+def marked_texts(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """doc_id, text_hash, node (the fingerprint), fp and fq (two fingerprints) and bands of each row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "node", "fp", "fq", "bands"]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            hashes = [np.array(shingle_hashes(t, shingle), np.uint64) for t in batch.column(2).to_pylist()]
+            first = [fingerprint(h) for h in hashes]
+            second = [fingerprint(_mixed(h)) for h in hashes]
+            keys = pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(first), _signed(first), _signed(second), keys], names)
+
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(make, f"doc_id {kind}, text_hash long, node long, fp long, fq long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles (sorted distinct hashes) of each row of ``texts`` (node, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            hashes = [shingle_hashes(t, shingle) for t in batch.column(0).to_pylist()]
-            sets = [np.unique(np.array(h, np.uint64)).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_arrays([_signed([fingerprint(h) for h in hashes]), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    return docs.select("text").mapInArrow(make, "fp long, shingles array<long>")
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose classes' first documents share enough shingles."""
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.join(ends, "fp", "left_semi").select(F.col("first").alias("doc_id"))
-    sets = shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle)
-    sets = stored(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "shingles")
-    pairs = links.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = let(F.struct(F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("t")), lambda x: x["n"] / (x["t"] - x["n"]))
-    return pairs.where(both >= similarity).select("a", "b")
+            sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(make, "node long, shingles array<long>")
+
+
+def _ranked_pairs(low: int, high: int, most: int):
+    """Pairs of a probe and its neighbours of rank ``low`` to ``high`` (nearest first) in its bucket, if in other components."""
+
+    def pairs(node: np.ndarray, root: np.ndarray, one: np.ndarray, two: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at_probe = np.flatnonzero(probe)
+        tile = max(1, 2_000_000 // len(node))
+        first, second = [node[:0]], [node[:0]]
+        for at in range(0, len(at_probe), tile):
+            p = at_probe[at : at + tile]
+            apart = np.bitwise_count(one[p, None] ^ one[None, :]) + np.bitwise_count(two[p, None] ^ two[None, :])
+            apart[np.arange(len(p)), p] = 255
+            order = np.argsort(apart, axis=1, kind="stable")[:, low:high]
+            good = (np.take_along_axis(apart, order, 1) <= most) & (root[order] != root[p][:, None])
+            r, c = np.nonzero(good)
+            first.append(node[p[r]])
+            second.append(node[order[r, c]])
+            if not low:  # the text that edited copies were made from is near to most of them
+                middle = apart.sum(0, dtype=np.int64).argmin()
+                r = p[(apart[:, middle] <= most) & (root[p] != root[middle])]
+                first.append(node[r])
+                second.append(np.repeat(node[middle], len(r)))
+        return np.concatenate(first), np.concatenate(second)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "node", "root", "fp", "fq", "probe")]
+                held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
+            cuts = [0, *new.tolist(), len(held[0])]
+            whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last bucket may go on
+            for s, e in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
+                node, root, one, two, probe = (x[s:e] for x in held[2:])
+                a, b = pairs(node, root, one.view(np.uint64), two.view(np.uint64), probe)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = [x[cuts[whole] :] for x in held]
+
+    return run
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def text_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash (XXH64 of the text), fp and root for every row; rows of one root are linked by texts whose word
+    shingles reach the Jaccard ``similarity``.
+
+    Texts that share a band of MinHash values and whose 128 fingerprint bits are near are candidates; whole sets of shingles
+    decide. First each text is compared with one text of each of its buckets. Buckets that still hold several components
+    are then searched pair by pair, first with the most central text and the nearest ones, then with eight times as many
+    neighbours in each round, until every candidate pair is in one component or was compared. A bucket of over BUCKET_ROWS is split by probes into cells.
+    """
+    most = far_bits(similarity)
+    rows = stored(marked_texts(docs, shingle, band_count(similarity)), "marked")
+    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_hash", "fp", "fq", "bands")]), "classes")
+    banded = classes.select(F.explode("bands").alias("bucket"), "node", "fp", "fq")
+    crowds = stored(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp", "fq")).alias("low")).where("n > 1"), "crowds")
+    shared = stored(banded.join(crowds, "bucket"), "shared")
+    # one text of each class, its set of shingles once for all rounds
+    wanted = stored(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), "wanted")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["node"])
+    sets = stored(shingle_sets(texts, shingle), "shingles")
+    links, tried = None, None
+    apart = F.bit_count(F.expr("fp ^ low.fp")) + F.bit_count(F.expr("fq ^ low.fq"))
+    pairs = shared.where((F.col("node") != F.col("low.node")) & (apart <= most)).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+    largest = crowds.agg(F.max("n")).first()[0] or 0
+    low, high = 0, 8
+    while True:
+        new = stored(_in_order(pairs) if tried is None else _in_order(pairs).join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried = new if tried is None else tried.unionByName(new)
+        found = stored(similar_pairs(new, sets, similarity), "similar")
+        links = found if links is None else links.unionByName(found)
+        roots = stored(connected_components(links), "roots")
+        if low >= largest - 1:
+            break
+        rooted = stored(shared.where(F.col("n") > low + 1).join(roots, "node", "left").select("bucket", "n", "node", "fp", "fq", F.coalesce("root", "node").alias("root")), "rooted")
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        open_ = stored(rooted.join(split, "bucket", "left_semi"), "open")
+        if not open_.limit(1).count():
+            break
+        cells = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+        dealt = open_.select("*", cells.alias("cells"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("salt"))
+        dealt = dealt.select("bucket", "salt", "node", "root", "fp", "fq", (F.pmod(F.xxhash64("node"), F.col("cells")) == F.col("salt")).alias("probe"))
+        together = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
+        pairs = together.mapInArrow(_ranked_pairs(low, high, most), "a long, b long")
+        low, high = high, high * 8
+    # Both sides come straight from tables, so a class that very many rows share is a skewed join that Spark splits.
+    return rows.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "node").alias("root"))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles reach the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    share = let(F.struct(F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("t")), lambda x: x["n"] / (x["t"] - x["n"]))
+    return both.where(share >= similarity).select("a", "b")

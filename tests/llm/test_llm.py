@@ -440,6 +440,25 @@ def test_similar_texts(spark):
     assert got == {2: 2, 3: 2, 9: 9, 11: 11}
 
 
+def edited(rng, words, edits, name):
+    out = list(words)
+    for k in rng.choice(len(words), edits, replace=False):
+        out[k] = f"{name}x{k}"
+    return out
+
+
+def similar_components(spark, rows):
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, similarity=0.8).collect()
+    return {r["doc_id"]: r["component_id"] for r in found}
+
+
+def test_edited_copies_of_one_text(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    rows = [(i, " ".join(edited(rng, base, 5, i))) for i in range(300)] + [(300, " ".join(base))]
+    assert set(similar_components(spark, rows).values()) == {0}  # copies are less than 0.8 alike, each is 0.84 like the last row
+
+
 # 9 shards
 
 
