@@ -459,6 +459,18 @@ def test_edited_copies_of_one_text(spark):
     assert set(similar_components(spark, rows).values()) == {0}  # copies are less than 0.8 alike, each is 0.84 like the last row
 
 
+def test_pairs_just_alike_enough(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(200):
+        base = [f"w{j}" for j in rng.integers(0, 5000, 300)]
+        other = list(base)
+        for k in range(20, 260, 40):
+            other[k] = f"{i}x{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]  # 266 of 326 shingles
+    assert similar_components(spark, rows) == {d: d - d % 2 for d in range(400)}
+
+
 # 9 shards
 
 
