@@ -252,9 +252,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, simila
     and component_id is the smallest doc_id that links reach.
 
     With ``similarity`` links are those of ``text_groups`` instead, whatever the bits: rows whose whole texts reach that
-    Jaccard similarity of word shingles.
+    Jaccard similarity of word shingles; fp is then the fingerprint of distinct shingles, and texts of equal sets of
+    shingles are one class.
 
-    Equal fingerprints are one class before any search. Null and empty texts have fingerprint 0 and link like any
+    Equal fingerprints are one class before any search without ``similarity``. Null and empty texts have fingerprint 0 and link like any
     other; null ids never are a component's id unless all are null; equal rows are in one component; columns besides
     doc_id and text are ignored; no rows give none. Nothing but a bounded sample of fingerprints reaches the driver.
     """
@@ -309,17 +310,18 @@ def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
 
 
 def marked_texts(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """doc_id, text_hash, node (the fingerprint), fp and fq (two fingerprints) and bands of each row."""
+    """doc_id, text_hash, node (a hash of the set of shingles), fp and fq (two fingerprints of that set) and bands of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text_hash", "node", "fp", "fq", "bands"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            hashes = [np.array(shingle_hashes(t, shingle), np.uint64) for t in batch.column(2).to_pylist()]
+            hashes = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in batch.column(2).to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(h.tobytes()) for h in hashes]
             first = [fingerprint(h) for h in hashes]
             second = [fingerprint(_mixed(h)) for h in hashes]
             keys = pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(first), _signed(first), _signed(second), keys], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(nodes), _signed(first), _signed(second), keys], names)
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return hashed.mapInArrow(make, f"doc_id {kind}, text_hash long, node long, fp long, fq long, bands array<long>")

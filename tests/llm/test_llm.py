@@ -471,6 +471,15 @@ def test_pairs_just_alike_enough(spark):
     assert similar_components(spark, rows) == {d: d - d % 2 for d in range(400)}
 
 
+def test_unlike_texts_of_one_fingerprint(spark):
+    line = [f"line{i}" for i in range(15)]
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(" ".join([*(f"w{j}" for j in rng.integers(0, 50_000, 19)), *line]) for _ in range(300))) for i in range(6)]
+    prints = {simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows}
+    assert len(prints) < 6  # the repeated line rules
+    assert similar_components(spark, rows) == {i: i for i in range(6)}
+
+
 # 9 shards
 
 
