@@ -58,3 +58,31 @@ def test_stages(results):
 
 def test_run(spark, sf_dir, results):
     assert p.run(spark, sf_dir).columns == results[-1].columns
+
+
+def test_tied_ids(spark):
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [
+        (5, words("a"), "en", "s", 1), (5, words("b"), "en", "s", 1), (3, words("a"), "en", "s", 1),  # one of the texts of 5 is a copy of 3
+        (7, words("c"), "en", "s", 1), (7, words("c"), "de", "s", 1), (7, words("d"), "en", "s", 1),
+        (None, words("d"), "en", "s", 1), (None, words("e"), "en", "s", 1), (None, words("e"), "en", "s", 1), (None, words("f"), None, None, None),
+    ]
+    want = [rows[i] for i in (1, 2, 4, 5, 7, 9)]
+    for parts in (1, 5):
+        got = p.near_dedup(spark, spark.createDataFrame(rows, schema).repartition(parts), "").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_on_odd_rows(spark):
+    long = " ".join(f"word{i % 977} x{i}" for i in range(3000))
+    rows = [
+        (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t ", None, "b", 4), (4, long, "en", "b", len(long)),
+        (5, "one two three", "en", None, 13), (5, "one two three", "en", None, 13), (5, "a different text of the same id " * 9, "en", "a", 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    single = [tuple(r) for r in p.near_dedup(spark, docs, "").collect()]
+    assert sorted(single, key=repr) == sorted([rows[1], rows[4], rows[5], rows[7]], key=repr)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, "")
+    assert {r["doc_id"] for r in docs.collect()} == {4}
