@@ -23,6 +23,8 @@ PATTERNS = {
 ADDED = "model"
 #: Generators: wide on purpose, and their spans may overlap.
 GENERATORS = [re.compile(r"[^\s@]+@[^\s@]+"), re.compile(r"[+(]?[0-9][0-9 ().\-/]{5,}[0-9]"), re.compile(r"[0-9]+(?:\.[0-9]+){2,}")]
+#: What no kind of personal data looks like: dates and spans of years.
+NEVER = re.compile(r"(19|20)[0-9]{2}[-/. ]{1,3}((19|20)[0-9]{2}|[01]?[0-9][-/. ][0-3]?[0-9])|[0-3]?[0-9][-/. ][01]?[0-9][-/. ](19|20)[0-9]{2}")
 #: Bounds of the labelled sample that the trees are fitted on, and the precision that the threshold must reach.
 TRAINING_DOCUMENTS, TRAINING_SPANS, PRECISION = 4000, 20_000, 0.98
 
@@ -87,10 +89,46 @@ def _overlaps(span: tuple[int, int], base: list[tuple[str, int, int]]) -> bool:
     return any(span[0] < e and s < span[1] for _, s, e in base)
 
 
+def renderings(kind: str, found: str) -> list[tuple[str, float]]:
+    """A base match in formats that the fixed patterns do not know (1), and dates, years and versions in its place (0)."""
+    d = _digits(found)
+    if kind == "phone":
+        n = d[-10:]
+        good = [f"{n[:3]}-{n[3:6]}-{n[6:]}", f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}.{n[3:6]}.{n[6:]}", f"{n[:-7]} {n[-7:-4]} {n[-4:]}", n]
+    elif kind == "card":
+        good = [sep.join(d[i : i + 4] for i in range(0, len(d), 4)) for sep in (".", "/", " - ")]
+    elif kind == "ip":
+        good = [found.replace(".", sep) for sep in ("-", " . ")]
+    else:
+        good = []
+    x = sum(map(ord, found))
+    y, m, t = 1950 + x % 80, 1 + x % 12, 1 + x % 28
+    bad = [f"{y}-{m:02}-{t:02}", f"{t:02}/{m:02}/{y}", f"{y}-{y + 1 + x % 9}", f"{x % 30}.{m}.{t}", f"{m}.{x % 900 + 256}.{t}.{x % 7000 + 256}"]
+    return [(g, 1.0) for g in good] + [(b, 0.0) for b in bad]
+
+
+def labelled(text: str) -> list[tuple[list[float], float]]:
+    """Features and label of base matches, of their other renderings in place, and of what is never personal; no others."""
+    base = base_spans(text)
+    out = []
+    for span in candidates(text):
+        if _overlaps(span, base):
+            out.append((features(text, span), 1.0))
+        elif NEVER.fullmatch(text[span[0] : span[1]]):
+            out.append((features(text, span), 0.0))
+    for kind, a, b in base:
+        before, after = text[max(0, a - 40) : a], text[b : b + 40]
+        for shown, label in renderings(kind, text[a:b]):
+            around, span = before + shown + after, (len(before), len(before) + len(shown))
+            if span in candidates(around) and not _overlaps(span, base_spans(around)):
+                out.append((features(around, span), label))
+    return out
+
+
 def train(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, spans: int = TRAINING_SPANS) -> BoostedTrees:
-    """Trees that tell candidates overlapping a fixed pattern's valid match (1) from all others (0).
+    """Trees that tell personal data (1) from dates, years and versions (0), on labels that do not hang on the base's format.
 
-    Fitted on the candidates of at most ``documents`` documents with an @ or a digit, ``spans`` at most.
+    Base matches count as they are and in other formats; what nothing says about is in neither class. Fitted on the candidates of at most ``documents`` documents with an @ or a digit, ``spans`` at most.
     """
     width = len(features("0", (0, 1)))
 
@@ -98,16 +136,16 @@ def train(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, spans: int = TRA
         for batch in sliced(batches):
             x, y = [], []
             for text in batch.column(0).to_pylist():
-                base = base_spans(text)
-                for span in candidates(text):
-                    x.append(features(text, span))
-                    y.append(float(_overlaps(span, base)))
+                for row, is_personal in labelled(text):
+                    x.append(row)
+                    y.append(is_personal)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["x", "y"])
 
     likely = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
     rows = sample_by_hash(likely, "doc_id", documents, docs.count(), slack=10).select("text").mapInArrow(label, "x array<double>, y double").limit(spans).collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, width)
-    return fitted(x, np.array([r["y"] for r in rows]), PRECISION)
+    mixed = np.random.default_rng(5).permutation(len(x))  # renderings come in turn, and every fifth row is held out
+    return fitted(x[mixed], np.array([r["y"] for r in rows])[mixed], PRECISION)
 
 
 def find_pii(docs: DataFrame, model: BoostedTrees | None = None) -> DataFrame:

@@ -290,6 +290,20 @@ def test_pii_model_held_out(docs):
     assert good >= seen - 1
 
 
+def test_pii_model_adds_other_formats(spark):
+    rng = np.random.default_rng(4)
+    rows, planted = [], {}
+    for i in range(300):
+        n = "".join(map(str, rng.integers(0, 10, 10)))
+        start = f"call +1 ({n[:3]}) {n[3:6]}-{n[6:]} or 10.0.{i % 200}.7 before {1990 + i % 30}-0{1 + i % 9}-1{i % 9}, at home "
+        phone = f"{200 + i}-{n[4:7]}-{n[:4]}"
+        planted[i] = ("model", len(start), len(start) + len(phone))
+        rows.append((i, start + phone + " in the evening"))
+    found = {r["doc_id"]: [tuple(a) for a in r["added"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(planted[i] in found[i] for i in found) > 270
+    assert sum(len(a) for a in found.values()) < 330  # not the dates
+
+
 # 6 urls
 
 
