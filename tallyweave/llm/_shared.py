@@ -21,8 +21,11 @@ def _own_folder() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset on one machine, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (shared or _own_folder()).rstrip("/")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -33,6 +36,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nothing may read ``table`` any more."""
+    folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0].rpartition("/")[0])
+    folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

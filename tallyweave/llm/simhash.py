@@ -5,20 +5,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import let, sliced, stored
+from ._shared import sliced, stored
 from .components import connected_components
 
 BITS = 64
 #: Fingerprints that bit correlations and candidate counts are estimated on; rows of a bucket before it is split.
 SAMPLE, BUCKET_ROWS = 2048, 1024
+#: Texts and shingles of a group that one task compares; texts of a larger group that all its texts are compared with first.
+CELL_ROWS, CELL_SHINGLES, CENTRES = 2048, 2_000_000, 8
 #: MinHash values in a band, and the share of pairs right at the wanted similarity that may have no band in common.
 BAND_VALUES, MISSED = 4, 1e-6
 #: Cost of writing a probe and of comparing a pair, in like units, for choosing partitions.
@@ -136,8 +139,8 @@ def _masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for d in range(most + 1) for c in combinations(range(width), d)], np.uint64)
 
 
-_PROBE = ["bucket", "fp", "own"]
-_PROBE_SCHEMA = "bucket long, fp long, own boolean"
+_PROBE = ["bucket", "node", "own"]
+_PROBE_SCHEMA = "bucket long, node long, own boolean"
 
 
 def _probes(plan: Partitions):
@@ -172,48 +175,57 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = after
 
 
-def _verify(max_bits: int):
-    """Links among the rows of each bucket: a spanning star of each component."""
-
-    def links(fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index, probes = np.unique(fps[own]), np.unique(fps)
-        if not len(index) or len(probes) < 2:
-            return probes[:0], probes[:0]
-        tile = max(1, 4_000_000 // len(index))
-        first, second = [], []
-        for at in range(0, len(probes), tile):
-            p = probes[at : at + tile]
-            apart = np.bitwise_count(p[:, None] ^ index[None, :])
-            r, j = np.nonzero(apart <= max_bits)
-            keep = p[r] != index[j]
-            first.append(p[r[keep]])
-            second.append(index[j[keep]])
-        a, b = np.concatenate(first), np.concatenate(second)
-        if not len(a):
-            return a, b
-        root = _roots(np.searchsorted(probes, a), np.searchsorted(probes, b), len(probes))
-        moved = np.flatnonzero(root != np.arange(len(probes)))
-        return probes[moved], probes[root[moved]]
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links a-b as stars: each node with the smallest one of its component."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = _roots(place[: len(a)], place[len(a) :], len(nodes))
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _near(index: list[np.ndarray], probes: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars of the links between rows (node, words of bits) of ``probes`` and of ``index`` within ``most`` bits."""
+    tile = max(1, 2_000_000 // max(1, len(index[0])))
+    for at in range(0, len(probes[0]), tile):
+        node, *words = (x[at : at + tile] for x in probes)
+        apart = reduce(np.add, (np.bitwise_count(p[:, None] ^ i[None, :]) for p, i in zip(words, index[1:], strict=True)))
+        r, j = np.nonzero(apart <= most)
+        a, b = node[r], index[0][j]
+        if (other := a != b).any():
+            yield _star(a[other], b[other])
+
+
+def _bucket_links(words: list[str], most: int):
+    """Links within ``most`` bits in each (bucket, salt): of index rows with each other, and of probes with index rows.
+
+    Index rows come first and are held; probes stream past them, so memory hangs on the index rows of one cell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in _then_none(batches):
             if batch is not None:
-                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "fp", "own")]
+                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "probe", "node", *words)]
+                part = [*part[:4], *(x.view(np.uint64) for x in part[4:])]
                 held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
             if held is None or not len(held[0]):
                 continue
-            bucket, salt, fp, own = held
-            new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1
-            cuts = [0, *new.tolist(), len(bucket)]
-            whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last bucket may go on
-            out = []
-            for s, e in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
-                if e - s > 1:
-                    out.append(links(fp[s:e].view(np.uint64), own[s:e]))
-            held = [x[cuts[whole] :] for x in held]
-            if out:
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
+            cuts = np.concatenate(([0], new, [len(held[0])]))
+            found, kept = [], None
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                size = e - s - int(held[2][s:e].sum())  # of the index
+                last = batch is not None and e == len(held[0])
+                if last and (size == e - s or e - s < 65_536):  # it may go on
+                    kept = [x[s:] for x in held]
+                    break
+                if size and e - s > 1:
+                    found += _near([x[s : s + size] for x in held[3:]], [x[s:e] for x in held[3:]], most)
+                if last:
+                    kept = [x[s : s + size] for x in held]  # the index, for the probes to come
+            held = kept
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
@@ -224,11 +236,16 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(fps: DataFrame, max_bits: int) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fps`` (fp) whose components are those of all pairs within ``max_bits``.
 
-    A bucket of over BUCKET_ROWS fingerprints is split into cells: its probes are dealt over them and its own
-    rows go to each, so no task holds a group whole and no pair is lost. Fewer than two fingerprints give no link.
+    A bucket of over BUCKET_ROWS fingerprints is a grid: each of its own rows is held in one cell and probes the others, and
+    the other probes go to every cell. So a task holds about BUCKET_ROWS rows of a bucket at a time, and no pair is lost.
+    Fewer than two fingerprints give no link.
     """
     n = fps.count()
     sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
@@ -239,12 +256,12 @@ def near_links(fps: DataFrame, max_bits: int) -> DataFrame:
     large = stored(large.select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("cells")), "large-buckets")
     if large.limit(1).count():
         cells = F.coalesce("cells", F.lit(1))
-        each = F.when(F.col("own"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), cells).cast("int")))
-        rows = rows.join(large, "bucket", "left").select("bucket", F.explode(each).alias("salt"), "fp", "own")
+        rows = rows.join(large, "bucket", "left").select("bucket", "node", "own", F.pmod(F.xxhash64("node"), cells).alias("home"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("salt"))
+        rows = rows.select("bucket", "salt", (~F.col("own") | (F.col("home") != F.col("salt"))).alias("probe"), "node")
     else:
-        rows = rows.withColumn("salt", F.lit(0))
-    together = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
-    return together.mapInArrow(_verify(max_bits), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = rows.select("bucket", F.lit(0).alias("salt"), (~F.col("own")).alias("probe"), "node")
+    together = rows.withColumn("fp", F.col("node")).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "probe")
+    return _in_order(together.mapInArrow(_bucket_links(["fp"], max_bits), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
@@ -310,9 +327,9 @@ def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
 
 
 def marked_texts(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set of shingles), fp and fq (two fingerprints of that set) and bands of each row."""
+    """doc_id, text_hash, node (a hash of the set of shingles), n (its size), fp and fq (two fingerprints of that set) and bands of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "node", "fp", "fq", "bands"]
+    names = ["doc_id", "text_hash", "node", "n", "fp", "fq", "bands"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -321,120 +338,164 @@ def marked_texts(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
             first = [fingerprint(h) for h in hashes]
             second = [fingerprint(_mixed(h)) for h in hashes]
             keys = pa.array([band_keys(h, bands).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(nodes), _signed(first), _signed(second), keys], names)
+            sizes = pa.array([len(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(nodes), sizes, _signed(first), _signed(second), keys], names)
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return hashed.mapInArrow(make, f"doc_id {kind}, text_hash long, node long, fp long, fq long, bands array<long>")
+    return hashed.mapInArrow(make, f"doc_id {kind}, text_hash long, node long, n long, fp long, fq long, bands array<long>")
+
+
+def common_counts(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``rows`` has in common with each of ``others`` (arrays without repeats), by matrix products."""
+    both = [*rows, *others]
+    _, column, seen = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    owner, column = owner[shared := seen[column] > 1], column[shared]  # what one set alone has counts for no pair
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    width = max(256, 4_000_000 // len(both))
+    out = np.zeros((len(rows), len(others)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s, e = np.searchsorted(column, [low, low + width])
+        dense = np.zeros((len(both), min(width, int(column[-1]) + 1 - low)), np.float32)
+        dense[owner[s:e], column[s:e] - low] = 1
+        out += dense[: len(rows)] @ dense[len(rows) :].T
+    return out
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (sorted distinct hashes) of each row of ``texts`` (node, text)."""
+def alike(rows: list[np.ndarray], others: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``rows`` and ``others`` whose Jaccard similarity is at least ``similarity``."""
+    common = common_counts(rows, others).astype(np.float64)
+    union = np.array([len(x) for x in rows], float)[:, None] + np.array([len(x) for x in others], float)[None, :] - common
+    return np.nonzero(common >= similarity * union - 1e-9 * union)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(make, "node long, shingles array<long>")
-
-
-def _ranked_pairs(low: int, high: int, most: int):
-    """Pairs of a probe and its neighbours of rank ``low`` to ``high`` (nearest first) in its bucket, if in other components."""
-
-    def pairs(node: np.ndarray, root: np.ndarray, one: np.ndarray, two: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at_probe = np.flatnonzero(probe)
-        tile = max(1, 2_000_000 // len(node))
-        first, second = [node[:0]], [node[:0]]
-        for at in range(0, len(at_probe), tile):
-            p = at_probe[at : at + tile]
-            apart = np.bitwise_count(one[p, None] ^ one[None, :]) + np.bitwise_count(two[p, None] ^ two[None, :])
-            apart[np.arange(len(p)), p] = 255
-            order = np.argsort(apart, axis=1, kind="stable")[:, low:high]
-            good = (np.take_along_axis(apart, order, 1) <= most) & (root[order] != root[p][:, None])
-            r, c = np.nonzero(good)
-            first.append(node[p[r]])
-            second.append(node[order[r, c]])
-            if not low:  # the text that edited copies were made from is near to most of them
-                middle = apart.sum(0, dtype=np.int64).argmin()
-                r = p[(apart[:, middle] <= most) & (root[p] != root[middle])]
-                first.append(node[r])
-                second.append(np.repeat(node[middle], len(r)))
-        return np.concatenate(first), np.concatenate(second)
+
+def _compared(similarity: float, shingle: int):
+    """Links among texts of each (root, cell): probes with the other rows, or where there are none all with each other.
+
+    Rows (root, cell, probe, node, text) come sorted by root and cell; one cell is held at a time. a, b: a link; degree: how
+    many texts of its cell the text a, alike to most of them, is alike to (b is null then).
+    """
+
+    def judged(root: int, rows: list[tuple]) -> Iterator[tuple]:
+        sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for *_, t in rows]
+        node = np.array([r[3] for r in rows], np.int64)
+        probe = np.array([r[2] for r in rows], bool)
+        if not probe.any():
+            i, j = alike(sets, sets, similarity)
+        else:
+            one, two = np.flatnonzero(probe), np.flatnonzero(~probe)
+            i, j = alike([sets[k] for k in one], [sets[k] for k in two], similarity)
+            i, j = one[i], two[j]
+        other = node[i] != node[j]
+        if other.any():
+            for a, b in zip(*_star(node[i][other], node[j][other]), strict=True):
+                yield root, int(a), int(b), None
+        degree = np.bincount(i, minlength=len(node))
+        yield root, int(node[degree.argmax()]), None, int(degree.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "node", "root", "fp", "fq", "probe")]
-                held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
-            cuts = [0, *new.tolist(), len(held[0])]
-            whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last bucket may go on
-            for s, e in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
-                node, root, one, two, probe = (x[s:e] for x in held[2:])
-                a, b = pairs(node, root, one.view(np.uint64), two.view(np.uint64), probe)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            held = [x[cuts[whole] :] for x in held]
+        def cells() -> Iterator[tuple]:
+            key, held, nodes = None, [], set()
+            for batch in sliced(batches, 200):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("root", "cell", "probe", "node", "text")), strict=True):
+                    if row[:2] != key:
+                        if len(held) > 1:
+                            yield from judged(key[0], held)
+                        key, held, nodes = row[:2], [], set()
+                    if row[2:4] not in nodes:  # rows of equal id and text repeat a node
+                        nodes.add(row[2:4])
+                        held.append(row)
+            if len(held) > 1:
+                yield from judged(key[0], held)
+
+        for part in _chunks(cells(), 10_000):
+            columns = [pa.array(c, pa.int64()) for c in zip(*part, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "a", "b", "degree"])
 
     return run
 
 
-def _in_order(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _chunks(rows: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
+    while part := list(islice(rows, n)):
+        yield part
+
+
+def _links_of(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    dealt = rows.select("root", "cell", "probe", "node", "text").repartition("root", "cell").sortWithinPartitions("root", "cell", "node")
+    return dealt.mapInArrow(_compared(similarity, shingle), "root long, a long, b long, degree long")
+
+
+def _large_group_links(big: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) of the texts ``big`` (root, cells, node, text) of groups that one task does not hold.
+
+    First texts of one cell meet each other, then all texts meet the CENTRES texts of their group that are alike to most
+    texts of their cells. What has not joined the group's largest component by then meets every text of the group, cell by
+    cell, so no pair is left out, and the work grows with the square of a group only where its texts stay apart.
+    """
+    home = big.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    all_cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("cell")
+    none = F.lit(False).alias("probe")
+    first = stored(_links_of(home.select("root", "cell", none, "node", "text"), similarity, shingle), "cells")
+    best = Window.partitionBy("root").orderBy(F.desc("degree"), "a")
+    centres = first.where("degree > 1").withColumn("k", F.row_number().over(best)).where(F.col("k") <= CENTRES).select(F.col("a").alias("node"))
+    centre = big.join(stored(centres, "centres"), "node", "left_semi").select("root", all_cells("cells"), F.lit(True).alias("probe"), "node", "text")
+    second = stored(_links_of(home.select("root", "cell", none, "node", "text").unionByName(centre), similarity, shingle), "starred")
+    links = first.unionByName(second).where("b is not null").select("a", "b")
+    roots = stored(connected_components(links), "part-roots")
+    parts = big.select("root", "cells", "node").join(roots.select("node", F.col("root").alias("part")), "node", "left").select("root", "cells", "node", F.coalesce("part", "node").alias("part"))
+    counts = parts.groupBy("root", "part").count()
+    most = counts.groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("count").alias("rows"), F.max("count").alias("joined"))
+    most = most.where("rows > joined").select("root", "largest", F.ceil((F.col("rows") - F.col("joined")) / CELL_ROWS).cast("int").alias("strips"))
+    open_ = stored(parts.join(most, "root").select("node", "strips", (F.col("part") != F.col("largest")).alias("apart")), "open")
+    if not open_.limit(1).count():
+        return links
+    rest = big.join(open_, "node").withColumns({"home": F.pmod(F.xxhash64("node"), F.col("cells")), "strip": F.pmod(F.xxhash64("node", F.lit(1)), F.col("strips"))})
+    at = lambda cell, strip: (cell * F.col("strips") + strip).cast("int")
+    index = rest.select("root", "strips", "home", "node", "text", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("s")).select("root", at(F.col("home"), F.col("s")).alias("cell"), none, "node", "text")
+    probes = rest.where("apart").select("root", "strips", "strip", "node", "text", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c")).select("root", at(F.col("c"), F.col("strip")).alias("cell"), F.lit(True).alias("probe"), "node", "text")
+    third = stored(_links_of(index.unionByName(probes), similarity, shingle), "crossed")
+    return links.unionByName(third.where("b is not null").select("a", "b"))
 
 
 def text_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text), fp and root for every row; rows of one root are linked by texts whose word
     shingles reach the Jaccard ``similarity``.
 
-    Texts that share a band of MinHash values and whose 128 fingerprint bits are near are candidates; whole sets of shingles
-    decide. First each text is compared with one text of each of its buckets. Buckets that still hold several components
-    are then searched pair by pair, first with the most central text and the nearest ones, then with eight times as many
-    neighbours in each round, until every candidate pair is in one component or was compared. A bucket of over BUCKET_ROWS is split by probes into cells.
+    Texts that share a band of MinHash values and whose 128 fingerprint bits are near are candidates. Candidates' components
+    are small and far apart, so each is then compared in full, whole sets of shingles, in one task; one of over CELL_ROWS
+    texts or CELL_SHINGLES shingles is split into cells. Where many rows share a band, rows near to one of them in bits are
+    linked to it, and only the others meet the whole band, in cells of BUCKET_ROWS.
     """
     most = far_bits(similarity)
     rows = stored(marked_texts(docs, shingle, band_count(similarity)), "marked")
-    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_hash", "fp", "fq", "bands")]), "classes")
+    shown = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = stored(rows.groupBy("node").agg(F.min(shown).alias("shown"), *[F.min(c).alias(c) for c in ("n", "fp", "fq", "bands")]), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "node", "fp", "fq")
-    crowds = stored(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp", "fq")).alias("low")).where("n > 1"), "crowds")
-    shared = stored(banded.join(crowds, "bucket"), "shared")
-    # one text of each class, its set of shingles once for all rounds
-    wanted = stored(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), "wanted")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["node"])
-    sets = stored(shingle_sets(texts, shingle), "shingles")
-    links, tried = None, None
-    apart = F.bit_count(F.expr("fp ^ low.fp")) + F.bit_count(F.expr("fq ^ low.fq"))
-    pairs = shared.where((F.col("node") != F.col("low.node")) & (apart <= most)).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
-    largest = crowds.agg(F.max("n")).first()[0] or 0
-    low, high = 0, 8
-    while True:
-        new = stored(_in_order(pairs) if tried is None else _in_order(pairs).join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried = new if tried is None else tried.unionByName(new)
-        found = stored(similar_pairs(new, sets, similarity), "similar")
-        links = found if links is None else links.unionByName(found)
-        roots = stored(connected_components(links), "roots")
-        if low >= largest - 1:
-            break
-        rooted = stored(shared.where(F.col("n") > low + 1).join(roots, "node", "left").select("bucket", "n", "node", "fp", "fq", F.coalesce("root", "node").alias("root")), "rooted")
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        open_ = stored(rooted.join(split, "bucket", "left_semi"), "open")
-        if not open_.limit(1).count():
-            break
-        cells = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
-        dealt = open_.select("*", cells.alias("cells"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("salt"))
-        dealt = dealt.select("bucket", "salt", "node", "root", "fp", "fq", (F.pmod(F.xxhash64("node"), F.col("cells")) == F.col("salt")).alias("probe"))
-        together = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
-        pairs = together.mapInArrow(_ranked_pairs(low, high, most), "a long, b long")
-        low, high = high, high * 8
+    crowds = stored(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "fp", "fq")).alias("low")).where("size > 1"), "crowds")
+    close = F.bit_count(F.expr("fp ^ low.fp")) + F.bit_count(F.expr("fq ^ low.fq")) <= most
+    shared = stored(banded.join(crowds, "bucket").withColumn("close", close), "shared")
+    to_low = shared.where(F.col("close") & (F.col("node") != F.col("low.node"))).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+    # a row near to the first of its bucket is held in one cell; the others, where there are any, meet the bucket's every cell
+    far = stored(shared.where("not close").select("bucket").distinct(), "far-buckets")
+    cells = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
+    dealt = shared.join(far, "bucket", "left_semi").select("bucket", "node", "fp", "fq", "close", F.pmod(F.xxhash64("node"), cells).alias("home"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("salt"))
+    dealt = dealt.where(~F.col("close") | (F.col("home") == F.col("salt"))).select("bucket", "salt", (F.col("home") != F.col("salt")).alias("probe"), "node", "fp", "fq")
+    together = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "probe")
+    candidates = to_low.unionByName(together.mapInArrow(_bucket_links(["fp", "fq"], most), "a long, b long"))
+    groups = stored(connected_components(_in_order(candidates)), "candidates")
+    picked = classes.select("node", "n", "shown.doc_id", "shown.text_hash").join(groups, "node")
+    sizes = picked.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL_ROWS, F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
+    wanted = stored(picked.join(sizes, "root").select("node", "root", "cells", F.col("doc_id").alias("id"), F.col("text_hash").alias("th")), "wanted")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
+    texts = texts.select("root", "cells", "node", "text")
+    small = texts.where("cells = 1").select("root", F.lit(0).alias("cell"), F.lit(False).alias("probe"), "node", "text")
+    links = stored(_links_of(small, similarity, shingle).where("b is not null").select("a", "b"), "alike")
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    if wanted.where("cells > 1").limit(1).count():
+        big = stored(texts.where("cells > 1").dropDuplicates(["node"]), "large-groups")
+        roots = roots.unionByName(connected_components(_large_group_links(big, similarity, shingle)))
+    roots = stored(roots, "roots")
     # Both sides come straight from tables, so a class that very many rows share is a skewed join that Spark splits.
     return rows.select("doc_id", "text_hash", "fp", "node").join(roots, "node", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "node").alias("root"))
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles reach the similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    share = let(F.struct(F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("t")), lambda x: x["n"] / (x["t"] - x["n"]))
-    return both.where(share >= similarity).select("a", "b")
