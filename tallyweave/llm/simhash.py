@@ -488,7 +488,7 @@ def text_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     picked = classes.select("node", "n", "shown.doc_id", "shown.text_hash").join(groups, "node")
     sizes = picked.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL_ROWS, F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
     wanted = stored(picked.join(sizes, "root").select("node", "root", "cells", F.col("doc_id").alias("id"), F.col("text_hash").alias("th")), "wanted")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
     texts = texts.select("root", "cells", "node", "text")
     small = texts.where("cells = 1").select("root", F.lit(0).alias("cell"), F.lit(False).alias("probe"), "node", "text")
     links = stored(_links_of(small, similarity, shingle).where("b is not null").select("a", "b"), "alike")
