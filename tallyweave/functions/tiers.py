@@ -23,11 +23,11 @@ def plan_tiers(spark: SparkSession) -> DataFrame:
 
 def parse_tier(raw: Column) -> Column:
     """Canonical tier name, whatever the case; null for an unknown one."""
-    low = F.lower(F.trim(raw))
+    low = F.lower(raw)
     return F.when(low.isin([t[0] for t in TIERS]), low)
 
 
 def with_limits(rows: DataFrame, tier: str = "plan_tier") -> DataFrame:
-    """Rows with the limits of their tier; a null tier counts as free."""
+    """Rows with the limits of their tier, in any case; a null tier counts as free, an unknown one has null limits."""
     dim = plan_tiers(rows.sparkSession).withColumnRenamed("plan_tier", "__tier")  # three rows
-    return rows.join(F.broadcast(dim), F.coalesce(F.col(tier), F.lit("free")) == F.col("__tier"), "left").drop("__tier")
+    return rows.join(F.broadcast(dim), parse_tier(F.coalesce(F.col(tier), F.lit("free"))) == F.col("__tier"), "left").drop("__tier")

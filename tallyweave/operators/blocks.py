@@ -13,8 +13,6 @@ from ..functions.blocks import rolling_weak, weak_checksum
 
 #: Fixed value: bytes in a block.
 BLOCK_SIZE = 4096
-#: Distinct weak checksums of a base side that are sent to the tasks; beyond that the windows are joined by shuffle.
-SENT_CHECKSUMS = 4_000_000
 
 
 def block_signatures(files: DataFrame, block: int = BLOCK_SIZE, signed: bool = True) -> DataFrame:
@@ -32,10 +30,11 @@ def block_signatures(files: DataFrame, block: int = BLOCK_SIZE, signed: bool = T
 def delta_plan(client: DataFrame, base: DataFrame) -> DataFrame:
     """file_key, offset, length, kind, base_offset, data: each client block as a hit in its base file or a miss with data.
 
-    A (weak, strong) that the base holds more than once stands for its last offset.
+    A block that the base holds more than once stands for its last offset. Equal digests have equal checksums, so the digest
+    alone is joined on and no checksum is computed here.
     """
-    known = base.groupBy("file_key", "weak", "strong").agg(F.max("offset").alias("base_offset"))
-    joined = client.join(known, ["file_key", "weak", "strong"], "left")
+    known = base.groupBy("file_key", "strong").agg(F.max("offset").alias("base_offset"))
+    joined = client.join(known, ["file_key", "strong"], "left")
     hit = F.col("base_offset").isNotNull()
     return joined.select(
         "file_key", "offset", F.octet_length("data").alias("length"), F.when(hit, "hit").otherwise("miss").alias("kind"), "base_offset", F.when(~hit, F.col("data")).alias("data")
@@ -63,31 +62,29 @@ def delta_apply(plan: DataFrame, base: DataFrame, files: DataFrame | None = None
 def shifted_matches(client: DataFrame, base: DataFrame, block: int = BLOCK_SIZE) -> DataFrame:
     """file_key, offset, base_offset: every offset of a client file at which a full base block of that file recurs.
 
-    All windows of ``client`` (file_key, content) get a rolling checksum; those whose checksum the base has go on, and their
-    digests decide. So many base checksums as SENT_CHECKSUMS are sent to the tasks; more meet the windows in a join.
+    A file meets the checksums of its own base blocks (8 bytes a block). All windows of ``client`` (file_key, content) get a
+    rolling checksum; only those whose checksum its base has are cut out, and their digests decide.
     """
     full = base.where(F.octet_length("data") == block)
-    weak = full.select("weak").distinct()
-    known = weak.limit(SENT_CHECKSUMS + 1).toArrow().column("weak").to_numpy()
-    few = np.sort(known) if len(known) <= SENT_CHECKSUMS else None
-    sent = client.sparkSession.sparkContext.broadcast(few) if few is not None else None
+    sums = full.groupBy("file_key").agg(F.collect_set("weak").alias("__sums"))
     kind = client.schema["file_key"].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for key, data, known in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 sums = rolling_weak(data or b"", block)
-                at = np.arange(len(sums)) if sent is None else np.flatnonzero(np.isin(sums, sent.value))
+                at = np.flatnonzero(np.isin(sums, known.values.to_numpy()))
                 for part in np.array_split(at, max(1, len(at) // 1000)):
                     rows = part.tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key.as_py()] * len(rows), batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array(sums[part]), pa.array([data[i : i + block] for i in rows], pa.binary())],
-                        ["file_key", "offset", "weak", "data"],
+                        [pa.array([key.as_py()] * len(rows), batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array([data[i : i + block] for i in rows], pa.binary())],
+                        ["file_key", "offset", "data"],
                     )
 
-    found = client.select("file_key", "content").mapInArrow(windows, f"file_key {kind}, offset long, weak long, data binary").withColumn("strong", F.sha2("data", 256)).drop("data")
-    last = full.groupBy("file_key", "weak", "strong").agg(F.max("offset").alias("base_offset"))
-    return found.join(last, ["file_key", "weak", "strong"]).select("file_key", "offset", "base_offset")
+    met = client.select("file_key", "content").join(sums, "file_key")
+    found = met.mapInArrow(windows, f"file_key {kind}, offset long, data binary").withColumn("strong", F.sha2("data", 256)).drop("data")
+    last = full.groupBy("file_key", "strong").agg(F.max("offset").alias("base_offset"))
+    return found.join(last, ["file_key", "strong"]).select("file_key", "offset", "base_offset")
 
 
 def verify_upload(chunks: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, fork_filename, is_ephemeral_marker, normalize_rel
@@ -94,12 +94,15 @@ def tombstone_fanout(server: DataFrame, actions: DataFrame, as_of: int) -> tuple
 
 
 def record_conflicts(actions: DataFrame, node_id: str, as_of: int) -> DataFrame:
-    """A conflict row for each conflicting action, with the name a fork would get and no resolution yet."""
+    """A conflict row for each conflicting action, with the name a fork would get and no resolution yet.
+
+    conflict_id is a digest of tenant (null: empty), vault and path, each on its line, so ids need no order within a vault.
+    """
     rows = actions.where("conflict is not null")
     fork = F.when(F.col("action") == "conflict_fork", fork_filename(F.col("path"), F.lit(node_id), F.lit(as_of).cast("long")))
     return rows.select(
         *KEY,
-        F.row_number().over(Window.partitionBy(*SCOPE).orderBy("path")).alias("conflict_no"),
+        F.sha2(F.concat_ws("\n", F.coalesce("tenant_id", F.lit("")), "vault_id", "path"), 256).alias("conflict_id"),
         F.col("conflict.kind").alias("conflict_type"),
         *[F.col(f"conflict.{s}_hash").alias(f"{s}_hash") for s in ("local", "remote", "base")],
         fork.alias("fork_path"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from ..functions.tiers import with_limits
+from ..functions.tiers import parse_tier, with_limits
 from ..schemas import SCOPE
 from .keys import join_on, latest_wins, upsert
 
@@ -45,8 +47,12 @@ def group_counts(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def tenant_dashboard(tenants: DataFrame, users: DataFrame, nodes: DataFrame, vaults: DataFrame, files: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """One row for each of ``tenants`` (tenant_id, plan_tier): tier (free if null), limits, use, counts and the lists behind them."""
-    rows = with_limits(tenants.select("tenant_id", F.coalesce("plan_tier", F.lit("free")).alias("plan_tier")))
+    """One row for each of ``tenants`` (tenant_id, plan_tier): tier (free if null), limits, use, counts and the lists behind them.
+
+    The lists of a tenant's vaults and nodes are one row; they suit tenants near their tier's limits (tens of each).
+    """
+    shown = F.coalesce(parse_tier(F.coalesce("plan_tier", F.lit("free"))), "plan_tier")
+    rows = with_limits(tenants.select("tenant_id", shown.alias("plan_tier")))
     rows = join_on(join_on(rows, storage_used(files), ["tenant_id"]), tenant_counts(users, nodes, vaults, files, conflicts), ["tenant_id"])
     lists = vaults.groupBy("tenant_id").agg(F.array_sort(F.collect_set("vault_id")).alias("vault_ids"))
     devices = nodes.where("not revoked").groupBy("tenant_id").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
@@ -60,7 +66,7 @@ def tenant_dashboard(tenants: DataFrame, users: DataFrame, nodes: DataFrame, vau
 
 
 def quota_verdict(uploads: DataFrame, files: DataFrame, vaults: DataFrame, tenants: DataFrame) -> DataFrame:
-    """``uploads`` (tenant_id, vault_id, path, size) with verdict: vaults_exceeded, storage_exceeded, ok.
+    """``uploads`` (tenant_id, vault_id, path, size) with verdict: unknown_tier, vaults_exceeded, storage_exceeded, ok.
 
     A new vault counts against the known ones; bytes grow by the new size less the old row's, tombstones included, while
     the used bytes leave tombstones out; neither falls below 0.
@@ -72,7 +78,8 @@ def quota_verdict(uploads: DataFrame, files: DataFrame, vaults: DataFrame, tenan
     rows = join_on(rows, files.select(*SCOPE, "path", F.col("size").alias("__old")), [*SCOPE, "path"])
     projected = F.greatest(F.lit(0), F.coalesce("used_bytes", F.lit(0)) + F.col("size") - F.coalesce("__old", F.lit(0)))
     verdict = (
-        F.when(F.col("__known").isNull() & (F.coalesce("__vaults", F.lit(0)) >= F.col("max_vaults")), "vaults_exceeded")
+        F.when(F.col("max_vaults").isNull(), "unknown_tier")
+        .when(F.col("__known").isNull() & (F.coalesce("__vaults", F.lit(0)) >= F.col("max_vaults")), "vaults_exceeded")
         .when(projected > F.col("max_storage_bytes"), "storage_exceeded")
         .otherwise("ok")
     )
@@ -80,10 +87,10 @@ def quota_verdict(uploads: DataFrame, files: DataFrame, vaults: DataFrame, tenan
 
 
 def node_capacity(tenants: DataFrame, nodes: DataFrame) -> DataFrame:
-    """tenant_id, active_nodes, verdict (nodes_exceeded, ok) for registering one more node."""
+    """tenant_id, active_nodes, verdict (unknown_tier, nodes_exceeded, ok) for registering one more node."""
     rows = join_on(with_limits(tenants.select("tenant_id", "plan_tier")), group_counts(nodes.where("not revoked"), ["tenant_id"], "active_nodes"), ["tenant_id"])
     n = F.coalesce("active_nodes", F.lit(0))
-    return rows.select("tenant_id", n.alias("active_nodes"), F.when(n >= F.col("max_nodes"), "nodes_exceeded").otherwise("ok").alias("verdict"))
+    return rows.select("tenant_id", n.alias("active_nodes"), F.when(F.col("max_nodes").isNull(), "unknown_tier").when(n >= F.col("max_nodes"), "nodes_exceeded").otherwise("ok").alias("verdict"))
 
 
 def audit_counts(events: DataFrame) -> DataFrame:
@@ -167,10 +174,11 @@ def vault_access(requests: DataFrame, vaults: DataFrame, members: DataFrame) ->
     """``requests`` (user_id, tenant_id, vault_id) with data_tenant, access, may_read, may_write, may_manage.
 
     The tenant's own vault makes an owner; else membership (user_id, vault_id, owner_tenant, role) an editor or viewer; else
-    denied.
+    denied. A member of vaults of one id under several tenants is let into that of the smallest tenant (null first).
     """
     rows = join_on(requests, vaults.select(*SCOPE, F.lit(True).alias("__own")).distinct(), SCOPE)
-    rows = rows.join(members.select("user_id", "vault_id", "owner_tenant", "role"), ["user_id", "vault_id"], "left")
+    one = members.groupBy("user_id", "vault_id").agg(F.min(F.struct("owner_tenant", "role")).alias("__m"))
+    rows = rows.join(one.select("user_id", "vault_id", "__m.owner_tenant", "__m.role"), ["user_id", "vault_id"], "left")
     own = F.col("__own").isNotNull()
     access = F.when(own, "owner").otherwise(F.coalesce("role", F.lit("denied")))
     tenant = F.when(own, F.col("tenant_id")).when(F.col("role").isNotNull(), F.col("owner_tenant"))
@@ -209,12 +217,17 @@ def webhook_fanout(events: DataFrame, hooks: DataFrame) -> DataFrame:
 def enrollment_status(attempts: DataFrame, tokens: DataFrame) -> DataFrame:
     """``attempts`` (attempt_id, token_hash, second) with status: not_found, revoked, replay, expired, ok, tested in this order.
 
+    An ok uses the token up: attempts of one token count in the order of (second, attempt_id), and later ones are replays.
+
     ``tokens`` (token_hash, issued_at, ttl, revoked, used); a time to live is an hour by default and a day at most.
     """
     ttl = F.least(F.coalesce("ttl", F.lit(3600)), F.lit(DAY))
     known = tokens.select("token_hash", (F.col("issued_at") + ttl).alias("expires_at"), "revoked", "used")
     rows = attempts.join(known, "token_hash", "left")
-    status = F.when(F.col("expires_at").isNull(), "not_found").when(F.col("revoked"), "revoked").when(F.col("used"), "replay").when(F.col("expires_at") < F.col("second"), "expired").otherwise("ok")
+    able = F.coalesce(~F.col("revoked") & ~F.col("used") & (F.col("expires_at") >= F.col("second")), F.lit(False))
+    w = Window.partitionBy("token_hash").orderBy("second", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.max(able.cast("int")).over(w), F.lit(0)) == 1
+    status = F.when(F.col("expires_at").isNull(), "not_found").when(F.col("revoked"), "revoked").when(F.col("used") | earlier, "replay").when(F.col("expires_at") < F.col("second"), "expired").otherwise("ok")
     return rows.select(*attempts.columns, status.alias("status"))
 
 
@@ -321,6 +334,32 @@ def failure_window(attempts: DataFrame, window: int = 60, keys: Sequence[str] =
     return counted.withColumn("failures", F.count_if(~F.col("success")).over(recent)).drop("__epoch")
 
 
+def judged_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], read: Sequence[str], added: str, fresh: Callable, judge: Callable) -> DataFrame:
+    """``rows`` with the columns ``added``: each key's rows are judged in ``order``, a batch at a time.
+
+    ``fresh(row)`` makes a key's state from the columns ``read`` of its first row, ``judge(rows, state)`` yields the added
+    values and keeps the state up to date. A task holds one batch and one state, however many rows a key has.
+    """
+    new = StructType.fromDDL(added)
+    schema = StructType([*rows.schema, *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            whose, seen = (list(zip(*(batch.column(c).to_pylist() for c in names), strict=True)) for names in (keys, read))
+            cuts = [i for i in range(len(whose)) if not i or whose[i] != whose[i - 1]]
+            out = []
+            for s, e in zip(cuts, [*cuts[1:], len(whose)], strict=True):
+                if state is None or whose[s] != key:
+                    key, state = whose[s], fresh(seen[s])
+                out += judge(seen[s:e], state)
+            columns = zip(*out, strict=True) if out else [[]] * len(new)
+            more = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def limited(attempts: Iterable[tuple[int, bool]], failures: list[int], most: int, window: int) -> Iterable[tuple[str, int]]:
     """(status, retry_after) of each (second, success), in order; ``failures`` holds what is remembered and is kept up to date."""
     for at, success in attempts:
@@ -339,26 +378,19 @@ def auth_rate_limit(attempts: DataFrame, most: int = 5, window: int = 60) -> Dat
     """``attempts`` (key, second, event_id, success) with status (ok, failed, blocked) and retry_after.
 
     What is blocked is neither remembered nor clears the key, so each attempt hangs on those before it: one key's are
-    judged in order in one task. The state is at most ``most`` times.
+    judged in order of (second, event_id), with at most ``most`` times held.
     """
+    return judged_in_order(attempts, ["key"], ["second", "event_id"], ["second", "success"], "status string, retry_after long", lambda row: [], lambda rows, failures: limited(rows, failures, most, window))
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["second", "event_id"])
-        out = list(limited(zip(rows["second"], rows["success"], strict=True), [], most, window))
-        return rows.assign(status=[s for s, _ in out], retry_after=[r for _, r in out])
-
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in attempts.schema)
-    return attempts.groupBy("key").applyInPandas(judge, f"{columns}, status string, retry_after long")
 
-
-def bumped(writes: Iterable[int], current: int) -> Iterable[tuple[str, int]]:
-    """(status, revision) of each expected revision, in order, from the current one."""
+def bumped(writes: Iterable[int], current: list[int]) -> Iterable[tuple[str, int]]:
+    """(status, revision) of each expected revision, in order; ``current`` holds the revision and is kept up to date."""
     for expected in writes:
-        if expected == current:
-            current += 1
-            yield "applied", current
+        if expected == current[0]:
+            current[0] += 1
+            yield "applied", current[0]
         else:
-            yield "conflict", current
+            yield "conflict", current[0]
 
 
 def revision_bump(writes: DataFrame, keys: Sequence[str], order: Sequence[str], current: DataFrame | None = None) -> DataFrame:
@@ -367,12 +399,5 @@ def revision_bump(writes: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``current`` (keys, revision) is where keys stand; others start at 0. One key's writes are judged in order.
     """
     rows = join_on(writes, current.select(*keys, F.col("revision").alias("__from")), list(keys)) if current is not None else writes.withColumn("__from", F.lit(0).cast("long"))
-
-    def judge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(order))
-        start = part["__from"].iloc[0]
-        out = list(bumped(part["expected"], 0 if pd.isna(start) else int(start)))
-        return part.drop(columns="__from").assign(status=[s for s, _ in out], revision=[r for _, r in out])
-
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in writes.schema)
-    return rows.groupBy(*keys).applyInPandas(judge, f"{columns}, status string, revision long")
+    judged = judged_in_order(rows, keys, order, ["expected", "__from"], "status string, revision long", lambda row: [row[1] or 0], lambda part, now: bumped((r[0] for r in part), now))
+    return judged.drop("__from")

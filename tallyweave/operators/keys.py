@@ -56,8 +56,11 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str], ord
 
 
 def paginate(rows: DataFrame, partition: Sequence[str], order: Sequence[Column], limit: int, offset: int = 0, max_limit: int = 200, max_offset: int = 10_000) -> DataFrame:
-    """Each partition's page with ``position`` (from 1), ``total`` and ``has_more``; the limit is held to 1..max_limit."""
+    """Each partition's page with ``position`` (from 1), ``total`` and ``has_more``; the limit is held to 1..max_limit.
+
+    Rows beyond the page are left out before the partition is gathered and sorted; totals are an aggregate of their own.
+    """
     limit, offset = min(max(limit, 1), max_limit), min(max(offset, 0), max_offset)
-    w = Window.partitionBy(*partition)
-    ranked = rows.withColumns({"position": F.row_number().over(w.orderBy(*order)).cast("long"), "total": F.count("*").over(w)})
-    return ranked.where(F.col("position").between(offset + 1, offset + limit)).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("position") <= offset + limit)
+    page = ranked.where(F.col("position") > offset).withColumn("position", F.col("position").cast("long"))
+    return join_on(page, rows.groupBy(*partition).agg(F.count("*").alias("total")), partition).withColumn("has_more", F.lit(offset + limit) < F.col("total"))

@@ -64,13 +64,17 @@ def sidecar_staleness(sources: DataFrame, manifests: DataFrame, vectors: DataFra
 
 
 def sidecar_report(staleness: DataFrame, files: DataFrame) -> DataFrame:
-    """Per vault: fresh, stale, missing, co_storage_files, should_notify and the sorted paths that are not fresh."""
+    """Per vault: fresh, stale, missing, co_storage_files and should_notify; ``not_fresh`` has the paths behind it as rows."""
     s = F.col("staleness")
     counts = staleness.groupBy("vault_id").agg(
         F.count_if(s == "fresh").alias("fresh"), F.count_if(F.startswith(s, F.lit("stale_"))).alias("stale"), F.count_if(F.startswith(s, F.lit("missing_"))).alias("missing"),
-        F.array_sort(F.collect_list(F.when(s != "fresh", F.col("path")))).alias("not_fresh"),
     )
     stored = files.where(is_co_storage(F.col("path"))).groupBy("vault_id").agg(F.count("*").alias("co_storage_files"))
     return counts.join(stored, "vault_id", "left").select(
-        "vault_id", "fresh", "stale", "missing", F.coalesce("co_storage_files", F.lit(0)).alias("co_storage_files"), ((F.col("stale") > 0) | (F.col("missing") > 0)).alias("should_notify"), "not_fresh"
+        "vault_id", "fresh", "stale", "missing", F.coalesce("co_storage_files", F.lit(0)).alias("co_storage_files"), ((F.col("stale") > 0) | (F.col("missing") > 0)).alias("should_notify")
     )
+
+
+def not_fresh(staleness: DataFrame) -> DataFrame:
+    """vault_id, path, staleness of every source to embed again."""
+    return staleness.where("staleness <> 'fresh'").select("vault_id", "path", "staleness")

@@ -32,12 +32,16 @@ def assign_versions(writes: DataFrame, keys: Sequence[str] = tuple(KEY), order:
 def _pruned(rows: DataFrame, partition: Sequence[str], order: Sequence[Column], tiers: DataFrame, most: str, as_of: int) -> DataFrame:
     limited = with_limits(join_on(rows, tiers.select("tenant_id", "plan_tier"), ["tenant_id"]))
     rank = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    drop = (F.col("created_at") < as_of - F.col("max_age_secs")) | (F.col("__rank") > F.col(most))
+    stale = (F.col("created_at") < as_of - F.col("max_age_secs")) | (F.col("__rank") > F.col(most))
+    drop = F.coalesce(stale, F.lit(False))
     return limited.withColumn("__rank", rank).select(*rows.columns, drop.alias("pruned"))
 
 
 def prune_versions(history: DataFrame, tiers: DataFrame, as_of: int) -> DataFrame:
-    """``history`` with ``pruned``: older than the tenant's tier keeps, or beyond its number of versions a path."""
+    """``history`` with ``pruned``: older than the tenant's tier keeps, or beyond its number of versions a path.
+
+    A tenant without a tier has the free one; of a tenant of an unknown tier nothing is pruned.
+    """
     return _pruned(history, KEY, [F.desc("version_id")], tiers, "max_versions", as_of)
 
 
@@ -85,7 +89,7 @@ def listing(rows: DataFrame, kind: str, scope: Sequence[str], limit: int = 50, o
     orders = {
         "trash": [F.desc("deleted_at"), F.asc("path")],
         "snapshots": [F.desc("created_at"), F.desc("snapshot_id")],
-        "conflicts": [F.asc("created_at"), F.asc("conflict_no")],
+        "conflicts": [F.asc("created_at"), F.asc("conflict_id")],
         "consents": [F.asc("recorded_at"), F.asc("id")],
         "devices": [F.asc("registered_at"), F.asc("node_id")],
         "vaults": [F.asc("created_at"), F.asc("vault_id")],

@@ -82,29 +82,29 @@ def verify_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.verify_upload(chunks.withColumn("strong", strong), expected)
 
 
-def _archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("a/.disk-archive/"), "path")).when(F.col("doc_id") == 1, "index.json").when(F.col("doc_id") % 31 == 0, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
     return view(spark, sf_dir, "base").select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
-_ARCHIVE = "SELECT CASE WHEN doc_id % 31 = 0 THEN '../' || path ELSE path END AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS digest, doc_id FROM base WHERE doc_id % 50 <> 0 AND doc_id <> 1"
+ARCHIVE = "SELECT CASE WHEN doc_id % 31 = 0 THEN '../' || path ELSE path END AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS digest, doc_id FROM base WHERE doc_id % 50 <> 0 AND doc_id <> 1"
 
 
-@register(f"SELECT path, size, digest FROM ({_ARCHIVE}) a")
+@register(f"SELECT path, size, digest FROM ({ARCHIVE}) a")
 def archive_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.archive_create(_archive_files(spark, sf_dir))[0]
+    return blocks.archive_create(archive_files(spark, sf_dir))[0]
 
 
-@register(f"SELECT DISTINCT digest, left(digest, 2) AS hh FROM ({_ARCHIVE}) a")
+@register(f"SELECT DISTINCT digest, left(digest, 2) AS hh FROM ({ARCHIVE}) a")
 def archive_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.archive_create(_archive_files(spark, sf_dir))[1].select("digest", "hh")
+    return blocks.archive_create(archive_files(spark, sf_dir))[1].select("digest", "hh")
 
 
 @register(
-    f"""SELECT path, size, digest, CASE WHEN path LIKE '../%' THEN 'unsafe_path' WHEN left(digest, 1) = '0' THEN 'missing' WHEN left(digest, 1) = '1' THEN 'integrity_failed' ELSE 'ok' END AS status FROM ({_ARCHIVE}) a"""
+    f"""SELECT path, size, digest, CASE WHEN path LIKE '../%' THEN 'unsafe_path' WHEN left(digest, 1) = '0' THEN 'missing' WHEN left(digest, 1) = '1' THEN 'integrity_failed' ELSE 'ok' END AS status FROM ({ARCHIVE}) a"""
 )
 def archive_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, slots = blocks.archive_create(_archive_files(spark, sf_dir))
+    index, slots = blocks.archive_create(archive_files(spark, sf_dir))
     broken = slots.where("digest not like '0%'").withColumn("content", F.when(F.startswith("digest", F.lit("1")), F.concat("content", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("content")))
     return blocks.archive_restore(index, broken)
 
@@ -144,6 +144,20 @@ def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.three_way_merge(_bases(spark, sf_dir).select(*KEY, "base", "local", "remote")).select(*KEY, "outcome", "reason", F.sha2("merged", 256).alias("merged_hash"))
 
 
+_SIDES = """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'a.bin' ELSE 'a.md' END AS path, CASE WHEN doc_id % 4 <> 3 THEN 'one' || NL || body || NL || 'last' || NL END AS base, 'ONE' || NL || body || NL || 'last' || NL AS local,
+  CASE WHEN doc_id % 4 = 1 THEN 'Uno' || NL || body || NL || 'last' || NL ELSE 'one' || NL || body || NL || 'LAST' || NL END AS remote, body FROM (SELECT doc_id, replace(text, NL, ' ') AS body FROM $documents WHERE text IS NOT NULL) d""".replace("NL", "chr(10)")
+
+
+@register(
+    f"""WITH s AS ({_SIDES}) SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'merged' WHEN 1 THEN 'conflicted' ELSE 'fork' END AS outcome, CASE doc_id % 4 WHEN 2 THEN 'extension' WHEN 3 THEN 'no_base' ELSE 'ok' END AS reason,
+      CASE doc_id % 4 WHEN 0 THEN sha256('ONE' || chr(10) || body || chr(10) || 'LAST' || chr(10)) WHEN 1 THEN sha256('<<<<<<< local' || chr(10) || 'ONE' || chr(10) || '=======' || chr(10) || 'Uno' || chr(10) || '>>>>>>> remote' || chr(10) || body || chr(10) || 'last' || chr(10)) END AS merged_hash FROM s"""
+)
+def line_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges whose outcome their making fixes: edits of different lines, of one line, a binary name, no base."""
+    sides = query(spark, sf_dir, _SIDES).select("doc_id", "path", *[F.encode(c, "UTF-8").alias(c) for c in ("base", "local", "remote")])
+    return merge.three_way_merge(sides).select("doc_id", "outcome", "reason", F.sha2("merged", 256).alias("merged_hash"))
+
+
 @register(
     """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_base' WHEN strlen(text) > 8000 THEN 'too_large' WHEN doc_id % 5 = 0 THEN 'binary' WHEN doc_id % 3 = 0 THEN 'not_text' ELSE 'ok' END AS verdict FROM base"""
 )

@@ -93,8 +93,8 @@ def _views(d: Dialect) -> dict[str, str]:
             f"CASE WHEN o_orderstatus = 'F' AND o_orderkey % 11 <> 0 THEN {d.epoch('o_orderdate')} END AS deleted_at, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END AS version_id, o_orderkey FROM $orders"
         ),
         "tenants": (
-            "SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 't' || CAST(c_custkey % 50 AS STRING) END AS tenant_id, "
-            "CASE min(c_mktsegment) WHEN 'BUILDING' THEN 'pro' WHEN 'MACHINERY' THEN 'team' WHEN 'AUTOMOBILE' THEN NULL ELSE 'free' END AS plan_tier FROM $customer GROUP BY c_custkey % 50"
+            "SELECT DISTINCT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 't' || CAST(c_custkey % 50 AS STRING) END AS tenant_id, "
+            "CASE (c_custkey % 50) % 7 WHEN 0 THEN 'Pro' WHEN 1 THEN 'TEAM' WHEN 2 THEN NULL WHEN 3 THEN 'free' WHEN 4 THEN 'gold' WHEN 5 THEN 'pro' ELSE 'team' END AS plan_tier FROM $customer"
         ),
         "users": (
             "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 't' || CAST(c_custkey % 50 AS STRING) END AS tenant_id, "
@@ -157,9 +157,9 @@ def compose(sql: str, d: Dialect) -> str:
     """``sql`` with the views it reads as common table expressions, and table marks resolved."""
     views = _views(d)
     names = _needed(sql, views, [])
-    own = re.match(r"\s*WITH\s+", sql)
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
     head = ", ".join(f"{n} AS ({views[n]})" for n in names)
-    text = f"WITH {head}, {sql[own.end():]}" if own and head else f"WITH {head} {sql}" if head else sql
+    text = f"WITH {own[1] or ''}{head}, {sql[own.end():]}" if own and head else f"WITH {head} {sql}" if head else sql
     return re.sub(r"\$(\w+)", lambda m: d.table(m[1]), text)
 
 

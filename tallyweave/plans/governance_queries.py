@@ -40,7 +40,7 @@ def history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     f"""WITH {_TIER}, {_COUNTS}, used AS (SELECT tenant_id, CAST(sum(size) FILTER (NOT deleted) AS BIGINT) AS b FROM files GROUP BY tenant_id), vl AS (SELECT tenant_id, string_agg(DISTINCT vault_id, ',' ORDER BY vault_id) AS l FROM vaults GROUP BY tenant_id),
       nl AS (SELECT tenant_id, string_agg(node_id, ',' ORDER BY node_id) AS l FROM nodes WHERE NOT revoked GROUP BY tenant_id)
-    SELECT t.tenant_id, t.name AS plan_tier, storage AS max_storage_bytes, t.max_nodes, t.max_vaults, coalesce(b, 0) AS used_bytes, coalesce(users, 0) AS users, coalesce(active_nodes, 0) AS active_nodes, coalesce(vaults, 0) AS vaults, coalesce(trash, 0) AS trash,
+    SELECT t.tenant_id, coalesce(t.name, t.raw) AS plan_tier, storage AS max_storage_bytes, t.max_nodes, t.max_vaults, coalesce(b, 0) AS used_bytes, coalesce(users, 0) AS users, coalesce(active_nodes, 0) AS active_nodes, coalesce(vaults, 0) AS vaults, coalesce(trash, 0) AS trash,
       coalesce(unresolved_conflicts, 0) AS unresolved_conflicts, coalesce(vl.l, '') AS vault_ids, coalesce(nl.l, '') AS node_ids
     FROM tier t LEFT JOIN c ON c.tenant_id IS NOT DISTINCT FROM t.tenant_id LEFT JOIN used ON used.tenant_id IS NOT DISTINCT FROM t.tenant_id LEFT JOIN vl ON vl.tenant_id IS NOT DISTINCT FROM t.tenant_id LEFT JOIN nl ON nl.tenant_id IS NOT DISTINCT FROM t.tenant_id"""
 )
@@ -54,7 +54,7 @@ _UPLOADS = "SELECT tenant_id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' || CAST(o_
 
 @register(
     f"""WITH {_TIER}, u AS ({_UPLOADS}), used AS (SELECT tenant_id, sum(size) FILTER (NOT deleted) AS b FROM files GROUP BY tenant_id), vc AS (SELECT tenant_id, count(*) AS n FROM vaults GROUP BY tenant_id)
-    SELECT u.*, CASE WHEN NOT EXISTS (SELECT 1 FROM vaults v WHERE {same('v', 'u', 'tenant_id vault_id')}) AND coalesce(vc.n, 0) >= max_vaults THEN 'vaults_exceeded'
+    SELECT u.*, CASE WHEN t.raw IS NOT NULL AND t.name IS NULL THEN 'unknown_tier' WHEN NOT EXISTS (SELECT 1 FROM vaults v WHERE {same('v', 'u', 'tenant_id vault_id')}) AND coalesce(vc.n, 0) >= max_vaults THEN 'vaults_exceeded'
       WHEN coalesce(b, 0) + u.size - coalesce(f.size, 0) > storage THEN 'storage_exceeded' ELSE 'ok' END AS verdict
     FROM u LEFT JOIN tier t ON t.tenant_id IS NOT DISTINCT FROM u.tenant_id LEFT JOIN used ON used.tenant_id IS NOT DISTINCT FROM u.tenant_id LEFT JOIN vc ON vc.tenant_id IS NOT DISTINCT FROM u.tenant_id LEFT JOIN files f ON {same('f', 'u')}"""
 )
@@ -62,7 +62,7 @@ def quota_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.quota_verdict(query(spark, sf_dir, _UPLOADS), *_tables(spark, sf_dir, "files", "vaults", "tenants"))
 
 
-@register(f"WITH {_TIER} SELECT t.tenant_id, count(n.node_id) AS active_nodes, CASE WHEN count(n.node_id) >= max_nodes THEN 'nodes_exceeded' ELSE 'ok' END AS verdict FROM tier t LEFT JOIN nodes n ON n.tenant_id IS NOT DISTINCT FROM t.tenant_id AND NOT n.revoked GROUP BY t.tenant_id, max_nodes")
+@register(f"WITH {_TIER} SELECT t.tenant_id, count(n.node_id) AS active_nodes, CASE WHEN max_nodes IS NULL THEN 'unknown_tier' WHEN count(n.node_id) >= max_nodes THEN 'nodes_exceeded' ELSE 'ok' END AS verdict FROM tier t LEFT JOIN nodes n ON n.tenant_id IS NOT DISTINCT FROM t.tenant_id AND NOT n.revoked GROUP BY t.tenant_id, max_nodes")
 def node_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.node_capacity(*_tables(spark, sf_dir, "tenants", "nodes"))
 
@@ -144,12 +144,13 @@ def role_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.role_changes(acl.where("s_suppkey % 5 <> 0"), acl.where("s_suppkey % 7 <> 0").withColumn("role", F.expr("if(c_custkey % 3 = 0, 'receive_only', role)")))
 
 
-_MEMBERS = """SELECT c_custkey AS user_id, 'v' || CAST(c_custkey % 9 AS STRING) AS vault_id, 't' || CAST(c_nationkey AS STRING) AS owner_tenant, CASE WHEN c_custkey % 2 = 0 THEN 'editor' ELSE 'viewer' END AS role FROM users WHERE c_custkey % 3 <> 0"""
+_MEMBERS = """SELECT c_custkey AS user_id, 'v' || CAST(c_custkey % 9 AS STRING) AS vault_id, 't' || CAST(c_nationkey AS STRING) AS owner_tenant, CASE WHEN c_custkey % 2 = 0 THEN 'editor' ELSE 'viewer' END AS role FROM users WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'v' || CAST(c_custkey % 9 AS STRING), CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 't' || CAST(c_nationkey + 3 AS STRING) END, 'viewer' FROM users WHERE c_custkey % 4 = 0"""
 _REQUESTS = "SELECT o_orderkey, o_custkey AS user_id, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE 't' || CAST(o_custkey % 50 AS STRING) END AS tenant_id, CASE WHEN o_orderkey % 2 = 0 THEN 'v' || CAST(o_custkey % 9 AS STRING) ELSE o_orderpriority END AS vault_id FROM $orders"
 
 
 @register(
-    f"""WITH q AS ({_REQUESTS}), m AS ({_MEMBERS}), v AS (SELECT * FROM vaults WHERE created_at % 2 = 0), j AS (SELECT q.*, EXISTS (SELECT 1 FROM v WHERE {same('v', 'q', 'tenant_id vault_id')}) AS own, m.role, m.owner_tenant FROM q LEFT JOIN m ON m.user_id = q.user_id AND m.vault_id = q.vault_id)
+    f"""WITH q AS ({_REQUESTS}), m AS ({_MEMBERS}), v AS (SELECT * FROM vaults WHERE created_at % 2 = 0), j AS (SELECT q.*, EXISTS (SELECT 1 FROM v WHERE {same('v', 'q', 'tenant_id vault_id')}) AS own, m.role, m.owner_tenant FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, vault_id ORDER BY owner_tenant NULLS FIRST, role) AS rn FROM m) m ON m.user_id = q.user_id AND m.vault_id = q.vault_id AND m.rn = 1)
     SELECT o_orderkey, CASE WHEN own THEN tenant_id WHEN role IS NOT NULL THEN owner_tenant END AS data_tenant, CASE WHEN own THEN 'owner' ELSE coalesce(role, 'denied') END AS access, own OR role IS NOT NULL AS may_read, own OR coalesce(role = 'editor', false) AS may_write, own AS may_manage FROM j"""
 )
 def vault_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,15 +177,15 @@ def org_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.org_directory(*(query(spark, sf_dir, s) for s in (_ORG_MEMBERS, _ORGS, _CONTEXT)))
 
 
-_FIRED = "SELECT doc_id AS event_id, tenant_id, vault_id, CASE WHEN doc_id % 3 = 0 THEN 'sync.file_changed' ELSE 'sync.file_deleted' END AS event, doc_id * 60 AS created_at, path AS payload FROM base"
+FIRED = "SELECT doc_id AS event_id, tenant_id, vault_id, CASE WHEN doc_id % 3 = 0 THEN 'sync.file_changed' ELSE 'sync.file_deleted' END AS event, doc_id * 60 AS created_at, path AS payload FROM base"
 
 
 @register(
-    f"""WITH f AS ({_FIRED}) SELECT f.event_id, h.hook_id, h.url, '{{"id":"evt_' || f.event_id || '","event":"' || f.event || '","created_at":' || f.created_at || ',"vault_id":"' || f.vault_id || '","data":"' || f.payload || '"}}' AS body
+    f"""WITH f AS ({FIRED}) SELECT f.event_id, h.hook_id, h.url, '{{"id":"evt_' || f.event_id || '","event":"' || f.event || '","created_at":' || f.created_at || ',"vault_id":"' || f.vault_id || '","data":"' || f.payload || '"}}' AS body
     FROM f JOIN hooks h ON {same('h', 'f', 'tenant_id vault_id')} WHERE h.enabled AND h.secret <> '' AND contains(h.events_json, '"' || f.event || '"')"""
 )
 def webhook_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.webhook_fanout(query(spark, sf_dir, _FIRED), view(spark, sf_dir, "hooks"))
+    return governance.webhook_fanout(query(spark, sf_dir, FIRED), view(spark, sf_dir, "hooks"))
 
 
 _TOKENS = "SELECT CAST(c_custkey AS STRING) AS token_hash, c_custkey * 100 AS issued_at, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey * 200 END AS ttl, c_custkey % 7 = 0 AS revoked, c_custkey % 5 = 0 AS used FROM $customer"
@@ -192,8 +193,9 @@ _TRIES = "SELECT o_orderkey AS attempt_id, CAST(o_custkey * 2 AS STRING) AS toke
 
 
 @register(
-    f"""WITH t AS ({_TOKENS}), a AS ({_TRIES}) SELECT a.*, CASE WHEN t.token_hash IS NULL THEN 'not_found' WHEN revoked THEN 'revoked' WHEN used THEN 'replay' WHEN issued_at + least(coalesce(ttl, 3600), 86400) < second THEN 'expired' ELSE 'ok' END AS status
-    FROM a LEFT JOIN t ON t.token_hash = a.token_hash"""
+    f"""WITH t AS ({_TOKENS}), a AS ({_TRIES}), j AS (SELECT a.*, t.token_hash IS NULL AS unknown, revoked, used, issued_at + least(coalesce(ttl, 3600), 86400) < second AS late FROM a LEFT JOIN t ON t.token_hash = a.token_hash),
+      o AS (SELECT *, min(CASE WHEN NOT (revoked OR used OR late) THEN (second, attempt_id) END) OVER (PARTITION BY token_hash) AS first FROM j)
+    SELECT attempt_id, token_hash, second, CASE WHEN unknown THEN 'not_found' WHEN revoked THEN 'revoked' WHEN used OR (second, attempt_id) > first THEN 'replay' WHEN late THEN 'expired' ELSE 'ok' END AS status FROM o"""
 )
 def enrollment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.enrollment_status(query(spark, sf_dir, _TRIES), query(spark, sf_dir, _TOKENS))
@@ -296,12 +298,24 @@ def failure_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.failure_window(view(spark, sf_dir, "attempts")).select("key", "event_id", "failures")
 
 
-@register(None)
+@register(
+    """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second, event_id) AS i FROM attempts), r AS (
+      SELECT key, second, event_id, success, i, CASE WHEN success THEN 'ok' ELSE 'failed' END AS status, CAST(0 AS BIGINT) AS retry_after, CASE WHEN success THEN CAST([] AS BIGINT[]) ELSE [second] END AS f FROM n WHERE i = 1
+      UNION ALL SELECT key, second, event_id, success, i, CASE WHEN len(k) >= 2 THEN 'blocked' WHEN success THEN 'ok' ELSE 'failed' END, CASE WHEN len(k) >= 2 THEN greatest(1, 60 - (second - list_min(k))) ELSE 0 END,
+        CASE WHEN len(k) >= 2 THEN k WHEN success THEN [] ELSE list_append(k, second) END
+      FROM (SELECT n.*, list_filter(r.f, lambda x: n.second - x < 60) AS k FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1) q)
+    SELECT key, second, event_id, success, status, retry_after FROM r"""
+)
 def auth_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.auth_rate_limit(view(spark, sf_dir, "attempts"), most=2)
 
 
-@register(None)
+@register(
+    """WITH RECURSIVE n AS (SELECT key, event_id, counter % 4 AS expected, row_number() OVER (PARTITION BY key ORDER BY event_id) AS i FROM messages), r AS (
+      SELECT key, event_id, expected, i, CASE WHEN expected = 0 THEN 'applied' ELSE 'conflict' END AS status, CASE WHEN expected = 0 THEN CAST(1 AS BIGINT) ELSE 0 END AS revision FROM n WHERE i = 1
+      UNION ALL SELECT n.key, n.event_id, n.expected, n.i, CASE WHEN n.expected = r.revision THEN 'applied' ELSE 'conflict' END, CASE WHEN n.expected = r.revision THEN r.revision + 1 ELSE r.revision END FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)
+    SELECT key AS path, event_id, expected, status, revision FROM r"""
+)
 def revision_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes = view(spark, sf_dir, "messages").selectExpr("key as path", "event_id", "counter % 4 as expected")
     return governance.revision_bump(writes, ["path"], ["event_id"])
@@ -310,26 +324,32 @@ def revision_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sidecars
 
 
-@register(
-    """WITH j AS (SELECT b.vault_id, b.path, CASE WHEN m.source_path IS NULL THEN 'missing_manifest' WHEN v.bytes IS NULL THEN 'missing_vector' WHEN m.content_hash <> sha256(b.text) THEN 'stale_hash' WHEN model_id <> 'm1' THEN 'stale_model'
+_STALENESS = """j AS (SELECT b.vault_id, b.path, CASE WHEN m.source_path IS NULL THEN 'missing_manifest' WHEN v.bytes IS NULL THEN 'missing_vector' WHEN m.content_hash <> sha256(b.text) THEN 'stale_hash' WHEN model_id <> 'm1' THEN 'stale_model'
       WHEN dimensions <> 64 THEN 'stale_dimensions' WHEN vector_bytes <> bytes THEN 'stale_vector_size' ELSE 'fresh' END AS staleness
-      FROM base b LEFT JOIN manifests m ON m.vault_id = b.vault_id AND m.source_path = b.path LEFT JOIN sidecar_vectors v ON v.vault_id = b.vault_id AND v.source_path = b.path) SELECT * FROM j"""
-)
+      FROM base b LEFT JOIN manifests m ON m.vault_id = b.vault_id AND m.source_path = b.path LEFT JOIN sidecar_vectors v ON v.vault_id = b.vault_id AND v.source_path = b.path)"""
+
+
+@register(f"WITH {_STALENESS} SELECT * FROM j")
 def sidecar_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = view(spark, sf_dir, "base").select("vault_id", "path", F.sha2("text", 256).alias("content_hash"))
     return sidecars.sidecar_staleness(sources, *_tables(spark, sf_dir, "manifests", "sidecar_vectors"), "m1", 64)
 
 
+@register(f"WITH {_STALENESS} SELECT * FROM j WHERE staleness <> 'fresh'")
+def stale_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sidecars.not_fresh(sidecar_staleness(spark, sf_dir))
+
+
 @register(
     """WITH j AS (SELECT b.vault_id, b.path, CASE WHEN m.source_path IS NULL OR v.bytes IS NULL THEN 'missing' WHEN m.content_hash <> sha256(b.text) OR model_id <> 'm1' OR dimensions <> 64 OR vector_bytes <> bytes THEN 'stale' ELSE 'fresh' END AS s
       FROM base b LEFT JOIN manifests m ON m.vault_id = b.vault_id AND m.source_path = b.path LEFT JOIN sidecar_vectors v ON v.vault_id = b.vault_id AND v.source_path = b.path), c AS (SELECT vault_id, count(*) AS n FROM manifests GROUP BY vault_id)
-    SELECT j.vault_id, count(*) FILTER (s = 'fresh') AS fresh, count(*) FILTER (s = 'stale') AS stale, count(*) FILTER (s = 'missing') AS missing, coalesce(any_value(c.n), 0) AS co_storage_files, count(*) FILTER (s <> 'fresh') > 0 AS should_notify,
-      string_agg(path, ',' ORDER BY path) FILTER (s <> 'fresh') AS not_fresh FROM j LEFT JOIN c ON c.vault_id = j.vault_id GROUP BY j.vault_id"""
+    SELECT j.vault_id, count(*) FILTER (s = 'fresh') AS fresh, count(*) FILTER (s = 'stale') AS stale, count(*) FILTER (s = 'missing') AS missing, coalesce(any_value(c.n), 0) AS co_storage_files, count(*) FILTER (s <> 'fresh') > 0 AS should_notify
+    FROM j LEFT JOIN c ON c.vault_id = j.vault_id GROUP BY j.vault_id"""
 )
 def sidecar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = view(spark, sf_dir, "manifests").select("vault_id", F.concat(F.lit(".disk-embeddings/"), "source_path").alias("path"))
     files = view(spark, sf_dir, "base").select("vault_id", "path").unionByName(stored)
-    return sidecars.sidecar_report(sidecar_staleness(spark, sf_dir), files).withColumn("not_fresh", F.array_join("not_fresh", ","))
+    return sidecars.sidecar_report(sidecar_staleness(spark, sf_dir), files)
 
 
 @register(

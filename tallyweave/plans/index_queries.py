@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tiers import parse_tier, with_limits
+from ..functions.tiers import with_limits
 from ..operators import index, versions
 from ..operators.keys import upsert
 from ..schemas import KEY, SCOPE, ZERO_HASH
@@ -13,8 +13,8 @@ from .fixtures import AS_OF, query, view
 from .reconcile_queries import same
 from .registry import register
 
-_TIER = """tier AS (SELECT t.tenant_id, l.* FROM tenants t JOIN (VALUES ('free', 5368709120, 2, 1, 5, 2, 604800), ('pro', 107374182400, 10, 5, 30, 20, 7776000), ('team', 1099511627776, 50, 20, 100, 100, 31536000))
-  l(name, storage, max_nodes, max_vaults, versions, snapshots, age) ON l.name = coalesce(t.plan_tier, 'free'))"""
+_TIER = """tier AS (SELECT t.tenant_id, t.plan_tier AS raw, l.* FROM tenants t LEFT JOIN (VALUES ('free', 5368709120, 2, 1, 5, 2, 604800), ('pro', 107374182400, 10, 5, 30, 20, 7776000), ('team', 1099511627776, 50, 20, 100, 100, 31536000))
+  l(name, storage, max_nodes, max_vaults, versions, snapshots, age) ON l.name = lower(coalesce(t.plan_tier, 'free')))"""
 
 
 # Index
@@ -142,7 +142,7 @@ def assign_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {_TIER}, h AS (SELECT h.*, row_number() OVER (PARTITION BY h.tenant_id, h.vault_id, path ORDER BY version_id DESC) AS rn FROM history h)
-    SELECT h.tenant_id, h.vault_id, count(*) AS n, count(*) FILTER (created_at < {AS_OF} - coalesce(age, 604800) OR rn > coalesce(tier.versions, 5)) AS pruned FROM h LEFT JOIN tier ON tier.tenant_id IS NOT DISTINCT FROM h.tenant_id GROUP BY ALL"""
+    SELECT h.tenant_id, h.vault_id, count(*) AS n, count(*) FILTER (CASE WHEN tier.raw IS NULL THEN created_at < {AS_OF} - 604800 OR rn > 5 ELSE created_at < {AS_OF} - age OR rn > tier.versions END) AS pruned FROM h LEFT JOIN tier ON tier.tenant_id IS NOT DISTINCT FROM h.tenant_id GROUP BY ALL"""
 )
 def prune_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = versions.prune_versions(view(spark, sf_dir, "history"), view(spark, sf_dir, "tenants"), AS_OF)
@@ -154,7 +154,7 @@ _SNAPS = "SELECT tenant_id, vault_id, doc_id AS snapshot_id, 990000000 + (doc_id
 
 @register(
     f"""WITH {_TIER}, s AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, vault_id ORDER BY created_at DESC, snapshot_id DESC) AS rn FROM ({_SNAPS}) q)
-    SELECT s.tenant_id, s.vault_id, s.snapshot_id, created_at < {AS_OF} - age OR rn > snapshots AS pruned FROM s LEFT JOIN tier ON tier.tenant_id IS NOT DISTINCT FROM s.tenant_id"""
+    SELECT s.tenant_id, s.vault_id, s.snapshot_id, coalesce(created_at < {AS_OF} - age OR rn > snapshots, false) AS pruned FROM s LEFT JOIN tier ON tier.tenant_id IS NOT DISTINCT FROM s.tenant_id"""
 )
 def prune_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.prune_snapshots(query(spark, sf_dir, _SNAPS), view(spark, sf_dir, "tenants"), AS_OF).drop("created_at")
@@ -211,9 +211,9 @@ def snapshot_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.listing(query(spark, sf_dir, _SNAPS), "snapshots", SCOPE, 20).select(*SCOPE, "snapshot_id", "position", "total", "has_more")
 
 
-@register(_page("SELECT *, conflict_id AS conflict_no FROM conflicts", "tenant_id", "created_at, conflict_no", "tenant_id, conflict_id"))
+@register(_page("SELECT * FROM conflicts", "tenant_id", "created_at, conflict_id", "tenant_id, conflict_id"))
 def conflict_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.listing(view(spark, sf_dir, "conflicts").withColumn("conflict_no", F.col("conflict_id")), "conflicts", ["tenant_id"], 20).select("tenant_id", "conflict_id", "position", "total", "has_more")
+    return versions.listing(view(spark, sf_dir, "conflicts"), "conflicts", ["tenant_id"], 20).select("tenant_id", "conflict_id", "position", "total", "has_more")
 
 
 _CONSENTS = "SELECT user_id, event_id AS id, event_id % 50 AS recorded_at FROM $events"
@@ -317,7 +317,6 @@ def trash_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.trash_scopes(view(spark, sf_dir, "files"))
 
 
-@register(f"WITH {_TIER} SELECT tenant_id, name AS plan_tier, storage AS max_storage_bytes, max_nodes, max_vaults, versions AS max_versions, snapshots AS max_snapshots, CAST(age AS BIGINT) AS max_age_secs FROM tier")
+@register(f"WITH {_TIER} SELECT tenant_id, raw AS plan_tier, storage AS max_storage_bytes, max_nodes, max_vaults, versions AS max_versions, snapshots AS max_snapshots, CAST(age AS BIGINT) AS max_age_secs FROM tier")
 def tier_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tenants = view(spark, sf_dir, "tenants").withColumn("plan_tier", F.coalesce(parse_tier(F.upper("plan_tier")), F.lit("free")))
-    return with_limits(tenants)
+    return with_limits(view(spark, sf_dir, "tenants"))

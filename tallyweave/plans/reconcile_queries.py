@@ -205,7 +205,7 @@ def tombstone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_ACTIONS} SELECT tenant_id, vault_id, path, CAST(row_number() OVER (PARTITION BY tenant_id, vault_id ORDER BY path) AS INTEGER) AS conflict_no, kind AS conflict_type, local_hash, remote_hash, base_hash,
+    f"""WITH {_ACTIONS} SELECT tenant_id, vault_id, path, sha256(coalesce(tenant_id, '') || chr(10) || vault_id || chr(10) || path) AS conflict_id, kind AS conflict_type, local_hash, remote_hash, base_hash,
       CASE WHEN action = 'conflict_fork' THEN regexp_replace(path, '\\.md$', '.sync-conflict-deface00-20010909-014640.md') END AS fork_path FROM actions WHERE kind IS NOT NULL"""
 )
 def record_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,32 +20,54 @@ AUDIT_KINDS = (
 )
 
 
+#: Changed files that a scan with prior rows loads by name.
+LISTED = 10_000
+
+
+def _decoded() -> Column:
+    """A file's name, from the URI that a scan shows."""
+    return F.url_decode(F.regexp_replace("__uri", r"\+", "%2B"))
+
+
 def _under(root: str) -> Column:
-    """Path below ``root``, from the URI that a scan shows."""
-    at = F.locate(root.rstrip("/") + "/", F.url_decode(F.regexp_replace("__uri", r"\+", "%2B")))
-    return F.substring(F.url_decode(F.regexp_replace("__uri", r"\+", "%2B")), at + len(root.rstrip("/")) + 1, F.lit(1 << 30))
+    """Path below ``root``."""
+    at = F.locate(root.rstrip("/") + "/", _decoded())
+    return F.substring(_decoded(), at + len(root.rstrip("/")) + 1, F.lit(1 << 30))
 
 
 def scan_manifest(spark: SparkSession, root: str, tenant_id: str | None, vault_id: str, node_id: str, rules: FilterRules = FilterRules(), prior: DataFrame | None = None) -> DataFrame:
     """Manifest rows of the regular files under ``root`` that the rules let pass.
 
-    Contents are read only to be hashed, and not at all where a prior row has the same size and mtime. Clocks come from the
-    prior row, else they are empty; the file system's inode is not shown to Spark and stays null, and Spark's scan passes
-    over files of no bytes.
+    Contents are read only to be hashed, and not at all where a prior row has the same size and mtime: the listing is met with
+    ``prior`` first, and then just the misses are loaded, by name up to LISTED of them, beyond it those as young as the
+    oldest miss. Clocks come from the prior row, else they are empty; the file system's inode is not shown to Spark and stays
+    null, and Spark's scan passes over files of no bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = files.withColumnRenamed("path", "__uri").select(
-        F.lit(tenant_id).cast("string").alias("tenant_id"), F.lit(vault_id).alias("vault_id"), F.lit(node_id).alias("node_id"), _under(root).alias("path"),
-        F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("long").alias("inode"),
-        F.create_map().cast("map<string,long>").alias("vector_clock"), F.lit(False).alias("deleted"),
-    )
-    kept = base.where(~is_excluded(F.col("path"), rules))
+    reader = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    named = lambda files: files.withColumnRenamed("path", "__uri").withColumn("path", _under(root))
+    files = named(reader.option("recursiveFileLookup", True).load(root)).where(~is_excluded(F.col("path"), rules))
+    digest = F.sha2("content", 256).alias("content_hash")
+
+    def rows(files: DataFrame, content_hash: Column) -> DataFrame:
+        return files.select(
+            F.lit(tenant_id).cast("string").alias("tenant_id"), F.lit(vault_id).alias("vault_id"), F.lit(node_id).alias("node_id"), "path",
+            F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), content_hash, F.lit(None).cast("long").alias("inode"),
+            F.create_map().cast("map<string,long>").alias("vector_clock"), F.lit(False).alias("deleted"),
+        )
+
     if prior is None:
-        return kept
-    listed = kept.drop("content_hash")
-    hit, miss = fastpath_hash(listed.withColumn("content_hash", F.lit(None).cast("string")), prior)
-    hashed = miss.join(kept.select("path", "content_hash"), "path")
-    return hit.unionByName(hashed.select(*hit.columns)).select(*kept.columns)
+        return rows(files, digest)
+    listed = rows(files, F.lit(None).cast("string").alias("content_hash"))
+    hit, miss = fastpath_hash(listed, prior)
+    some = files.join(miss.select("path"), "path", "left_semi").select(_decoded().alias("file"), "modificationTime").limit(LISTED + 1).collect()
+    if len(some) <= LISTED:
+        escaped = [re.sub(r"([\\*?{}\[\],])", r"\\\1", r["file"]) for r in some]
+        missed = named(reader.load(escaped)) if some else files.limit(0)
+    else:
+        oldest = files.join(miss.select("path"), "path", "left_semi").agg(F.min("modificationTime")).first()[0]
+        missed = named(reader.option("recursiveFileLookup", True).load(root)).where(F.col("modificationTime") >= F.lit(oldest))
+    hashed = miss.join(missed.select("path", digest), "path")
+    return hit.unionByName(hashed.select(*hit.columns)).select(*listed.columns)
 
 
 def archive_read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -52,14 +76,27 @@ def archive_read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_write_index(index: DataFrame, path: str) -> None:
-    """The index as one document, entries by path."""
+    """The index as one document, entries by path, as archives carry it: for as many entries as one row holds.
+
+    ``archive_write_entries`` writes any number, an entry a line.
+    """
     entries = index.agg(F.array_sort(F.collect_list(F.struct("path", "size", "digest"))).alias("entries"))
     entries.select(F.lit(1).alias("version"), "entries").coalesce(1).write.mode("overwrite").json(path)
 
 
-def sidecar_read(spark: SparkSession, root: str) -> DataFrame:
-    """Fields of every readable ``*.manifest.json`` under ``root``; an unreadable one counts as missing."""
-    reader = spark.read.schema(SIDECAR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.manifest.json").option("mode", "PERMISSIVE")
+def archive_write_entries(index: DataFrame, path: str) -> None:
+    """The index as lines of JSON in path order, in as many files as Spark makes."""
+    index.select("path", "size", "digest").orderBy("path").write.mode("overwrite").json(path)
+
+
+def archive_read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, digest of each line that ``archive_write_entries`` wrote."""
+    return spark.read.schema("path string, size long, digest string").json(path)
+
+
+def sidecar_read(spark: SparkSession, root: str, names: str = "*.manifest.json") -> DataFrame:
+    """Fields of every readable sidecar (by default ``*.manifest.json``) under ``root``; an unreadable one counts as missing."""
+    reader = spark.read.schema(SIDECAR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).option("mode", "PERMISSIVE")
     return reader.json(root).where("source_path is not null and content_hash is not null")
 
 

@@ -1,12 +1,17 @@
 """Keyed state over streams: replay guard, failure limiter, revisions.
 
 A key's rows of one micro-batch are judged in order of their sequence columns; between micro-batches the order of arrival
-counts, as it does on any stream.
+counts, as it does on any stream. A key's rows of one micro-batch are held together, so what a trigger may read bounds them.
+With ``keep``, state that was not written for that long (processing time) expires: set it on queries that run on, a day for
+the limiter and as long as messages may be sent again for the guard. A query over what is there now (``availableNow``) must
+go without, for with processing time it never ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +21,11 @@ from ..operators.governance import bumped, limited
 
 
 class _Replay(StatefulProcessor):
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "last long")
+        self.last = handle.getValueState("last", "last long", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         part = pd.concat(rows).sort_values("event_id")
@@ -34,11 +42,11 @@ class _Replay(StatefulProcessor):
 
 
 class _Limiter(StatefulProcessor):
-    def __init__(self, most: int, window: int):
-        self.most, self.window = most, window
+    def __init__(self, most: int, window: int, ttl: int | None):
+        self.most, self.window, self.ttl = most, window, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failures = handle.getListState("failures", "second long")
+        self.failures = handle.getListState("failures", "second long", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         part = pd.concat(rows).sort_values(["second", "event_id"])
@@ -55,14 +63,17 @@ class _Limiter(StatefulProcessor):
 
 
 class _Revisions(StatefulProcessor):
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.revision = handle.getValueState("revision", "revision long")
+        self.revision = handle.getValueState("revision", "revision long", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         part = pd.concat(rows).sort_values("event_id")
-        now = int(self.revision.get()[0]) if self.revision.exists() else 0
-        out = list(bumped(part["expected"], now))
-        self.revision.update((max([now, *(r for _, r in out)]),))
+        current = [int(self.revision.get()[0]) if self.revision.exists() else 0]
+        out = list(bumped(part["expected"], current))
+        self.revision.update((current[0],))
         events = ["agent.write_ok" if s == "applied" else "agent.write_conflict" for s, _ in out]
         yield part.assign(event=events, revision=[r for _, r in out])
 
@@ -70,21 +81,25 @@ class _Revisions(StatefulProcessor):
         pass
 
 
-def _stateful(stream: DataFrame, key: list[str], processor: StatefulProcessor, added: str) -> DataFrame:
+def _stateful(stream: DataFrame, key: list[str], processor: Callable[[int | None], StatefulProcessor], keep: timedelta | None, added: str) -> DataFrame:
+    ttl = round(keep.total_seconds() * 1000) if keep else None
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
-    return stream.groupBy(*key).transformWithStateInPandas(processor, outputStructType=f"{columns}, {added}", outputMode="append", timeMode="none")
+    return stream.groupBy(*key).transformWithStateInPandas(processor(ttl), outputStructType=f"{columns}, {added}", outputMode="append", timeMode="processingTime" if ttl else "none")
 
 
-def replay_guard_stream(messages: DataFrame) -> DataFrame:
+def replay_guard_stream(messages: DataFrame, keep: timedelta | None = None) -> DataFrame:
     """Messages (key, event_id, sequence) with accepted: the sequence is above all that its key has shown."""
-    return _stateful(messages, ["key"], _Replay(), "accepted boolean")
+    return _stateful(messages, ["key"], _Replay, keep, "accepted boolean")
 
 
-def auth_limiter_stream(attempts: DataFrame, most: int = 5, window: int = 60) -> DataFrame:
+def auth_limiter_stream(attempts: DataFrame, most: int = 5, window: int = 60, keep: timedelta | None = None) -> DataFrame:
     """Attempts (key, event_id, second, success) with status and retry_after, as auth_rate_limit judges them."""
-    return _stateful(attempts, ["key"], _Limiter(most, window), "status string, retry_after long")
+    return _stateful(attempts, ["key"], partial(_Limiter, most, window), keep, "status string, retry_after long")
+
 
+def revision_stream(writes: DataFrame, keep: timedelta | None = None) -> DataFrame:
+    """Writes (path, event_id, expected) with the event to send and the path's revision.
 
-def revision_stream(writes: DataFrame) -> DataFrame:
-    """Writes (path, event_id, expected) with the event to send and the path's revision."""
-    return _stateful(writes, ["path"], _Revisions(), "event string, revision long")
+    A path is one number of state; one that expires starts at 0 again, so by default none does.
+    """
+    return _stateful(writes, ["path"], _Revisions, keep, "event string, revision long")
