@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -65,16 +66,20 @@ class BoostedTrees:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> BoostedTrees:
         """The lowest threshold at which held-out rows above it are right with the given precision; else above 1."""
-        p = self.probability(x)
-        order = np.argsort(-p, kind="stable")
-        hits = np.cumsum(np.asarray(y)[order]) / np.arange(1, len(order) + 1)
-        last = np.ones(len(order), bool)
-        last[:-1] = p[order][:-1] > p[order][1:]
-        good = np.flatnonzero((hits >= precision) & last)
-        self.threshold = float(p[order][good[-1]]) if len(good) else 1.1
+        self.threshold = threshold_at(self.probability(x), y, precision)
         return self
 
 
+def threshold_at(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The lowest probability at which rows above it are right with the given precision; above 1 if there is none."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(np.asarray(y)[order]) / np.arange(1, len(order) + 1)
+    last = np.ones(len(order), bool)
+    last[:-1] = p[order][:-1] > p[order][1:]
+    good = np.flatnonzero((hits >= precision) & last)
+    return float(p[order][good[-1]]) if len(good) else 1.1
+
+
 def fitted(x: np.ndarray, y: np.ndarray, precision: float, **options) -> BoostedTrees:
     """Trees fitted on four fifths of the rows, the threshold calibrated on the others."""
     held = np.arange(len(y)) % 5 == 4
@@ -84,5 +89,5 @@ def fitted(x: np.ndarray, y: np.ndarray, precision: float, **options) -> Boosted
 def entropy(text: str) -> float:
     if not text:
         return 0.0
-    counts = np.array([text.count(c) for c in set(text)], float) / len(text)
+    counts = np.array(list(Counter(text).values()), float) / len(text)
     return float(-(counts * np.log2(counts)).sum())

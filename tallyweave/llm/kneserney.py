@@ -1,4 +1,4 @@
-"""Perplexity of documents under an interpolated modified Kneser-Ney model of trusted text."""
+"""Perplexity of documents under interpolated modified Kneser-Ney models of trusted text."""
 
 from __future__ import annotations
 
@@ -7,30 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
 
-#: Characters in an n-gram; bits of a character's number; characters known at most (the rest share number 0).
-ORDER, BITS, CHARACTERS = 5, 12, 4094
-BEGIN = "\x02"
-#: n-grams of a model shard that is sent to the tasks; rows of labels that are sent rather than shuffled.
-SHARD_ROWS, SENT_LABELS = 8_000_000, 2_000_000
-#: A text is rejected above its language's quantile of trusted perplexities times this margin; one trusted document
-#: in HELD_OUT sets the quantiles and is not trained on, for a model knows its own text too well.
-QUANTILE, MARGIN, HELD_OUT = 0.95, 1.5, 8
+#: UTF-8 bytes in an n-gram; bits of a byte; the mark before a text, a byte that UTF-8 does not have.
+ORDER, BITS, BEGIN = 6, 8, b"\xff"
+#: Halves of the trusted text: each trains a model, and a document is scored by the model of the half that it is not in.
+FOLDS = 2
+#: n-grams of a model that is sent to the tasks (a larger one is joined); characters of texts that are joined together; rows
+#: of labels that are sent rather than shuffled.
+SENT_NGRAMS, SLICE_CHARACTERS, SENT_LABELS = 8_000_000, 32_000_000, 200_000
+#: A text is rejected above this quantile of its language's trusted perplexities.
+QUANTILE = 0.99
 
 
-def _normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+def _normal(text: str | None) -> bytes:
+    return " ".join((text or "").split()).encode("utf-8", "surrogatepass")
 
 
-def _codes(texts: list[str], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram code and text number of every character; a text is preceded by ORDER - 1 begin marks."""
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram code and text number of every byte; a text is preceded by ORDER - 1 begin marks."""
     lead = BEGIN * (ORDER - 1)
-    joined = lead + lead.join(texts)
-    ids = number[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    ids = np.frombuffer(lead + lead.join(texts), np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), lengths)
     starts = np.cumsum(lengths + ORDER - 1) - lengths
@@ -41,184 +41,207 @@ def _codes(texts: list[str], number: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, owner
 
 
-def _numbering(characters: list[str]) -> np.ndarray:
-    number = np.zeros(0x110000, np.uint16)
-    number[ord(BEGIN)] = 1
-    for i, c in enumerate(characters):
-        if c != BEGIN:
-            number[ord(c)] = i + 2
-    return number
+def _mask(k: int) -> int:
+    return (1 << BITS * k) - 1
 
 
-def _parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for at in range(0, batch.num_rows, 200):
-        part = batch.slice(at, 200)
-        yield part, [_normal(t) for t in part.column(column).to_pylist()]
+def _parts(batch: pa.RecordBatch | pa.Table, rows: int = 200) -> Iterator[tuple[pa.RecordBatch | pa.Table, list[bytes]]]:
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, [_normal(t) for t in part.column("text").to_pylist()]
 
 
-def known_characters(trusted: DataFrame) -> list[str]:
-    """The most frequent characters of the trusted text, CHARACTERS at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(0x110000, np.int64)
-            for _, texts in _parts(batch, "text"):
-                points, n = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                total[points] += n
-            points = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(total[points])], ["point", "n"])
-
-    counts = trusted.select("text").mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [chr(r["point"]) for r in counts.orderBy(F.desc("n"), "point").limit(CHARACTERS).collect()]
+def fold_of(text: Column) -> Column:
+    """The half that a text is in; equal texts are in one."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def ngram_counts(trusted: DataFrame, characters: list[str]) -> DataFrame:
-    """code, c: how often each n-gram of ORDER characters occurs in the trusted text."""
-    number = _numbering(characters)
+def ngram_counts(trusted: DataFrame) -> DataFrame:
+    """fold, code, c: how often each n-gram of ORDER bytes occurs in each half of the trusted text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_codes(texts, number)[0] for _, texts in _parts(batch, "text")]
-            which, codes = pd.factorize(np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(np.bincount(which, minlength=len(codes)), pa.int64())], ["code", "c"])
+            for fold in range(FOLDS):
+                mine = batch.filter(pa.array(np.asarray(batch.column("fold")) == fold))
+                found = [_codes(texts)[0] for _, texts in _parts(mine)]
+                which, codes = pd.factorize(np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                columns = [pa.array(np.full(len(codes), fold, np.int32)), pa.array(codes, pa.int64()), pa.array(np.bincount(which, minlength=len(codes)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["fold", "code", "c"])
 
-    return trusted.select("text").mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    counted = trusted.select(fold_of(F.col("text")).alias("fold"), "text").mapInArrow(count, "fold int, code long, c long")
+    return counted.groupBy("fold", "code").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    n = counts.agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]).first()
-    n1, n2, n3, n4 = (n[f"n{i}"] or 0 for i in range(1, 5))
+def _by_fold(values: dict[int, float]) -> Column:
+    out = F.lit(None).cast("double")
+    for fold, value in values.items():
+        out = F.when(F.col("fold") == fold, float(value)).otherwise(out)
+    return out
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """What counts of 1, 2 and more give up, from how many n-grams have counts 1 to 4; fixed ones where one of those is none."""
     if not (n1 and n2 and n3 and n4):
         return 0.5, 0.75, 1.0
     y = n1 / (n1 + 2 * n2)
     return tuple(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(trusted: DataFrame) -> tuple[list[str], list[DataFrame], list[DataFrame]]:
-    """(characters, grams, contexts): for each order 1..ORDER the tables (code, logp) and (code, logg) of a text's model.
+def _cut(counts: DataFrame) -> Column:
+    """The discount of each row's count ``c``, by fold."""
+    n = counts.groupBy("fold").agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]).collect()
+    found = {r["fold"]: discounts(*(r[f"n{i}"] for i in range(1, 5))) for r in n}
+    d1, d2, d3 = (_by_fold({fold: d[i] for fold, d in found.items()}) for i in range(3))
+    return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+
 
-    Full counts at the highest order, below it the number of different characters before an n-gram; three
-    discounts for each order from counts of counts; an n-gram's probability is its discounted share in its context
-    plus the context's left-over weight times the probability of the n-gram one character shorter. All of this is
-    sums and equi-joins on n-gram codes, so the tables are sharded by code and grow with the text.
+def train(trusted: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(grams, contexts): for each order 1..ORDER the tables (fold, code, logp) and (fold, code, logg) of the halves' models.
+
+    Full counts at the highest order, below it the number of different bytes before an n-gram; three discounts for each
+    order and half from counts of counts; an n-gram's probability is its discounted share in its context plus the
+    context's left-over weight times the probability of the n-gram one byte shorter. All of this is sums and equi-joins on
+    n-gram codes, so the tables are sharded by code and grow with the text.
     """
-    characters = known_characters(trusted)
-    counts = {ORDER: stored(ngram_counts(trusted, characters), "grams")}
+    counts = {ORDER: stored(ngram_counts(trusted), "grams")}
     for k in range(ORDER - 1, 0, -1):
-        counts[k] = stored(counts[k + 1].groupBy((F.col("code").bitwiseAND((1 << BITS * k) - 1)).alias("code")).agg(F.count("*").alias("c")), "continued")
-    uniform = 1.0 / (len(characters) + 2)
+        counts[k] = stored(counts[k + 1].groupBy("fold", F.col("code").bitwiseAND(_mask(k)).alias("code")).agg(F.count("*").alias("c")), "continued")
     grams, contexts, lower = [], [], None
     for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[k])
-        c = F.col("c")
-        cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-        with_context = counts[k].withColumn("h", F.shiftright("code", BITS))
-        weights = with_context.groupBy("h").agg(F.sum("c").alias("total"), F.sum(cut).alias("left")).select("h", "total", (F.col("left") / F.col("total")).alias("gamma"))
+        with_context = counts[k].withColumns({"h": F.shiftright("code", BITS), "cut": _cut(counts[k])})
+        weights = with_context.groupBy("fold", "h").agg(F.sum("c").alias("total"), F.sum("cut").alias("left")).select("fold", "h", "total", (F.col("left") / F.col("total")).alias("gamma"))
         weights = stored(weights, "contexts")
-        p = with_context.join(weights, "h").withColumn("own", (c - cut) / F.col("total"))
+        p = with_context.join(weights, ["fold", "h"]).withColumn("own", (F.col("c") - F.col("cut")) / F.col("total"))
         if k == 1:
-            p = p.select("code", (F.col("own") + F.col("gamma") * uniform).alias("p"))
+            p = p.select("fold", "code", (F.col("own") + F.col("gamma") / (1 << BITS)).alias("p"))
         else:
-            shorter = lower.select(F.col("code").alias("s"), F.col("p").alias("ps"))
-            p = p.join(shorter, F.col("code").bitwiseAND((1 << BITS * (k - 1)) - 1) == F.col("s")).select("code", (F.col("own") + F.col("gamma") * F.col("ps")).alias("p"))
+            shorter = lower.select("fold", F.col("code").alias("s"), F.col("p").alias("ps"))
+            p = p.withColumn("s", F.col("code").bitwiseAND(_mask(k - 1))).join(shorter, ["fold", "s"]).select("fold", "code", (F.col("own") + F.col("gamma") * F.col("ps")).alias("p"))
         lower = stored(p, "probabilities")
-        grams.append(lower.select("code", F.log("p").alias("logp")))
-        contexts.append(weights.select(F.col("h").alias("code"), F.log("gamma").alias("logg")))
-    return characters, grams, contexts
+        grams.append(lower.select("fold", "code", F.log("p").alias("logp")))
+        contexts.append(weights.select("fold", F.col("h").alias("code"), F.log("gamma").alias("logg")))
+    return grams, contexts
+
 
+#: Log probability of a byte that no context knows, before the weights left over.
+UNSEEN = -float(np.log(1 << BITS))
 
-def _shard_of(code, shards: int):
-    """Shard of a history, from its last two characters (a Column or an array)."""
-    last = code.bitwiseAND((1 << 2 * BITS) - 1) if hasattr(code, "bitwiseAND") else code & ((1 << 2 * BITS) - 1)
-    return (last * 2654435761) % 4294967291 % shards
 
+def _gathered(grams: list[DataFrame], contexts: list[DataFrame]) -> dict:
+    """A small model's tables as sorted arrays, the fold above the code."""
 
-def _gathered(grams: list[DataFrame], contexts: list[DataFrame], shard: int, shards: int) -> dict:
-    """Sorted arrays of one shard's tables."""
+    def table(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        found = df.select((F.col("fold").cast("long") * (1 << BITS * ORDER) + F.col("code")).alias("key"), F.col(value).cast("float").alias("v")).toArrow()
+        keys, values = found.column("key").to_numpy(), found.column("v").to_numpy()
+        order = np.argsort(keys)
+        return keys[order], values[order]
 
-    def table(df: DataFrame, value: str, history) -> tuple[np.ndarray, np.ndarray]:
-        if shards > 1 and history is not None:
-            df = df.where(_shard_of(history, shards) == shard)
-        found = df.select("code", F.col(value).cast("float").alias("v")).toArrow()
-        codes, values = found.column("code").to_numpy(), found.column("v").to_numpy()
-        order = np.argsort(codes)
-        return codes[order], values[order]
+    return {"grams": [table(g, "logp") for g in grams], "contexts": [table(c, "logg") for c in contexts]}
 
-    code = F.col("code")
-    return {
-        "grams": [table(g, "logp", F.shiftright(code, BITS) if k >= 3 else None) for k, g in enumerate(grams, 1)],
-        "contexts": [table(c, "logg", code if k >= 3 else None) for k, c in enumerate(contexts, 1)],
-    }
 
+def _logp(codes: np.ndarray, fold: int, model: dict) -> np.ndarray:
+    """Log probability of the last byte of each n-gram, from the longest n-gram the model knows."""
+    out, todo, high = np.zeros(len(codes)), np.arange(len(codes)), fold << BITS * ORDER
+
+    def found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, values = table
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        return hit, np.where(hit, values[at], 0.0)
 
-def _logp(codes: np.ndarray, model: dict, unseen: float) -> np.ndarray:
-    """Log probability of the last character of each n-gram, from the longest n-gram the model knows."""
-    out, todo = np.zeros(len(codes)), np.arange(len(codes))
     for k in range(ORDER, 0, -1):
-        now = codes[todo] & ((1 << BITS * k) - 1)
-        keys, values = model["grams"][k - 1]
-        at = np.minimum(np.searchsorted(keys, now), max(0, len(keys) - 1))
-        hit = keys[at] == now if len(keys) else np.zeros(len(now), bool)
-        out[todo[hit]] += values[at[hit]] if len(keys) else 0
+        now = codes[todo] & _mask(k)
+        hit, value = found(model["grams"][k - 1], now | high)
+        out[todo] += value
         todo, now = todo[~hit], now[~hit]
-        keys, values = model["contexts"][k - 1]
-        if len(keys):
-            h = now >> BITS
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            out[todo] += np.where(keys[at] == h, values[at], 0)
-    out[todo] += unseen
+        out[todo] += found(model["contexts"][k - 1], (now >> BITS) | high)[1]
+    out[todo] += UNSEEN
     return out
 
 
-def score_documents(docs: DataFrame, trusted: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _joined(texts: DataFrame, grams: list[DataFrame], contexts: list[DataFrame], slices: int) -> DataFrame:
+    """row, doc_id, lang, n_chars, logp of each text, for models of any size.
+
+    Texts are dealt to slices. A slice names each n-gram once, so a frequent one meets the model once a slice; every
+    different n-gram is looked up by joins on n-gram, order by order, and what is found goes back to the slices.
+    """
+    dealt = texts.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
+
+    def names(part: pa.Table) -> pa.Table:
+        folds, seen = np.asarray(part.column("fold")), {}
+        for fold in range(FOLDS):
+            found = [np.unique(_codes(t)[0]) for _, t in _parts(part.filter(pa.array(folds == fold)))]
+            seen[fold] = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        n = sum(map(len, seen.values()))
+        columns = [np.full(n, part.column("slice")[0].as_py()), np.repeat(list(seen), [len(x) for x in seen.values()]).astype(np.int32), np.concatenate(list(seen.values()))]
+        return pa.table([pa.array(c) for c in columns], ["slice", "fold", "code"])
+
+    wanted = stored(dealt.groupBy("slice").applyInArrow(names, "slice long, fold int, code long"), "wanted")
+    looked = wanted.select("fold", "code").distinct().withColumns({"logp": F.lit(None).cast("double"), "left": F.lit(0.0)})
+    for k in range(ORDER, 0, -1):
+        gram = grams[k - 1].select("fold", F.col("code").alias("g"), F.col("logp").alias("own"))
+        context = contexts[k - 1].select("fold", F.col("code").alias("h"), "logg")
+        looked = looked.withColumns({"g": F.col("code").bitwiseAND(_mask(k)), "h": F.shiftright(F.col("code").bitwiseAND(_mask(k)), BITS)})
+        looked = looked.join(gram, ["fold", "g"], "left").join(context, ["fold", "h"], "left")
+        looked = looked.select("fold", "code", F.coalesce("logp", F.col("left") + F.col("own")).alias("logp"), (F.col("left") + F.coalesce("logg", F.lit(0.0))).alias("left"))
+    looked = stored(looked.select("fold", "code", F.coalesce("logp", F.col("left") + UNSEEN).alias("logp")), "looked-up")
+    scored = wanted.join(looked, ["fold", "code"])
+
+    def add(part: pa.Table, found: pa.Table) -> pa.Table:
+        folds, known = np.asarray(found.column("fold")), {}
+        for fold in range(FOLDS):
+            mine = found.filter(pa.array(folds == fold))
+            codes = mine.column("code").to_numpy()
+            order = np.argsort(codes)
+            known[fold] = codes[order], mine.column("logp").to_numpy()[order]
+        return pa.Table.from_batches(list(_sums(part.combine_chunks().to_batches(), lambda codes, fold: known[fold][1][np.searchsorted(known[fold][0], codes)])))
+
+    schema = f"row long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, lang string, n_chars long, logp double"
+    return dealt.groupBy("slice").cogroup(scored.groupBy("slice")).applyInArrow(add, schema)
+
+
+_SUMS = ["row", "doc_id", "lang", "n_chars", "logp"]
+
+
+def _sums(batches: Iterator[pa.RecordBatch], logp_of) -> Iterator[pa.RecordBatch]:
+    """Characters and summed log probability of every text; ``logp_of(codes, fold)`` knows each n-gram."""
+    for batch in batches:
+        for part, texts in _parts(batch):
+            total, fold = np.zeros(len(texts)), np.asarray(part.column("fold"))
+            for f in np.unique(fold).tolist():
+                mine = np.flatnonzero(fold == f)
+                codes, owner = _codes([texts[i] for i in mine])
+                which, distinct = pd.factorize(codes)
+                if len(codes):
+                    total[mine] = np.bincount(owner, logp_of(distinct, f)[which], len(mine))
+            chars = [len(t) if t.isascii() else int((np.frombuffer(t, np.uint8) & 0xC0 != 0x80).sum()) for t in texts]
+            columns = [part.column("row"), part.column("doc_id"), part.column("lang"), pa.array(chars, pa.int64()), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, _SUMS)
+
+
+def score_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars (characters scored) and perplexity (a character; null where there is none) of every row.
 
-    A model of at most ``shard_rows`` n-grams is sent to the tasks whole, and one pass over the texts scores them
-    without a shuffle. A larger one is cut into shards by the last two characters of the history, which decide every
-    table that a character's probability needs; each shard takes a pass, and the rows' partial sums are added up.
+    A document is scored by the model of the half of ``trusted`` that its text would not be in, so no model judges a text
+    it was trained on. Models of at most SENT_NGRAMS n-grams, as counted, are sent to the tasks whole, and one pass over
+    the texts scores them without a shuffle; larger ones are joined (``_joined``). Both give the same perplexities.
     """
-    characters, grams, contexts = train(trusted)
-    size = sum(df.count() for df in (*grams, *contexts))
-    shards = max(1, -(-size // shard_rows))
-    unseen = -float(np.log(len(characters) + 2))
+    grams, contexts = train(trusted)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "lang", "text")
-    if shards > 1:
-        texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "scored")
+    other = (F.lit(FOLDS - 1) - fold_of(F.col("text"))).alias("fold")
+    texts = docs.select("doc_id", "lang", "text", other, F.monotonically_increasing_id().alias("row"))
+    if sum(df.count() for df in (*grams, *contexts)) <= SENT_NGRAMS:
+        model = docs.sparkSession.sparkContext.broadcast(_gathered(grams, contexts))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _sums(batches, lambda codes, fold: _logp(codes, fold, model.value))
+
+        out = texts.mapInArrow(score, f"row long, doc_id {kind}, lang string, n_chars long, logp double")
     else:
-        texts = texts.withColumn("row", F.lit(0).cast("long"))
-    number = docs.sparkSession.sparkContext.broadcast(_numbering(characters))  # 2 MB
-
-    def scorer(model, shard: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, normal in _parts(batch, "text"):
-                    codes, owner = _codes(normal, number.value)
-                    which, distinct = pd.factorize(codes)
-                    p = _logp(distinct, model.value, unseen)
-                    if shards > 1:
-                        p = np.where(_shard_of(distinct >> BITS, shards) == shard, p, 0.0)
-                    total = np.bincount(owner, p[which], len(normal)) if len(codes) else np.zeros(len(normal))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("lang"), part.column("row"), pa.array([len(t) for t in normal], pa.int64()), pa.array(total, pa.float64())],
-                        ["doc_id", "lang", "row", "n_chars", "logp"],
-                    )
-
-        return run
-
-    passes = []
-    for shard in range(shards):
-        model = docs.sparkSession.sparkContext.broadcast(_gathered(grams, contexts, shard, shards))
-        scored = texts.mapInArrow(scorer(model, shard), f"doc_id {kind}, lang string, row long, n_chars long, logp double")
-        if shards > 1:
-            scored = stored(scored, "pass")
-            model.unpersist()
-        passes.append(scored)
-    out = passes[0]
-    if shards > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.first("n_chars").alias("n_chars"), F.sum("logp").alias("logp"))
+        size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        out = _joined(stored(texts, "scored"), grams, contexts, max(1, size // SLICE_CHARACTERS))
     return out.select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars"))).alias("perplexity"))
 
 
@@ -228,18 +251,18 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept for every row of ``docs``.
 
-    The model is trained on the documents in ``trusted_ids`` (doc_id), but for one in HELD_OUT by hash: of those, a
-    language's ``quantile`` of perplexities times ``margin`` is its threshold; a language without any takes that of
-    all. Rows at or below the threshold are kept. Null and empty texts have no perplexity and are not kept; without trusted text every
-    text is kept. Equal rows fare alike; other columns are ignored; no rows give none.
+    The models are trained on the documents in ``trusted_ids`` (doc_id), half of them each; every document is scored by the
+    model that has not seen its text. A language's ``quantile`` of all its trusted documents' perplexities is its threshold; a
+    language without any takes that of all. Rows at or below the threshold are kept. Null and empty texts have no
+    perplexity and are not kept; without trusted text every text is kept. Equal rows fare alike; other columns are
+    ignored; no rows give none.
     """
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    scored = stored(score_documents(docs, only(docs, trusted_ids.where(~held))), "perplexities")
-    good = only(scored, trusted_ids.where(held)).where("perplexity is not null")
-    q = lambda: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
+    scored = stored(score_documents(docs, only(docs, trusted_ids)), "perplexities")
+    good = only(scored, trusted_ids).where("perplexity is not null")
+    q = lambda: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_language = good.groupBy("lang").agg(q().alias("own"))  # one row a language
     for_all = good.agg(q().alias("t")).first()["t"]
     named = scored.join(by_language, scored["lang"].eqNullSafe(by_language["lang"]), "left").drop(by_language["lang"])

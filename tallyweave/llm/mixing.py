@@ -10,14 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import WORD, sliced, stored, word_count
 
-#: Words in a block, blocks in an output shard, and the number of sources that the driver may plan for.
-BLOCK, SHARD_SLOTS, MAX_SOURCES = 128, 4096, 100_000
+#: Words in a block, blocks in an output shard, and the number of sources that are planned and drawn for as a list; more are
+#: planned as a table.
+BLOCK, SHARD_SLOTS, MAX_SOURCES = 128, 4096, 10_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float = 2.0) -> list[float]:
@@ -88,6 +89,61 @@ def share(name: str | None, size: int, target: float, block: int, seed: int) ->
     return Share(name, size, target, blocks, rounds * blocks + n, rest - given(n - 1), key)
 
 
+#: numpy draws hypergeometric numbers of totals below this.
+_DRAWN_TOTAL = 10**9
+
+
+def _log_gamma_step(x: float, d: float) -> float:
+    """log gamma(x + d) - log gamma(x), without the cancellation of two large values."""
+    if min(x, x + d) < 1e6:
+        return math.lgamma(x + d) - math.lgamma(x)
+    return (x - 0.5) * math.log1p(d / x) + d * math.log(x + d) - d + (1 / (x + d) - 1 / x) / 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` things drawn from ``good`` and ``bad`` ones are good, for totals of any size.
+
+    Above numpy's range: binomial draws, accepted by the ratio of the two laws, which is largest where the draw has the
+    share of the whole.
+    """
+    if good + bad < _DRAWN_TOTAL:
+        return int(rng.hypergeometric(good, bad, take))
+    if 2 * take > good + bad:  # what is left behind is drawn instead: fewer are refused
+        return good - hypergeometric(rng, good, bad, good + bad - take)
+    if not good or not bad or not take:
+        return take if not bad else 0
+    odds = math.log(good / bad)
+    peak = min(good, max(take - bad, round(take * good / (good + bad))))
+
+    def ratio(k: int) -> float:
+        if k > good or take - k > bad:
+            return -math.inf
+        return -_log_gamma_step(good - peak + 1, peak - k) - _log_gamma_step(bad - take + peak + 1, k - peak) - (k - peak) * odds
+
+    top = max(map(ratio, range(max(0, peak - 2), min(take, peak + 2) + 1)))
+    while True:
+        k = int(rng.binomial(take, good / (good + bad)))
+        if math.log(1 - rng.random()) <= ratio(k) - top:
+            return k
+
+
+def drawn_counts(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """``take`` things drawn without replacement from ``counts`` of each kind: how many of each."""
+    total = int(counts.sum())
+    if not take:
+        return np.zeros_like(counts)
+    if total < _DRAWN_TOTAL:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    out = np.zeros_like(counts)
+    for i, n in enumerate(counts.tolist()):
+        total -= n
+        out[i] = hypergeometric(rng, n, total, take) if total else take
+        take -= int(out[i])
+        if not take:
+            break
+    return out
+
+
 def shard_counts(shard: int, shards: int, slots: list[int], per: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in one shard, and in all shards before it.
 
@@ -99,13 +155,7 @@ def shard_counts(shard: int, shards: int, slots: list[int], per: int, seed: int)
     while hi - lo > 1:
         mid = (lo + hi) // 2
         take = min((mid - lo) * per, total)
-        left = np.zeros_like(counts)
-        if total >= 10**9:  # beyond the sampler's range, where a draw hardly differs from its mean
-            left = np.array([int(c) * take // total for c in counts], np.int64)
-            for i in np.argsort(-(counts - left), kind="stable")[: take - int(left.sum())]:
-                left[i] += 1
-        elif take:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, take, method="marginals")
+        left = drawn_counts(np.random.default_rng([seed, lo, hi]), counts, take)
         if shard < mid:
             counts, total, hi = left, take, mid
         else:
@@ -133,6 +183,72 @@ def _slots(shares: list[Share], shards: int, per: int, block: int, seed: int):
     return draw
 
 
+def _listed_plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: float, cap: float, block: int, per: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sources: source_no, source, source_size, target; slots: source_no, round, block, take, shard, position), drawn shard by shard."""
+    spark = totals.sparkSession
+    found = sorted(totals.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+    sizes = [r["size"] for r in found]
+    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share_of_words * sum(sizes), cap)
+    shares = [share(r["source"], n, t, block, seed) for r, n, t in zip(found, sizes, targets, strict=True)]
+    names = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(shares)], "source_no long, source string, source_size long, target double")
+    shards = max(1, math.ceil(sum(s.slots for s in shares) / per))
+    drawn = spark.range(0, shards, 1, min(shards, max(8, shards // 64))).mapInPandas(_slots(shares, shards, per, block, seed), _SLOT)
+    return names, drawn
+
+
+_SLOT = "source_no long, round long, block long, take long, shard long, position long"
+
+
+def _running(rows: DataFrame, order: Column, value: str, total: str) -> DataFrame:
+    """``rows`` with ``total``: the sum of ``value`` over the rows before in ``order``, from sums of range partitions."""
+    placed = stored(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = placed.groupBy("__part").agg(F.sum(value).alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(starts, "__part").withColumn(total, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__at", "__start")
+
+
+def _table_plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: float, cap: float, block: int, per: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """As ``_listed_plan``, for any number of sources: the sources stay a table.
+
+    All slots get their places in one pseudorandom permutation, so a shard's counts are a draw without replacement here too.
+    """
+    numbered = _running(totals.withColumn("one", F.lit(1).cast("long")), F.asc_nulls_last("source"), "one", "source_no").drop("one")
+    sources = stored(numbered.withColumn("w", F.element_at(F.lit([float(w) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))), "numbered")
+    every = sources.where("size > 0")
+    total = share_of_words * (every.agg(F.sum("size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:  # the level at which sources stop only rises, so the loop ends as water_fill's does
+        over = F.col("w") * level > F.col("size") * cap
+        r = every.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("size") * cap).otherwise(0.0)).alias("cut"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if r["n"] == full:
+            break
+        full, level = r["n"], (total - r["cut"]) / r["w"] if r["w"] else float("inf")
+    target = F.when(F.col("size") == 0, 0.0).when(F.col("w") * level > F.col("size") * cap, F.col("size") * cap).otherwise(F.col("w") * level)
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [share(n, int(size), t, block, seed) for n, size, t in zip(batch["source"], batch["size"], batch["target"], strict=True)]
+            yield batch.assign(blocks=[f.blocks for f in found], slots=[f.slots for f in found], last_take=[f.last_take for f in found], key=[f.key for f in found])
+
+    planned = sources.select("source_no", "source", "size", target.alias("target")).mapInPandas(shares, "source_no long, source string, size long, target double, blocks long, slots long, last_take long, key long")
+    planned = stored(_running(planned, F.asc("source_no"), "slots", "base"), "planned")
+    all_slots = planned.agg(F.sum("slots")).first()[0] or 0
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                k = np.arange(r.low, min(r.low + per, r.slots))
+                take = np.full(len(k), block, np.int64)
+                take[k == r.slots - 1] = r.last_take
+                place = permuted(r.base + k, all_slots, seed)
+                yield pd.DataFrame({"source_no": r.source_no, "round": k // r.blocks, "block": permuted(k % r.blocks, r.blocks, r.key), "take": take, "shard": place // per, "position": place % per})
+
+    strips = planned.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, slots - 1, {per}L)")).alias("low")).repartition(F.col("source_no"), F.col("low"))
+    return planned.select("source_no", "source", F.col("size").alias("source_size"), "target"), strips.mapInPandas(draw, _SLOT)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -151,56 +267,45 @@ def mix_sources(
     target, one row each. ``slots``: shard, position, round, and the word range [low, high) of the document
     (source, start) that fills it, one row for each document in a block.
 
-    Null or empty texts have size 0 and give nothing; a null source is a source; ties in doc_id are ordered by size
-    and text; fully equal rows are rows of their own; no rows give no rows. Columns besides doc_id, text and
-    source are ignored. Only one row for each source passes through the driver (at most MAX_SOURCES).
+    Null or empty texts have size 0 and give nothing; a null source is a source; ties in doc_id are ordered by text; fully
+    equal rows are rows of their own, counted as one until their words have places; no rows give no rows. Columns besides
+    doc_id, text and source are ignored. Up to MAX_SOURCES sources pass through the driver, a row each; more stay a table.
     """
-    spark = docs.sparkSession
-    sized = stored(
-        docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("h")),
-        "sizes",
-    )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share_of_words * sum(sizes), cap)
-    shares = [share(r["source"], n, t, block, seed) for r, n, t in zip(totals, sizes, targets, strict=True)]
-    names = spark.createDataFrame(
-        [(i, s.name, s.size, s.target) for i, s in enumerate(shares)], "source_no int, source string, source_size long, target double"
-    )
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
+    sized = stored(sized.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("doc_id", "text_hash")), "sizes")
+    totals = stored(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")), "sources")
+    rows, sources = sized.count(), totals.count()
+    if sources <= MAX_SOURCES:
+        names, drawn = _listed_plan(totals, weights, share_of_words, cap, block, shard_slots, seed)
+        names = F.broadcast(names)
+    else:
+        names, drawn = _table_plan(totals, weights, share_of_words, cap, block, shard_slots, seed)
+    names = names.withColumnRenamed("source", "__source")
 
     # Word offsets inside each source: totals of hashed buckets, then a running sum in each bucket.
-    buckets = max(64, sum(r["n"] for r in totals) // 20_000)
-    known = sized.join(F.broadcast(names), sized["source"].eqNullSafe(names["source"])).select(
-        "doc_id", sized["source"], "text_hash", "size", "h", "source_no", "source_size", "target", F.pmod("h", F.lit(buckets)).alias("bucket")
-    )
+    buckets = max(64, rows // 20_000)
+    words = F.col("size") * F.col("copies")
+    known = sized.join(names, sized["source"].eqNullSafe(names["__source"])).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = known.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    bases = known.groupBy("source_no", "bucket").agg(F.sum(words).alias("words")).select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    placed = known.join(bases, ["source_no", "bucket"]).withColumn("first", F.col("base") + F.sum(words).over(inside) - words)
+    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     documents = stored(
-        known.join(bases, ["source_no", "bucket"])
-        .withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
-        .select("doc_id", "source", "source_no", "text_hash", "size", "start", "source_size", "target"),
-        "offsets",
+        each.select("doc_id", "source", "source_no", "text_hash", "size", (F.col("first") + F.col("copy") * F.col("size")).alias("start"), "source_size", "target"), "offsets"
     )
 
     pieces = (
         documents.where("size > 0")
-        .select("doc_id", "text_hash", "source_no", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
+        .select("doc_id", "source", "text_hash", "source_no", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
         .withColumn("first", F.greatest("start", F.col("block") * block))
         .withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("first"))
     )
-    shards = max(1, math.ceil(sum(s.slots for s in shares) / shard_slots))
-    drawn = spark.range(0, shards, 1, min(shards, max(8, shards // 64))).mapInPandas(
-        _slots(shares, shards, shard_slots, block, seed), "source_no int, round long, block long, take long, shard long, position long"
-    )
     slots = (
         drawn.join(pieces.hint("merge"), ["source_no", "block"])  # the slots are as many as the blocks; Spark guesses fewer
         .withColumn("given", F.least(F.col("words"), F.col("take") - (F.col("first") - F.col("block") * block)))
         .where("given > 0")
-        .select("shard", "position", "round", "doc_id", "text_hash", "source_no", "start", (F.col("first") - F.col("start")).alias("low"), (F.col("first") - F.col("start") + F.col("given")).alias("high"))
+        .select("shard", "position", "round", "doc_id", "source", "text_hash", "source_no", "start", (F.col("first") - F.col("start")).alias("low"), (F.col("first") - F.col("start") + F.col("given")).alias("high"))
     )
     return documents, slots
 
@@ -237,17 +342,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each document and round the words taken, all columns else unchanged (n_chars is counted again).
 
     A document taken whole keeps its text as it was; one that the mix does not take is left out; one taken in two
-    rounds gives two rows. Fully equal rows count as one document with all their slots.
+    rounds gives two rows. Fully equal rows are taken one by one; a row is told by id, source and text.
     """
     _, slots = mix_sources(docs, **options)
-    ranges = slots.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "round", "low", "high")).alias("__ranges"))
+    key = ["doc_id", "source", "text_hash"]
+    ranges = slots.groupBy(*key, "start").agg(F.collect_list(F.struct("round", "low", "high")).alias("__ranges"))
+    ranges = ranges.withColumnsRenamed({k: f"__{k}" for k in key}).drop("start")
     names = docs.columns
     whole = docs.withColumn("__hash", F.xxhash64("text"))
-    repeated = docs.select("doc_id", F.xxhash64("text").alias("__hash")).groupBy("doc_id", "__hash").count().where("count > 1").limit(1).count()
-    if repeated:
-        others = [c for c in names if c != "doc_id"]
-        whole = whole.groupBy("doc_id", "__hash").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "__hash", *[F.col("__row")[c].alias(c) for c in others])
-    joined = whole.join(ranges.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash"))).select(*names, "__ranges")
+    own = ["doc_id", "source", "__hash"]
+    if whole.groupBy(*own).count().where("count > 1").limit(1).count():
+        others = [c for c in names if c not in own]
+        whole = whole.groupBy(*own).agg(F.min(F.struct(*others)).alias("__row")).select(*own, *[F.col("__row")[c].alias(c) for c in others])
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__text_hash"))
+    joined = whole.join(ranges, same).select(*names, "__ranges")
     at, counted, lengths = names.index("text"), names.index("n_chars") if "n_chars" in names else None, docs.schema
 
     def cut(batches: Iterator) -> Iterator:
@@ -256,9 +364,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         for batch in sliced(batches):
             rows, texts = [], []
             for i, (text, slots_) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)):
-                by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                by: dict[int, list[tuple[int, int]]] = {}
                 for s in slots_:
-                    by.setdefault((s["start"], s["round"]), []).append((s["low"], s["high"]))
+                    by.setdefault(s["round"], []).append((s["low"], s["high"]))
                 for _, r in sorted(by.items()):
                     rows.append(i)
                     texts.append(cut_words(text, sorted(r)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
 import re
@@ -41,12 +42,24 @@ def _byte_characters() -> dict[int, str]:
 _BYTE_CHARACTERS = _byte_characters()
 
 
+#: What a vocabulary's file must say of normalising and splitting for the stretches and parts here to hold.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+}
+
+
 class WordIds(dict):
     """Token ids of stretches between ASCII white space, as little-endian bytes, remembered up to a bound.
 
-    The vocabulary drops ASCII white space and no pre-token crosses it, so a text's ids are those of its stretches; a plain
-    stretch's ids are those of its parts, which repeat far more often. Plain texts are cut into parts as a whole. Anything
-    else goes to the tokenizer as it is.
+    Where the vocabulary's file normalises and splits as _ASSUMED says, it drops ASCII white space and no pre-token crosses
+    it, so a text's ids are those of its stretches; a plain stretch's ids are those of its parts, which repeat far more often.
+    Plain texts are cut into parts as a whole. Anything else, and every text of another vocabulary, goes to the tokenizer as
+    it is.
     """
 
     def __init__(self, path: str):
@@ -54,6 +67,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.known = all(said.get(k) == v for k, v in _ASSUMED.items()) and said["model"]["type"] == "BPE" and all("<|" in t["content"] for t in said.get("added_tokens") or [])
         self.parts: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
@@ -103,6 +119,8 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.known:
+            return self.encoded(texts)
         plain = [_PLAIN_TEXT.fullmatch(t) is not None and "'" not in t and "<|" not in t for t in texts]
         one, other = iter(self.plain_ids([t for t, p in zip(texts, plain, strict=True) if p])), iter(self.stretch_ids([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(one if p else other) for p in plain]
@@ -167,8 +185,10 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> Iterator[tupl
             free, which, opened = capacity, opened, opened + 1
         yield which, capacity - free
         if free > length:
+            least = (bits & -bits).bit_length() - 1
             if n_open == open_bins:
-                least = (bits & -bits).bit_length() - 1
+                if free - length <= least:
+                    continue  # the bin just filled is the fullest
                 bins[least].pop()
                 n_open -= 1
                 if not bins[least]:
@@ -181,12 +201,12 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> Iterator[tupl
 def pack_pieces(pieces: DataFrame, rows: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rows_per_packer: int = ROWS_PER_PACKER) -> DataFrame:
     """``pieces`` (with doc_id, piece, length <= ``capacity``) with ``sequence_id`` and ``offset``.
 
-    ``rows`` tells about how many there are. They are dealt by hash to one packer for each ``rows_per_packer``; each
-    packs its own in hashed order, LOOK_AHEAD at a time longest first, with ``open_bins`` open bins, so memory is bounded and a rerun of a lost
+    ``rows`` tells about how many there are. They are dealt by hash, each row's place in its partition included (so equal
+    rows part), to one packer for each ``rows_per_packer``; each packs its own in hashed order, LOOK_AHEAD at a time longest first, with ``open_bins`` open bins, so memory is bounded and a rerun of a lost
     packer gives the same sequences. Ties and repeated rows are packed like any others; no rows give no rows.
     """
     packers = max(1, math.ceil(rows / rows_per_packer))
-    mixed = F.xxhash64("doc_id", "piece", "length", *(["ids_crc32"] if "ids_crc32" in pieces.columns else []))
+    mixed = F.xxhash64("doc_id", "piece", "length", *(["ids_crc32"] if "ids_crc32" in pieces.columns else []), F.monotonically_increasing_id())
     dealt = pieces.withColumn("__h", mixed).repartition(packers, "__h").sortWithinPartitions("__h", "doc_id", "piece")
     names = [*pieces.columns, "sequence_id", "offset"]
 

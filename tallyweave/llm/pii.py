@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 ADDED = "model"
-#: Generators: wide on purpose, and their spans may overlap.
-GENERATORS = [re.compile(r"[^\s@]+@[^\s@]+"), re.compile(r"[+(]?[0-9][0-9 ().\-/]{5,}[0-9]"), re.compile(r"[0-9]+(?:\.[0-9]+){2,}")]
+#: Generators: wide on purpose, and their spans may overlap. The first is what stands around an @.
+GENERATORS = [re.compile(r"[^\s@]+@[^\s@]+"), re.compile(r"[+(]?[0-9][0-9 ().\-/]{5,}[0-9]"), re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,}")]
+#: The same matches as the fixed ip pattern's, each run of digits tried once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_DOMAIN, _NO_SPACE = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++"), re.compile(r"[^\s@]++")
+_LOCAL = "".join(map(chr, range(48, 58))) + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz._%+-"
 #: What no kind of personal data looks like: dates and spans of years.
 NEVER = re.compile(r"(19|20)[0-9]{2}[-/. ]{1,3}((19|20)[0-9]{2}|[01]?[0-9][-/. ][0-3]?[0-9])|[0-3]?[0-9][-/. ][01]?[0-9][-/. ](19|20)[0-9]{2}")
 #: Bounds of the labelled sample that the trees are fitted on, and the precision that the threshold must reach.
@@ -53,21 +58,41 @@ def _valid(kind: str, found: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def around_at(text: str, before: Callable[[str], int], after: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of a run, an @ and ``after``, in one pass over the text: ``before`` gives the length of the run at a
+    stretch's end. The run's class has no @, so a run fails or succeeds as a whole and is looked at once.
+    """
+    free, at = 0, text.find("@")
+    while at >= 0:
+        run = before(text[free:at])
+        found = after.match(text, at + 1) if run else None
+        if found:
+            yield at - run, found.end()
+        free = found.end() if found else at + 1
+        at = text.find("@", free)
+
+
+def _unspaced(stretch: str) -> int:
+    return 0 if not stretch or stretch[-1].isspace() else len(stretch.rsplit(None, 1)[-1])
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by kind, then start: leftmost matches that pass their test."""
-    at, number = "@" in text, _DIGIT.search(text) is not None
+    """(kind, start, end) in code points, by kind, then start: leftmost matches that pass their test. Linear in the text."""
     out = []
-    for kind, pattern in PATTERNS.items():
-        if at if kind == "email" else number and (kind != "phone" or "+" in text):
+    if "@" in text:
+        out += [("email", a, b) for a, b in around_at(text, lambda s: len(s) - len(s.rstrip(_LOCAL)), _DOMAIN)]
+    if _DIGIT.search(text):
+        for kind, pattern in (("ip", _IP), ("card", PATTERNS["card"]), *([("phone", PATTERNS["phone"])] if "+" in text else [])):
             out += [(kind, *m.span()) for m in pattern.finditer(text) if _valid(kind, m[0])]
     return out
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that the generators propose."""
-    at, number = "@" in text, _DIGIT.search(text) is not None
-    wanted = ([GENERATORS[0]] if at else []) + (GENERATORS[1:] if number else [])
-    return sorted({m.span() for g in wanted for m in g.finditer(text)})
+    """Spans that the generators propose. Linear in the text."""
+    found = set(around_at(text, _unspaced, _NO_SPACE)) if "@" in text else set()
+    if _DIGIT.search(text):
+        found |= {m.span() for g in GENERATORS[1:] for m in g.finditer(text)}
+    return sorted(found)
 
 
 def features(text: str, span: tuple[int, int]) -> list[float]:
@@ -80,17 +105,38 @@ def features(text: str, span: tuple[int, int]) -> list[float]:
     return [
         n, len(digits), len(digits) / n, s.count("@"), s.count("."), s.count("-"), s.count(" "), float(s[0] == "+"), float("(" in s),
         float(len(digits) >= 2 and luhn(digits)), len(re.findall(r"[0-9]+", s)), max((len(x) for x in re.findall(r"[0-9]+", s)), default=0),
-        domain.count("."), len(domain), sum(not (c.isascii() and (c.isalnum() or c in ".@+-_% ()")) for c in s) / n, entropy(s[:200]),
+        domain.count("."), len(domain), sum(not (c.isascii() and (c.isalnum() or c in ".@+-_% ()")) for c in s) / n, entropy(s),
         float(a > 0 and text[a - 1].isalnum()), float(b < len(text) and text[b].isalnum()), *(float(c in before) for c in _CUES),
     ]
 
 
-def _overlaps(span: tuple[int, int], base: list[tuple[str, int, int]]) -> bool:
-    return any(span[0] < e and s < span[1] for _, s, e in base)
+class Covered:
+    """The stretches that spans cover, for asking whether another one overlaps them."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.parts: list[tuple[int, int]] = []  # disjoint, in order
+        for a, b in sorted(spans):
+            if self.parts and a < self.parts[-1][1]:
+                self.parts[-1] = (self.parts[-1][0], max(b, self.parts[-1][1]))
+            else:
+                self.parts.append((a, b))
+
+    def overlaps(self, span: tuple[int, int]) -> bool:
+        at = bisect_left(self.parts, (span[1],))  # the parts before it start before the span's end
+        return at > 0 and self.parts[at - 1][1] > span[0]
+
+    def add(self, span: tuple[int, int]) -> None:
+        insort(self.parts, span)
+
+
+def _covered(base: list[tuple[str, int, int]]) -> Covered:
+    return Covered((a, b) for _, a, b in base)
 
 
 def renderings(kind: str, found: str) -> list[tuple[str, float]]:
-    """A base match in formats that the fixed patterns do not know (1), and dates, years and versions in its place (0)."""
+    """A base match in formats that the fixed patterns do not know (1), and dates, years, versions, and a card number with a
+    wrong check digit in its place (0).
+    """
     d = _digits(found)
     if kind == "phone":
         n = d[-10:]
@@ -104,23 +150,33 @@ def renderings(kind: str, found: str) -> list[tuple[str, float]]:
     x = sum(map(ord, found))
     y, m, t = 1950 + x % 80, 1 + x % 12, 1 + x % 28
     bad = [f"{y}-{m:02}-{t:02}", f"{t:02}/{m:02}/{y}", f"{y}-{y + 1 + x % 9}", f"{x % 30}.{m}.{t}", f"{m}.{x % 900 + 256}.{t}.{x % 7000 + 256}"]
+    if kind == "card":
+        bad += [found[:-1] + str((int(found[-1]) + k) % 10) for k in (1, 4, 7)] + [d[:-1] + str((int(d[-1]) + k) % 10) for k in (2, 5)]
     return [(g, 1.0) for g in good] + [(b, 0.0) for b in bad]
 
 
+def _inside_word(text: str, span: tuple[int, int]) -> bool:
+    """Digits with a letter next to them: part of an identifier."""
+    a, b = span
+    return "@" not in text[a:b] and (text[a - 1 : a].isalpha() or text[b : b + 1].isalpha())
+
+
 def labelled(text: str) -> list[tuple[list[float], float]]:
-    """Features and label of base matches, of their other renderings in place, and of what is never personal; no others."""
+    """Features and label of base matches, of their other renderings in place, and of what is never personal (dates, years,
+    digits inside identifiers); no others.
+    """
     base = base_spans(text)
-    out = []
+    known, out = _covered(base), []
     for span in candidates(text):
-        if _overlaps(span, base):
+        if known.overlaps(span):
             out.append((features(text, span), 1.0))
-        elif NEVER.fullmatch(text[span[0] : span[1]]):
+        elif NEVER.fullmatch(text[span[0] : span[1]]) or _inside_word(text, span):
             out.append((features(text, span), 0.0))
     for kind, a, b in base:
         before, after = text[max(0, a - 40) : a], text[b : b + 40]
         for shown, label in renderings(kind, text[a:b]):
             around, span = before + shown + after, (len(before), len(before) + len(shown))
-            if span in candidates(around) and not _overlaps(span, base_spans(around)):
+            if span in candidates(around) and not _covered(base_spans(around)).overlaps(span):
                 out.append((features(around, span), label))
     return out
 
@@ -165,13 +221,15 @@ def find_pii(docs: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             bases = [base_spans(t) for t in texts]
-            open_ = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not _overlaps(c, bases[i])]
+            taken = [_covered(b) for b in bases]
+            open_ = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not taken[i].overlaps(c)]
             added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
             if open_ and trees.threshold <= 1:
                 p = trees.probability(np.array([features(texts[i], c) for i, c in open_]))
                 for j in np.argsort(-p, kind="stable"):
                     i, c = open_[j]
-                    if p[j] >= trees.threshold and not _overlaps(c, added[i]):
+                    if p[j] >= trees.threshold and not taken[i].overlaps(c):
+                        taken[i].add(c)
                         added[i].append((ADDED, *c))
             rows = lambda spans: pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], span)
             yield pa.RecordBatch.from_arrays([batch.column(0), rows(bases), rows([sorted(a) for a in added])], ["doc_id", "base", "added"])

@@ -19,8 +19,9 @@ KINDS: dict[str, tuple[str, int, int]] = {
     "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),  # a shorter run holds no longer one, so the length can stand in the pattern
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-#: What the model looks at: runs of these characters, at least 20, with a digit and a letter among them.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the model looks at: whole runs of these characters, at least 12, with a digit and a letter among them. The test for
+#: both stands before the run, which is entered at its first character only, so a long run is read a fixed number of times.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}"
 #: Characters from '+' (43) to 'z' (122) index the model's square table.
 LOW, WIDTH = 43, 80
 #: Bound of the labelled documents that the models are fitted on.
@@ -86,31 +87,35 @@ def base_spans(text: Column) -> Column:
 def training_samples(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> DataFrame:
     """(value, label): 1 for random strings, 0 for ordinary identifiers, from at most ``documents`` documents.
 
-    Random: values that the fixed patterns find, and digests of the ids in base 64 and hexadecimal. Ordinary: the
-    texts' own words, alone and joined as identifiers are.
+    Random: values that the fixed patterns find, as they are, in capitals, and the same randomness spelt in base 64 and in
+    hexadecimal, which the patterns may not know. Ordinary: the texts' own words, alone, numbered, and joined as
+    identifiers are.
     """
     picked = sample_by_hash(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", documents, docs.count())
-    digest = F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 60)
-    shown = picked.select(
-        F.transform(base_spans(F.col("text")), lambda s: s["value"]).alias("found"),
-        F.array(F.regexp_replace(F.base64(digest), "=", ""), F.hex(digest), F.lower(F.hex(digest))).alias("made"),
-        words.alias("words"),
-        words.alias("w"),
-    )
-    ordinary = shown.select(F.explode(F.concat("words", F.transform("w", lambda w, i: F.concat(w, F.when(i % 2 == 0, F.lit("_")).otherwise(F.lit("-")), F.reverse(w))))).alias("value"), F.lit(0).alias("label"))
-    random = shown.select(F.explode(F.concat("found", "made")).alias("value"), F.lit(1).alias("label"))
+    digest = lambda v: F.unhex(F.sha2(v, 256))
+    spelt = lambda v: F.array(v, F.upper(v), F.regexp_replace(F.base64(digest(v)), "=", ""), F.hex(digest(v)), F.lower(F.hex(digest(v))))
+    shown = picked.select(F.transform(base_spans(F.col("text")), lambda s: s["value"]).alias("found"), F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("words"))
+    after = F.concat(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 1, 1))
+    joined = F.zip_with(F.arrays_zip(F.col("words").alias("a"), after.alias("b")), F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda w, i: F.concat(w["a"], F.when(i % 2 == 0, F.lit("_")).otherwise(F.lit("-")), w["b"], F.when(i % 3 == 0, i.cast("string")).otherwise(F.lit(""))))
+    numbered = F.transform("words", lambda w, i: F.concat(w, (i * 7 % 100).cast("string")))
+    ordinary = shown.where(F.size("words") > 0).select(F.explode(F.concat("words", joined, numbered)).alias("value"), F.lit(0).alias("label"))
+    random = shown.select(F.explode("found").alias("v")).select(F.explode(spelt(F.col("v"))).alias("value"), F.lit(1).alias("label"))
     return random.unionByName(ordinary)
 
 
+def held_out(value: Column) -> Column:
+    """One sample in five, by hash: what the threshold is set on and the models have not seen."""
+    return F.pmod(F.xxhash64(value, F.lit(7)), F.lit(5)) == 0
+
+
 def train(samples: DataFrame) -> tuple[list[float], float]:
     """Log-likelihood ratios of character pairs (row * WIDTH + column) and the threshold on their mean.
 
-    Pair counts of both classes are summed by Spark; at most WIDTH squared sums come to the driver. The threshold
-    is where 99.9% of the ordinary samples stay below, and never under 0.
+    Pair counts of both classes are summed by Spark; at most WIDTH squared sums come to the driver. The threshold is where
+    99.9% of the held-out ordinary samples of 12 and more characters stay below, and never under 0.
     """
     pairs = (
-        samples.where(F.length("value") >= 2)
+        samples.where((F.length("value") >= 2) & ~held_out(F.col("value")))
         .select("label", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
         .where(F.col("pair").rlike("^[+-z]{2}$"))
         .groupBy("pair")
@@ -130,39 +135,38 @@ def train(samples: DataFrame) -> tuple[list[float], float]:
         return math.log((n[0] + half) / (total[0] + half * WIDTH)) - math.log((n[1] + half) / (total[1] + half * WIDTH))
 
     table = [ratio(a, b) for a in range(WIDTH) for b in range(WIDTH)]
-    high = samples.where("label = 0 and length(value) >= 8").select(score(F.col("value"), table).alias("s")).agg(F.percentile_approx("s", F.lit(0.999)).alias("t")).first()["t"]
+    calm = samples.where((F.col("label") == 0) & (F.length("value") >= 12) & held_out(F.col("value")))
+    high = calm.select(score(F.col("value"), table).alias("s")).agg(F.percentile_approx("s", F.lit(0.999)).alias("t")).first()["t"]
     return table, max(0.0, high or 0.0)
 
 
 def score(value: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of a string's character pairs."""
+    """Mean log-likelihood ratio of a string's character pairs, in one pass over its characters."""
     model = F.lit(table)
-    code = lambda s, i: F.ascii(F.substring(s, i, F.lit(1))) - LOW
-    total = let(
-        F.struct(value.alias("s"), model.alias("m")),
-        lambda x: F.aggregate(
-            F.sequence(F.lit(1), F.length(x["s"]) - 1),
-            F.lit(0.0),
-            lambda a, i: a + F.coalesce(F.get(x["m"], code(x["s"], i) * WIDTH + code(x["s"], i + 1)), F.lit(0.0)),
-        ),
-    )
-    return F.when(F.length(value) < 2, F.lit(0.0)).otherwise(total / (F.length(value) - 1))
+
+    def mean(x: Column) -> Column:
+        c, m = x["c"], x["m"]
+        pairs = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.coalesce(F.get(m, a * WIDTH + b), F.lit(0.0)))
+        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p) / (F.size(c) - 1)
+
+    codes = F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) - LOW)
+    return F.when(F.length(value) < 2, F.lit(0.0)).otherwise(let(F.struct(codes.alias("c"), model.alias("m")), mean))
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, documents: int = TRAINING_DOCUMENTS) -> DataFrame:
     """``docs`` with ``secret_spans``: array of (start, kind_no, end, kind, value), by start, then kind.
 
-    The fixed kinds are assign, access and hex; ``random`` is what the models add: a run of 20 or more
+    The fixed kinds are assign, access and hex; ``random`` is what the models add: a run of 12 or more
     characters with a letter and a digit, of a mean log-likelihood ratio above the calibrated threshold, where no
     fixed span overlaps. ``samples`` (value, label) train the models; by default ``training_samples(docs)``.
 
     A null or empty text has no spans; whole texts are read, however long; every row, equal ones too, is answered
-    on its own; all columns of ``docs`` stay (one named secret_spans is replaced). Without rows there is no result.
+    on its own; all columns of ``docs`` stay (one named secret_spans is replaced); no rows give none.
     """
     table, threshold = train(stored(samples if samples is not None else training_samples(docs, documents), "secret-samples"))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.drop("secret_spans").withColumn("__base", base_spans(text))
-    tried = F.filter(spans_of(text, CANDIDATE, 0, 20, "random", len(KINDS)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    tried = spans_of(text, CANDIDATE, 0, 12, "random", len(KINDS))
     added = let(
         F.struct(tried.alias("t"), F.col("__base").alias("b")),
         lambda x: F.filter(

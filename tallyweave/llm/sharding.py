@@ -9,7 +9,8 @@ from ._shared import stored
 
 
 def balanced_shards(rows: DataFrame, size: str, shards: int) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``: input order is kept and cut at equal byte targets.
+    """``rows`` with ``shard`` and ``slot``: the order of the scan (in a file, its rows' order; Spark packs files by size) is kept
+    and cut at equal byte targets.
 
     Each scan partition is summed on its own, the totals (one row a partition) are accumulated, and a row's
     prefix is its partition's start plus a running sum inside the partition, so no task holds more than one

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._gbt import entropy, fitted
+from ._gbt import BoostedTrees, entropy, threshold_at
 from ._shared import sample_by_hash
 
 #: Bound of the labelled URLs that the trees are fitted on; precision that a block must reach on held-out ones.
-TRAINING_URLS, PRECISION = 20_000, 0.9
+TRAINING_URLS, PRECISION, FOLDS = 20_000, 0.9, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.S)
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -43,35 +45,75 @@ def suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
-def features(url: str, rates: dict[str, float]) -> list[float]:
-    """Length, depth, digit ratio, entropy, parameter counts and the block rates of the host's suffixes."""
-    m = re.match(r".*?://([^/?#]*)([^?#]*)", url, re.S)
+def lexical(url: str) -> list[float]:
+    """Length, depth, digit ratio, entropy and parameter counts."""
+    m = _URL.match(url)
     host, path = (m[1].lower(), m[2]) if m else ("", "")
     query = url.partition("?")[2].partition("#")[0]
-    usual = rates.get("", 0.5)
-    last, two = suffixes(host)
     n = max(1, len(url))
     return [
         len(url), len(host), len(path), path.count("/"), host.count("."), sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host), host.count("-"),
-        entropy(url[:2000]), entropy(host[:500]), query.count("=") , len(query), float("#" in url), float(path.endswith("/")), float("%" in url), float(url.startswith("https")),
-        rates.get(last, usual), rates.get(two, usual), max((len(x) for x in host.split(".")), default=0),
+        entropy(url), entropy(host), query.count("="), len(query), float("#" in url), float(path.endswith("/")), float("%" in url), float(url.startswith("https")),
+        max((len(x) for x in host.split(".")), default=0),
     ]
 
 
-def train(labelled: DataFrame, bound: int = TRAINING_URLS):
-    """(trees, suffix rates) from ``labelled`` (url, blocked): at most ``bound`` of them, those of smallest hash."""
+class SuffixRates:
+    """Block rates of hosts' suffixes, counted by fold, so that a row's own label need not be in its rates."""
+
+    def __init__(self, folds: int = 1):
+        self.folds, self.counts = folds, {}
+
+    def add(self, url: str, blocked: bool, fold: int = 0) -> None:
+        for s in {"", *_suffixes_of(url)}:
+            self.counts.setdefault(s, np.zeros((self.folds, 2)))[fold] += (blocked, 1)
+
+    def of(self, url: str, left_out: tuple[int, ...] = ()) -> list[float]:
+        """Rates of the last and the last two labels, without some folds; a suffix seen fewer than five times has the usual rate."""
+
+        def sums(suffix: str) -> np.ndarray:
+            return np.delete(self.counts[suffix], left_out, 0).sum(0) if suffix in self.counts else np.zeros(2)
+
+        blocked, n = sums("")
+        usual = blocked / n if n else 0.5
+        return [(b + 5 * usual) / (m + 5) if m >= 5 else usual for b, m in map(sums, _suffixes_of(url))]
+
+
+def _suffixes_of(url: str) -> tuple[str, str]:
+    m = _URL.match(url)
+    return suffixes(m[1].lower() if m else "")
+
+
+def features(url: str, rates: SuffixRates, left_out: tuple[int, ...] = ()) -> list[float]:
+    """The lexical features and the block rates of the host's suffixes."""
+    return lexical(url) + rates.of(url, left_out)
+
+
+def train(labelled: DataFrame, bound: int = TRAINING_URLS) -> tuple[BoostedTrees, SuffixRates]:
+    """(trees, suffix rates) from ``labelled`` (url, blocked): at most ``bound`` of them, those of smallest hash.
+
+    Rows fall in FOLDS folds by host, so that sites met in training do not vouch for themselves. The threshold is set on
+    probabilities that trees fitted without a row's fold give it, and a row's suffix rates never count its own fold, nor
+    in those trees the fold that they are tried on.
+    """
     usable = labelled.where("url is not null").select("url", "blocked")
     rows = sample_by_hash(usable, "url", bound, usable.count()).collect()
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for r in rows:
-        m = re.match(r".*?://([^/?#]*)", r["url"], re.S)
-        for s in {"", *suffixes(m[1].lower() if m else "")}:
-            seen[s][0] += int(r["blocked"])
-            seen[s][1] += 1
-    usual = seen[""][0] / seen[""][1] if rows else 0.5
-    rates = {s: (b + 5 * usual) / (n + 5) for s, (b, n) in seen.items() if n >= 5 or not s}
-    x = np.array([features(r["url"], rates) for r in rows]).reshape(-1, len(features("", {})))
-    return fitted(x, np.array([float(r["blocked"]) for r in rows]), PRECISION), rates
+    urls, y = [r["url"] for r in rows], np.array([float(r["blocked"]) for r in rows])
+    fold = np.array([zlib.crc32((m[1].lower() if (m := _URL.match(u)) else "").encode("utf-8", "surrogatepass")) % FOLDS for u in urls], int)
+    rates = SuffixRates(FOLDS)
+    for u, b, f in zip(urls, y, fold, strict=True):
+        rates.add(u, bool(b), f)
+    shape = np.array([lexical(u) for u in urls]).reshape(len(urls), -1)
+    at = lambda left_out: np.hstack([shape, np.array([rates.of(u, tuple({*left_out, int(f)})) for u, f in zip(urls, fold, strict=True)]).reshape(len(urls), -1)])
+    tried = np.zeros(len(urls))
+    for k in range(FOLDS):
+        mine = fold == k
+        if mine.any() and not mine.all():
+            x = at((k,))
+            tried[mine] = BoostedTrees().fit(x[~mine], y[~mine]).probability(x[mine])
+    trees = BoostedTrees().fit(at(()), y) if len(urls) else BoostedTrees()
+    trees.threshold = threshold_at(tried, y, PRECISION) if 0 < y.sum() < len(y) else 1.1
+    return trees, rates
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None) -> DataFrame:
@@ -91,8 +133,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFra
     def probability(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = batch.column("url").to_pylist()
-            x = np.array([features(u, rates) for u in urls if u and "://" in u]).reshape(-1, len(features("", {})))
-            p = iter(trees.probability(x) >= trees.threshold)
+            known = [u for u in urls if u and "://" in u]
+            p = iter(trees.probability(np.array([features(u, rates) for u in known])) >= trees.threshold) if known and trees.threshold <= 1 else itertools.repeat(False)
             blocked = [bool(next(p)) if u and "://" in u else False for u in urls]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocked, pa.bool_())], [*batch.schema.names, "blocked"])
 
