@@ -263,9 +263,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     scored = stored(score_documents(docs, only(docs, trusted_ids)), "perplexities")
     good = only(scored, trusted_ids).where("perplexity is not null")
     q = lambda: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    by_language = good.groupBy("lang").agg(q().alias("own"))  # one row a language
+    by_language = good.groupBy(F.col("lang").alias("__lang")).agg(q().alias("own"))  # one row a language
     for_all = good.agg(q().alias("t")).first()["t"]
-    named = scored.join(by_language, scored["lang"].eqNullSafe(by_language["lang"]), "left").drop(by_language["lang"])
+    named = scored.join(by_language, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     limit = F.coalesce("own", F.lit(for_all).cast("double"))
     return named.select(
         "doc_id", "lang", "n_chars", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept")

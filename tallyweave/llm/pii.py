@@ -133,9 +133,9 @@ def _covered(base: list[tuple[str, int, int]]) -> Covered:
     return Covered((a, b) for _, a, b in base)
 
 
-def renderings(kind: str, found: str) -> list[tuple[str, float]]:
-    """A base match in formats that the fixed patterns do not know (1), and dates, years, versions, and a card number with a
-    wrong check digit in its place (0).
+def renderings(kind: str, found: str) -> list[tuple[str, str, str, float]]:
+    """(left, shown, right, label): a base match in formats that the fixed patterns do not know (1), and dates, years,
+    versions, the digits of an identifier, and a card number with a wrong check digit in its place (0).
     """
     d = _digits(found)
     if kind == "phone":
@@ -152,7 +152,9 @@ def renderings(kind: str, found: str) -> list[tuple[str, float]]:
     bad = [f"{y}-{m:02}-{t:02}", f"{t:02}/{m:02}/{y}", f"{y}-{y + 1 + x % 9}", f"{x % 30}.{m}.{t}", f"{m}.{x % 900 + 256}.{t}.{x % 7000 + 256}"]
     if kind == "card":
         bad += [found[:-1] + str((int(found[-1]) + k) % 10) for k in (1, 4, 7)] + [d[:-1] + str((int(d[-1]) + k) % 10) for k in (2, 5)]
-    return [(g, 1.0) for g in good] + [(b, 0.0) for b in bad]
+    letters = chr(97 + x % 26), chr(97 + x // 26 % 26)
+    named = [(le, e, ri, 0.0) for e in {d[:7], d[-10:], d} if len(e) > 6 for le, ri in ((letters[0], ""), ("", letters[1]), letters)]
+    return [("", g, "", 1.0) for g in good] + [("", b, "", 0.0) for b in bad] + named
 
 
 def _inside_word(text: str, span: tuple[int, int]) -> bool:
@@ -174,8 +176,9 @@ def labelled(text: str) -> list[tuple[list[float], float]]:
             out.append((features(text, span), 0.0))
     for kind, a, b in base:
         before, after = text[max(0, a - 40) : a], text[b : b + 40]
-        for shown, label in renderings(kind, text[a:b]):
-            around, span = before + shown + after, (len(before), len(before) + len(shown))
+        for left, shown, right, label in renderings(kind, text[a:b]):
+            start = len(before) + len(left)
+            around, span = before + left + shown + right + after, (start, start + len(shown))
             if span in candidates(around) and not _covered(base_spans(around)).overlaps(span):
                 out.append((features(around, span), label))
     return out

@@ -98,20 +98,22 @@ def train(labelled: DataFrame, bound: int = TRAINING_URLS) -> tuple[BoostedTrees
     """
     usable = labelled.where("url is not null").select("url", "blocked")
     rows = sample_by_hash(usable, "url", bound, usable.count()).collect()
+    if not rows:
+        return BoostedTrees(threshold=1.1), SuffixRates()
     urls, y = [r["url"] for r in rows], np.array([float(r["blocked"]) for r in rows])
     fold = np.array([zlib.crc32((m[1].lower() if (m := _URL.match(u)) else "").encode("utf-8", "surrogatepass")) % FOLDS for u in urls], int)
     rates = SuffixRates(FOLDS)
     for u, b, f in zip(urls, y, fold, strict=True):
         rates.add(u, bool(b), f)
-    shape = np.array([lexical(u) for u in urls]).reshape(len(urls), -1)
-    at = lambda left_out: np.hstack([shape, np.array([rates.of(u, tuple({*left_out, int(f)})) for u, f in zip(urls, fold, strict=True)]).reshape(len(urls), -1)])
+    shape = np.array([lexical(u) for u in urls])
+    at = lambda left_out: np.hstack([shape, np.array([rates.of(u, tuple({*left_out, int(f)})) for u, f in zip(urls, fold, strict=True)])])
     tried = np.zeros(len(urls))
     for k in range(FOLDS):
         mine = fold == k
         if mine.any() and not mine.all():
             x = at((k,))
             tried[mine] = BoostedTrees().fit(x[~mine], y[~mine]).probability(x[mine])
-    trees = BoostedTrees().fit(at(()), y) if len(urls) else BoostedTrees()
+    trees = BoostedTrees().fit(at(()), y)
     trees.threshold = threshold_at(tried, y, PRECISION) if 0 < y.sum() < len(y) else 1.1
     return trees, rates
 

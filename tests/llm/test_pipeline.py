@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tallyweave.llm import mixing, quality
@@ -74,15 +75,44 @@ def test_tied_ids(spark):
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+LONG = " ".join(f"word{i % 977} x{i}" for i in range(3000))
+ODD = [
+    (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t ", None, "b", 4), (4, LONG, "en", "b", len(LONG)),
+    (5, "one two three", "en", None, 13), (5, "one two three", "en", None, 13), (5, "a different text of the same id " * 9, "en", "a", 9),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ["id", "th", "__start", "root", "node", "text_hash", "rejected_by", "secret_spans", "start", "size", "row", "first", "count", "piece", "label", "value", "bucket", "cells"]
+
+
 def test_stages_on_odd_rows(spark):
-    long = " ".join(f"word{i % 977} x{i}" for i in range(3000))
-    rows = [
-        (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t ", None, "b", 4), (4, long, "en", "b", len(long)),
-        (5, "one two three", "en", None, 13), (5, "one two three", "en", None, 13), (5, "a different text of the same id " * 9, "en", "a", 9),
-    ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(ODD, SCHEMA)
     single = [tuple(r) for r in p.near_dedup(spark, docs, "").collect()]
-    assert sorted(single, key=repr) == sorted([rows[1], rows[4], rows[5], rows[7]], key=repr)
+    assert sorted(single, key=repr) == sorted([ODD[1], ODD[4], ODD[5], ODD[7]], key=repr)
     for _, stage in p.STAGES:
         docs = stage(spark, docs, "")
     assert {r["doc_id"] for r in docs.collect()} == {4}
+
+
+@pytest.mark.parametrize("name, stage", p.STAGES, ids=[n for n, _ in p.STAGES])
+def test_each_stage_on_odd_rows(spark, name, stage):
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    plain = [tuple(r) for r in stage(spark, docs, "").collect()]
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    got = stage(spark, more, "")
+    if name != p.STAGES[-1][0]:
+        assert got.columns == more.columns
+        assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == sorted(plain, key=repr)
+        assert all(tuple(r)[5:] == tuple(range(len(CLASHING))) for r in got.collect())
+    else:
+        assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == sorted((r[:5] for r in plain), key=repr)
+    assert stage(spark, docs.limit(0), "").count() == 0
+    ids = Counter(r[0] for r in plain)
+    few, all_ids = {4: 1}, Counter(r[0] for r in ODD)
+    if name == "quality rules":
+        assert ids == few
+    elif name == "secret scans":
+        assert ids == all_ids and sorted(plain, key=repr) == sorted(ODD, key=repr)
+    elif name == "mixing sources":
+        assert set(ids) == {4, 5}
+    elif name == "best-fit packing":
+        assert {**ids, 4: 1} == {**all_ids, 4: 1} and ids[4] > 1
