@@ -82,16 +82,16 @@ def test_delta_faults(spark):
     assert {r["file_key"]: (r["content"], r["error"]) for r in blocks.delta_apply(plan, base).collect()} == {"a": (None, "out_of_bounds"), "b": (None, "missing_data"), "c": (None, "out_of_bounds")}
 
 
-def test_shifted_matches(spark, monkeypatch):
+def test_shifted_matches(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, 8 * 64, np.uint8).tobytes()
     client = b"new" + base[:256] + b"mid" + base[256:]
     files = lambda data: spark.createDataFrame([("f", data)], "file_key string, content binary")
     want = sorted([(3 + 64 * i, 64 * i) for i in range(4)] + [(262 + 64 * i, 256 + 64 * i) for i in range(4)])
-    for sent in (blocks.SENT_CHECKSUMS, 2):
-        monkeypatch.setattr(blocks, "SENT_CHECKSUMS", sent)
-        got = blocks.shifted_matches(files(client), blocks.block_signatures(files(base), 64), 64)
-        assert sorted((r["offset"], r["base_offset"]) for r in got.collect()) == want
+    got = blocks.shifted_matches(files(client), blocks.block_signatures(files(base), 64), 64)
+    assert sorted((r["offset"], r["base_offset"]) for r in got.collect()) == want
+    other = spark.createDataFrame([("g", client), ("f", None)], "file_key string, content binary")
+    assert blocks.shifted_matches(other, blocks.block_signatures(files(base), 64), 64).count() == 0  # another file's blocks
 
 
 @pytest.mark.parametrize(
@@ -157,6 +157,45 @@ def test_revision_bump(spark):
     assert [(r["status"], r["revision"]) for r in out] == [("applied", 1), ("conflict", 1), ("applied", 2), ("applied", 8), ("conflict", 0)]
 
 
+def test_hot_keys_are_judged_batch_by_batch(spark):
+    n = 1_000_000
+    writes = spark.range(n).select(F.lit("hot").alias("path"), F.col("id").alias("event_id"), (F.col("id") - F.col("id") % 2).alias("expected")).repartition(8)
+    out = governance.revision_bump(writes, ["path"], ["event_id"])
+    assert out.groupBy("status").agg(F.count("*").alias("n"), F.max("revision").alias("r")).where("status = 'applied'").first().asDict() == {"status": "applied", "n": 1, "r": 1}
+    writes = writes.withColumn("expected", F.col("event_id")).withColumn("expected", F.when(F.col("event_id") % 10 == 9, -1).otherwise(F.col("event_id") - F.floor(F.col("event_id") / 10)))
+    assert governance.revision_bump(writes, ["path"], ["event_id"]).where("status = 'applied'").count() == n - n // 10
+    attempts = spark.range(n).select(F.lit("hot").alias("key"), F.col("id").alias("second"), F.col("id").alias("event_id"), F.lit(False).alias("success")).repartition(8)
+    found = {r["status"]: r["count"] for r in governance.auth_rate_limit(attempts, 5, 60).groupBy("status").count().collect()}
+    assert found["failed"] == -(-n // 60) * 5 and found["failed"] + found["blocked"] == n
+
+
+def test_tiers_of_any_case_and_unknown_ones(spark):
+    tenants = spark.createDataFrame([("a", "Pro"), ("b", "gold"), ("c", None), ("d", "FREE")], "tenant_id string, plan_tier string")
+    nodes = spark.createDataFrame([(t, f"n{i}", False) for t in "abcd" for i in range(3)], "tenant_id string, node_id string, revoked boolean")
+    assert {r["tenant_id"]: r["verdict"] for r in governance.node_capacity(tenants, nodes).collect()} == {"a": "ok", "b": "unknown_tier", "c": "nodes_exceeded", "d": "nodes_exceeded"}
+    files = spark.createDataFrame([(t, "v", "p", 1, False) for t in "abcd"], "tenant_id string, vault_id string, path string, size long, deleted boolean")
+    vaults = files.select("tenant_id", "vault_id")
+    uploads = spark.createDataFrame([(t, "v", "q", 6 * 1024**3) for t in "abcd"], "tenant_id string, vault_id string, path string, size long")
+    assert {r["tenant_id"]: r["verdict"] for r in governance.quota_verdict(uploads, files, vaults, tenants).collect()} == {"a": "ok", "b": "unknown_tier", "c": "storage_exceeded", "d": "storage_exceeded"}
+    history = spark.createDataFrame([(t, "v", "p", 1, 0) for t in "abcd"], "tenant_id string, vault_id string, path string, version_id long, created_at long")
+    assert {r["tenant_id"]: r["pruned"] for r in versions.prune_versions(history, tenants, 10**9).collect()} == {"a": True, "b": False, "c": True, "d": True}
+
+
+def test_one_row_for_each_request(spark):
+    requests = spark.createDataFrame([("u", "t", "v")], "user_id string, tenant_id string, vault_id string")
+    vaults = spark.createDataFrame([("x", "v"), ("y", "v")], "tenant_id string, vault_id string")
+    members = spark.createDataFrame([("u", "v", "y", "editor"), ("u", "v", "x", "viewer")], "user_id string, vault_id string, owner_tenant string, role string")
+    out = governance.vault_access(requests, vaults, members).collect()
+    assert [(r["data_tenant"], r["access"], r["may_write"]) for r in out] == [("x", "viewer", False)]
+
+
+def test_a_token_enrolls_once(spark):
+    tokens = spark.createDataFrame([("a", 100, 50, False, False), ("b", 100, 50, True, False)], "token_hash string, issued_at long, ttl long, revoked boolean, used boolean")
+    tries = spark.createDataFrame([(1, "a", 200), (2, "a", 120), (3, "a", 120), (4, "a", 151), (5, "b", 120), (6, "c", 1)], "attempt_id int, token_hash string, second long")
+    got = {r["attempt_id"]: r["status"] for r in governance.enrollment_status(tries, tokens).collect()}
+    assert got == {1: "replay", 2: "ok", 3: "replay", 4: "replay", 5: "revoked", 6: "not_found"}
+
+
 def test_replay_and_versions(spark):
     df = spark.createDataFrame([("a", i, c) for i, c in enumerate([0, 3, 3, 2, 5])], "key string, event_id int, version long")
     assert [r["accepted"] for r in governance.replay_check(df, ["key"], "version", ["event_id"]).orderBy("event_id").collect()] == [False, True, False, False, True]

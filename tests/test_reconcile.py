@@ -135,6 +135,8 @@ def test_keys(spark):
     put = upsert(target, right.withColumn("z", F.lit(2)).withColumn("y", F.col("y") + 1), ["k"], preserve=["z"], order=["y"])
     assert sorted(map(tuple, put.collect()), key=repr) == [("b", 31, 2), (None, 11, 1)]
     assert insert_ignore(target, right.withColumn("z", F.lit(2)), ["k"], order=["y"]).count() == 2
+    many = spark.range(10).withColumn("p", F.col("id") % 2)
+    assert "WindowGroupLimit" in paginate(many, ["p"], [F.desc("id")], 3)._jdf.queryExecution().executedPlan().toString()
     page = paginate(spark.range(10).withColumn("p", F.lit(1)), ["p"], [F.desc("id")], 3, 6).collect()
     assert [(r["id"], r["position"], r["total"], r["has_more"]) for r in page] == [(3, 7, 10, True), (2, 8, 10, True), (1, 9, 10, True)]
     assert KEY[:2] == SCOPE

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,9 +31,20 @@ def test_scan_manifest(spark, tree):
     prior = scan.withColumn("content_hash", F.lit("known")).withColumn("vector_clock", F.create_map(F.lit("n"), F.lit(4).cast("long"))).withColumn("size", F.when(F.col("path") == "a.md", 99).otherwise(F.col("size"))).persist()
     again = {r["path"]: r for r in files.scan_manifest(spark, tree, None, "v", "n", rules, prior).collect()}
     assert again["a.md"]["content_hash"] == got["a.md"]["content_hash"] and again["sub dir/ü.md"]["content_hash"] == "known" and again["a.md"]["vector_clock"] == {"n": 4}
+    plan = files.scan_manifest(spark, tree, None, "v", "n", rules, prior)._jdf.queryExecution().optimizedPlan().toString()
+    again = files.scan_manifest(spark, tree, None, "v", "n", rules, prior)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"FileScan binaryFile \[([^\]]*)\].*?Location: \S+ ?\(?(\d+) paths?\)?\[([^\]]*)\]", again)
+    contents = [where for columns, _, where in read if "content#" in columns]
+    assert plan and len(read) >= 2 and contents and all(w.endswith("a.md") for w in contents)  # what is known is only listed
     prior.unpersist()
 
 
+def test_archive_entries(spark, tmp_path):
+    index = spark.range(500).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.col("id").alias("size"), F.lit("d").alias("digest"))
+    files.archive_write_entries(index.repartition(7), str(tmp_path / "entries"))
+    assert same(files.archive_read_entries(spark, str(tmp_path / "entries")), index)
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [("b.md", b"same"), ("a.md", b"same"), ("index.json", b"x"), ("c/.disk-archive/d", b"y"), ("e.md", b"")]
     index, slots = blocks.archive_create(spark.createDataFrame(rows, "path string, content binary"))
@@ -122,7 +134,12 @@ def test_index_stream(spark, tmp_path):
     events.apply_index_events(stream, str(tmp_path / "index"), lambda: listing, str(tmp_path / "ixcp"), lambda: 77).awaitTermination()
     got = {r["path"]: (r["content_hash"], r["deleted"]) for r in events.latest_index(spark, str(tmp_path / "index"), 1).collect()}
     assert got == {"p0": ("old", True), "p1": ("new", False), "p2": ("new", False), "p3": ("0" * 64, True), "p9": ("old", False)}
-    assert same(events.latest_index(spark, str(tmp_path / "index"), 1), events.applied_events(spark.createDataFrame(before, manifest), batch, listing, 77))
+    want = events.applied_events(spark.createDataFrame(before, manifest), batch, listing, 77)
+    assert same(events.latest_index(spark, str(tmp_path / "index"), 1), want)
+    assert spark.read.parquet(str(tmp_path / "index" / "v=1")).count() < want.count()  # a later batch writes what it changed
+    spark.createDataFrame(before, manifest).write.parquet(str(tmp_path / "whole" / "v=-1"))
+    events.apply_index_events(stream, str(tmp_path / "whole"), lambda: listing, str(tmp_path / "wholecp"), lambda: 77, compact=1).awaitTermination()
+    assert same(events.latest_index(spark, str(tmp_path / "whole"), 1, compact=1), want)
 
 
 def test_replay_guard_stream(spark, tmp_path):
