@@ -183,7 +183,7 @@ def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by the hour as a stream keeps them, read once all events are in (the last row of each window counts)."""
     kind = F.when(F.col("event_type") == "error", "delete").otherwise("change")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(kind.alias("kind"), F.col("ts").cast("timestamp").alias("event_time"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(kind.alias("kind"), F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("event_time"))
     out = scratch(spark, "counts")
 
     def put(batch: DataFrame, batch_id: int) -> None:
