@@ -82,7 +82,7 @@ def share(name: str | None, size: int, target: float, block: int, seed: int) ->
     if not rest:
         rounds, rest = rounds - 1, size
     short = block * blocks - size
-    at = int(permuted(np.array([blocks - 1]), blocks, key, inverse=True)[0])
+    at = int(permuted(np.array([blocks - 1]), blocks, key, inverse=True)[0]) if blocks > 1 else 0
     given = lambda n: n * block - short * (at < n)
     n = -(-rest // block)
     n += given(n) < rest
@@ -237,13 +237,20 @@ def _table_plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: f
     all_slots = planned.agg(F.sum("slots")).first()[0] or 0
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                k = np.arange(r.low, min(r.low + per, r.slots))
-                take = np.full(len(k), block, np.int64)
-                take[k == r.slots - 1] = r.last_take
-                place = permuted(r.base + k, all_slots, seed)
-                yield pd.DataFrame({"source_no": r.source_no, "round": k // r.blocks, "block": permuted(k % r.blocks, r.blocks, r.key), "take": take, "shard": place // per, "position": place % per})
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                batch = whole.iloc[at : at + 64]
+                n = (np.minimum(batch["low"] + per, batch["slots"]) - batch["low"]).to_numpy()
+                rows = batch.loc[batch.index.repeat(n)]
+                k = rows["low"].to_numpy() + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                blocks = rows["blocks"].to_numpy()
+                mapped, end = k % blocks, np.cumsum(n)
+                for s, e, b, key in zip(end - n, end, batch["blocks"], batch["key"], strict=True):
+                    if b > 1:
+                        mapped[s:e] = permuted(mapped[s:e], b, key)
+                place = permuted(rows["base"].to_numpy() + k, all_slots, seed)
+                take = np.where(k == rows["slots"].to_numpy() - 1, rows["last_take"].to_numpy(), block)
+                yield pd.DataFrame({"source_no": rows["source_no"].to_numpy(), "round": k // blocks, "block": mapped, "take": take, "shard": place // per, "position": place % per})
 
     strips = planned.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, slots - 1, {per}L)")).alias("low")).repartition(F.col("source_no"), F.col("low"))
     return planned.select("source_no", "source", F.col("size").alias("source_size"), "target"), strips.mapInPandas(draw, _SLOT)
