@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneserney, mixing, packing, pii, quality, secrets, sharding, simhash, topk, urls
+from . import audit, bloomlm, collocations, kneserney, mixing, packing, pii, quality, secrets, sharding, simhash, topk, urls
 
 #: Fixed values of the URL query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -83,10 +83,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_pack_best_fit, op3_secret_scan, op4_top_k, op5_personal_data, op6_url_filter, op7_quality_rules, op8_simhash, op9_shards, op10_quality_classifier,
+        op11_filter_audit, op12_collocations, op13_lm_score,
     )
 }
 
@@ -123,5 +136,51 @@ WITH v AS (
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op11_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM w
+), m AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY part, mask
+), l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, list_sum(list_transform(['A', 'B', 'C', 'D', 'E'], lambda y: CASE WHEN instr(filter_order, y) = step THEN 1 << (ascii(y) - 65) ELSE 0 END)) AS own,
+    list_sum(list_transform(['A', 'B', 'C', 'D', 'E'], lambda y: CASE WHEN instr(filter_order, y) < step THEN 1 << (ascii(y) - 65) ELSE 0 END)) AS before
+  FROM o, unnest(range(1, 6)) r(step)
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, mask, n, good, toxic, mask & CAST(own AS INTEGER) <> 0 AS hit, mask & CAST(before AS INTEGER) <> 0 AS gone FROM c, s
+), t AS (
+  SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM t
+""",
+    "op12_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 6)) a(k), unnest(range(1, len(w) - k + 2)) b(i) GROUP BY ALL HAVING count(*) >= 100
+), c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS x, f FROM g WHERE k > 1), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, j, CAST((CAST(1000 AS HUGEINT) * c.f * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c, unnest(range(1, c.k)) q(j), g l, g r, n
+  WHERE l.lang = c.lang AND l.phrase = array_to_string(x[1:j], ' ') AND r.lang = c.lang AND r.phrase = array_to_string(x[j + 1:], ' ') AND n.lang = c.lang
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1), inner_of AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c, unnest(range(2, c.k)) a(m), unnest(range(1, c.k - m + 2)) b(i), c s
+  WHERE s.lang = c.lang AND s.phrase = array_to_string(c.x[i:i + m - 1], ' ') AND 100 * c.f >= 100 * s.f
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_of i WHERE i.lang = b.lang AND i.phrase = b.phrase)
+) SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
 """,
 }
