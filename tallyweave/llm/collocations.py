@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._words import LOWER, Spans, codes_of, flags, joined, sliced_bytes, spans_of, taken, text_bytes
+from ._words import LOWER, Spans, codes_of, flags, joined, mixed, sliced_bytes, spans_of, taken, text_bytes
 
 #: Words of the longest phrase, bits of a mark table (fixed: what is sent to the tasks), seeds tried for word codes.
 LONGEST, MARK_BITS, SEEDS = 5, 1 << 26, 8
@@ -78,68 +78,71 @@ def _marked(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _mapped(docs: DataFrame, work: Callable, schema: str, names: list[str]) -> DataFrame:
+def _mapped(docs: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """The columns that ``work(lang, texts)`` makes of each slice's texts of one language."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced_bytes(batches, 1):
             for lang, texts in _each_language(batch):
-                columns = work(lang, texts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns], names)
+                yield pa.RecordBatch.from_arrays(work(lang, texts), names)
 
     return _language_and_text(docs).mapInArrow(run, schema)
 
 
-def _pairs(codes: np.ndarray, pieces: np.ndarray, frequent: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the pair that begins at each word, whether both words are frequent and in one piece)."""
+def _chained(words: Spans, pieces: np.ndarray, seed: int, lang: str, tables: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word codes, code of the phrase of len(tables) + 1 words from each word on, whether it may be frequent).
+
+    tables[i] marks the frequent phrases of i + 1 words; a phrase may be frequent if both that it has of one word less are marked.
+    """
+    codes = codes_of(words, seed)
     salt = np.uint64(int.from_bytes(lang.encode("utf-8", "surrogatepass")[-8:], "little"))
-    pair = np.zeros(len(codes), np.uint64)
-    pair[:-1] = joined(codes[:-1] + salt, codes[1:])
-    both = np.zeros(len(codes), bool)
-    both[:-1] = frequent[:-1] & frequent[1:] & (pieces[:-1] == pieces[1:])
-    return pair, both
+    phrase, may = mixed(codes + salt), np.ones(len(codes), bool)
+    for k, table in enumerate(tables, 1):
+        marked = may & _marked(table, codes if k == 1 else phrase)
+        longer, may = np.zeros_like(phrase), np.zeros_like(may)
+        longer[:-k] = joined(phrase[:-k], codes[k:])
+        may[:-1] = marked[:-1] & marked[1:] & (pieces[:-1] == pieces[1:])
+        phrase = longer
+    return codes, phrase, may
 
 
 def longest_windows(docs: DataFrame, words: DataFrame, seed: int, min_count: int) -> DataFrame:
     """lang, w1 .. w5 (word codes, null beyond the window's end), c: the windows that begin at each word, counted.
 
-    A window ends with its piece, with the fifth word, or before a pair of neighbours that occurs fewer than ``min_count``
-    times: no phrase over such a pair is a candidate or a part of one, so the counts of all that matter stay whole. Rare words
-    and pairs are known by two mark tables; where one says frequent of a rare pair, a window is just longer than it need be.
+    A window ends with its piece, with the fifth word, or where the next word would complete a pair or a triple that occurs fewer
+    than ``min_count`` times: no phrase over such a one is a candidate or a part of one, so the counts of all that matter stay
+    whole. Rare words, pairs and triples are known by mark tables; where one calls a rare phrase frequent, a window is just longer
+    than it need be. Without them nearly every window is one of its own, and all of those would be shuffled.
     """
     context = docs.sparkSession.sparkContext
-    common = context.broadcast(marks(words.where(F.col("c") >= min_count).select("code")))
+    tables = [context.broadcast(marks(words.where(F.col("c") >= min_count).select("code")))]
 
-    def count_pairs(lang: str, texts: pa.Array) -> list[pa.Array]:
-        spans, pieces = _sequence(texts)
-        codes = codes_of(spans, seed)
-        pair, both = _pairs(codes, pieces, _marked(common.value, codes), lang)
-        found, c = np.unique(pair[both], return_counts=True)
-        return [pa.array(found.view(np.int64)), pa.array(c, pa.int64())]
+    def candidates(lang: str, texts: pa.Array) -> list[pa.Array]:
+        _, phrase, may = _chained(*_sequence(texts), seed, lang, [t.value for t in sent])
+        found, c = np.unique(phrase[may], return_counts=True)
+        return [pa.array(found.view(np.int64)), pa.array(c, pa.int32())]
 
-    pairs = _mapped(docs, count_pairs, "lang string, code long, c long", ["lang", "code", "c"])
-    often = context.broadcast(marks(pairs.groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)))
+    for _ in ("pairs", "triples"):
+        sent = list(tables)
+        counts = _mapped(docs, candidates, "code long, c int").groupBy("code").agg(F.sum("c").alias("c"))
+        tables.append(context.broadcast(marks(counts.where(F.col("c") >= min_count))))
     columns = [f"w{i}" for i in range(1, LONGEST + 1)]
 
-    def count_windows(lang: str, texts: pa.Array) -> list[pa.Array]:
-        spans, pieces = _sequence(texts)
-        codes = codes_of(spans, seed)
-        pair, linked = _pairs(codes, pieces, _marked(common.value, codes), lang)
-        linked &= _marked(often.value, pair)
+    def windows(lang: str, texts: pa.Array) -> list[pa.Array]:
+        words, pieces = _sequence(texts)
+        codes, pair, may = _chained(words, pieces, seed, lang, [tables[0].value])
+        linked = may & _marked(tables[1].value, pair)
+        _, triple, may = _chained(words, pieces, seed, lang, [t.value for t in tables[:2]])
+        threes = may & _marked(tables[2].value, triple)
         starts = np.flatnonzero(linked)
-        lead, there = np.zeros((LONGEST, len(starts)), np.uint64), np.zeros((LONGEST, len(starts)), bool)
-        on = np.ones(len(starts), bool)
-        for i in range(LONGEST):  # the i-th word from each start, while the chain of frequent pairs holds
-            at = np.minimum(starts + i, max(0, len(codes) - 1))
-            there[i], lead[i] = on, np.where(on, codes[at], 0)
-            on = on & linked[at]
-        order = np.lexsort([*lead[::-1], there.sum(0)]) if len(starts) else np.zeros(0, np.int64)
-        lead, there = lead[:, order], there[:, order]
-        new = np.ones(len(order), bool)
-        new[1:] = (lead[:, 1:] != lead[:, :-1]).any(0) | (there[:, 1:] != there[:, :-1]).any(0)
-        c = np.diff(np.append(np.flatnonzero(new), len(order)))
-        return [*(pa.array(lead[i][new].view(np.int64), mask=~there[i][new]) for i in range(LONGEST)), pa.array(c, pa.int64())]
-
-    windows = _mapped(docs, count_windows, f"lang string, {', '.join(f'{w} long' for w in columns)}, c long", ["lang", *columns, "c"])
-    return windows.groupBy("lang", *columns).agg(F.sum("c").alias("c"))
+        lead, on = [pa.array(codes[starts].view(np.int64))], np.ones(len(starts), bool)
+        for i in range(1, LONGEST):  # the i-th word after each start, while pairs and triples hold
+            on = on & (linked[starts] if i == 1 else threes[np.minimum(starts + i - 2, len(codes) - 1)])
+            lead.append(pa.array(codes[np.minimum(starts + i, len(codes) - 1)].view(np.int64), mask=~on))
+        return [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(starts), np.int32))), *lead]
+
+    return _mapped(docs, windows, f"lang string, {', '.join(f'{w} long' for w in columns)}").groupBy("lang", *columns).agg(F.count("*").alias("c"))
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 100) -> tuple[DataFrame, DataFrame]:
