@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import manifest_path
 from ..operators import blocks
 from ..schemas import KEY
 from ..sources import files
@@ -37,23 +38,20 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 # Files
 
-_TREE = "SELECT source, lang, {agg} AS body FROM $documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang"
+#: Every ninth file has an odd name: hidden, underscored, percent signs, a plus; some are empty.
+_TREE = """SELECT CASE doc_id % 9 WHEN 0 THEN '.notes/' WHEN 1 THEN '_drafts/' WHEN 2 THEN '100%/' WHEN 3 THEN 'a%41/' WHEN 4 THEN 'b+c d/' ELSE '' END
+  || coalesce(source, 'none') || '/' || CASE doc_id % 5 WHEN 0 THEN '.' WHEN 1 THEN '_' WHEN 2 THEN '%2F' ELSE '' END || CAST(doc_id AS STRING) || '.md' AS path,
+  CASE WHEN doc_id % 10 = 7 THEN '' ELSE coalesce(text, '') END AS body, doc_id % 2 = 0 AS known FROM $documents"""
 
 
-@register(
-    "SELECT 'source=' || source || '/lang=' || lang AS folder, CASE WHEN lang = 'en' THEN 'known' ELSE sha256(body || chr(10)) END AS content_hash, CAST(strlen(body) + 1 AS BIGINT) AS size FROM ("
-    + _TREE.format(agg="string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(coalesce(text, '')), ',' ORDER BY doc_id)")
-    + ") t"
-)
+@register(f"SELECT path, CASE WHEN known THEN 'known' ELSE sha256(body) END AS content_hash, CAST(strlen(body) AS BIGINT) AS size FROM ({_TREE}) t")
 def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of a file for each source and language, scanned again after its English files were hashed before."""
+    """A tree of a file for each document, scanned again after half of them were hashed before."""
     root = scratch(spark, "tree")
-    line = "CAST(doc_id AS STRING) || ':' || sha2(coalesce(text, ''), 256)"
-    body = query(spark, sf_dir, _TREE.format(agg=f"listagg({line}, ',') WITHIN GROUP (ORDER BY doc_id)"))
-    body.repartition("source", "lang").write.partitionBy("source", "lang").text(root)
-    prior = files.scan_manifest(spark, root, None, "v", "n").where("path like '%lang=en/%'").withColumn("content_hash", F.lit("known"))
-    scan = files.scan_manifest(spark, root, None, "v", "n", prior=prior)
-    return scan.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "content_hash", "size")
+    files.write_files(query(spark, sf_dir, _TREE).select("path", F.col("body").alias("content")), root).write.format("noop").mode("overwrite").save()
+    even = F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("long") % 2 == 0
+    prior = files.scan_manifest(spark, root, None, "v", "n").where(even).withColumn("content_hash", F.lit("known"))
+    return files.scan_manifest(spark, root, None, "v", "n", prior=prior).select("path", "content_hash", "size")
 
 
 @register(f"SELECT path, size, digest FROM ({ARCHIVE}) a")
@@ -70,15 +68,16 @@ def archive_read_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.archive_read_entries(spark, path)
 
 
-@register("SELECT model_id, dimensions, arg_max(source_path, vec_id) AS source_path, arg_max(content_hash, vec_id) AS content_hash, arg_max(vector_bytes, vec_id) AS vector_bytes FROM manifests WHERE content_hash IS NOT NULL GROUP BY vault_id, model_id, dimensions")
+@register("SELECT vault_id, model_id, dimensions, source_path, content_hash, vector_bytes FROM manifests WHERE content_hash IS NOT NULL")
 def sidecar_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest manifest of each vault, model and size, each written as a file of its own."""
-    root = scratch(spark, "sidecars")
-    keys = ["vault_id", "model_id", "dimensions"]
-    newest = view(spark, sf_dir, "manifests").groupBy(*keys).agg(F.max_by(F.struct("source_path", "content_hash", "vector_bytes"), "vec_id").alias("m"))
-    rows = newest.select(*keys, F.col("vault_id").alias("v"), F.col("model_id").alias("m1"), F.col("dimensions").alias("d"), "m.*")
-    rows.repartition("v", "m1", "d").write.partitionBy("v", "m1", "d").json(root)
-    return files.sidecar_read(spark, root, "part-*.json").select("model_id", "dimensions", "source_path", "content_hash", "vector_bytes")
+    """Every manifest written where it belongs in its share's hidden folder, and read back from the folder of all shares."""
+    root = scratch(spark, "shares")
+    fields = F.struct(F.lit(1).alias("schema_version"), "source_path", "content_hash", "model_id", "dimensions", "vector_bytes")
+    named = F.concat(F.col("vault_id"), F.lit("/"), manifest_path(F.col("source_path")))
+    rows = view(spark, sf_dir, "manifests").select(named.alias("path"), F.to_json(fields).alias("content"))
+    files.write_files(rows, root).write.format("noop").mode("overwrite").save()
+    read = files.sidecar_read(spark, root)
+    return read.select(F.split("manifest_path", "/")[0].alias("vault_id"), "model_id", "dimensions", "source_path", "content_hash", "vector_bytes")
 
 
 @register("SELECT kind, CAST(2 * count(*) AS BIGINT) AS n, max(ts_ms) AS last_ms FROM audit GROUP BY kind")

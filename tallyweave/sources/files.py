@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import FilterRules, is_excluded
+from ..functions.paths import SIDECAR_ROOT, FilterRules, is_co_storage, is_excluded
 from ..operators.index import fastpath_hash
 from ..schemas import ARCHIVE_INDEX, AUDIT_EVENT, SIDECAR
+from .tree import hash_files, list_tree, read_files, write_files
+
+__all__ = [
+    "archive_read_entries", "archive_read_index", "archive_write_entries", "archive_write_index", "audit_append", "audit_append_stream", "fs_event_source", "fs_events",
+    "known_audit_rows", "scan_manifest", "sidecar_read", "sidecar_vectors", "write_files",
+]
 
 #: The kinds an audit row may have.
 AUDIT_KINDS = (
@@ -20,54 +24,23 @@ AUDIT_KINDS = (
 )
 
 
-#: Changed files that a scan with prior rows loads by name.
-LISTED = 10_000
-
-
-def _decoded() -> Column:
-    """A file's name, from the URI that a scan shows."""
-    return F.url_decode(F.regexp_replace("__uri", r"\+", "%2B"))
-
-
-def _under(root: str) -> Column:
-    """Path below ``root``."""
-    at = F.locate(root.rstrip("/") + "/", _decoded())
-    return F.substring(_decoded(), at + len(root.rstrip("/")) + 1, F.lit(1 << 30))
-
-
 def scan_manifest(spark: SparkSession, root: str, tenant_id: str | None, vault_id: str, node_id: str, rules: FilterRules = FilterRules(), prior: DataFrame | None = None) -> DataFrame:
-    """Manifest rows of the regular files under ``root`` that the rules let pass.
+    """Manifest rows of the regular files under ``root`` that the rules let pass, as ``list_tree`` lists them.
 
     Contents are read only to be hashed, and not at all where a prior row has the same size and mtime: the listing is met with
-    ``prior`` first, and then just the misses are loaded, by name up to LISTED of them, beyond it those as young as the
-    oldest miss. Clocks come from the prior row, else they are empty; the file system's inode is not shown to Spark and stays
-    null, and Spark's scan passes over files of no bytes.
+    ``prior`` first, and then the tasks that hold the misses read those, however many they are. Clocks come from the prior
+    row, else they are empty. A file that goes away between listing and hashing fails the scan.
     """
-    reader = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    named = lambda files: files.withColumnRenamed("path", "__uri").withColumn("path", _under(root))
-    files = named(reader.option("recursiveFileLookup", True).load(root)).where(~is_excluded(F.col("path"), rules))
-    digest = F.sha2("content", 256).alias("content_hash")
-
-    def rows(files: DataFrame, content_hash: Column) -> DataFrame:
-        return files.select(
-            F.lit(tenant_id).cast("string").alias("tenant_id"), F.lit(vault_id).alias("vault_id"), F.lit(node_id).alias("node_id"), "path",
-            F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), content_hash, F.lit(None).cast("long").alias("inode"),
-            F.create_map().cast("map<string,long>").alias("vector_clock"), F.lit(False).alias("deleted"),
-        )
-
+    files = list_tree(spark, root).where(~is_excluded(F.col("path"), rules))
+    listed = files.select(
+        F.lit(tenant_id).cast("string").alias("tenant_id"), F.lit(vault_id).alias("vault_id"), F.lit(node_id).alias("node_id"), "path",
+        "size", "mtime_ns", F.lit(None).cast("string").alias("content_hash"), "inode",
+        F.create_map().cast("map<string,long>").alias("vector_clock"), F.lit(False).alias("deleted"),
+    )
     if prior is None:
-        return rows(files, digest)
-    listed = rows(files, F.lit(None).cast("string").alias("content_hash"))
+        return hash_files(listed.drop("content_hash"), root).select(*listed.columns)
     hit, miss = fastpath_hash(listed, prior)
-    some = files.join(miss.select("path"), "path", "left_semi").select(_decoded().alias("file"), "modificationTime").limit(LISTED + 1).collect()
-    if len(some) <= LISTED:
-        escaped = [re.sub(r"([\\*?{}\[\],])", r"\\\1", r["file"]) for r in some]
-        missed = named(reader.load(escaped)) if some else files.limit(0)
-    else:
-        oldest = files.join(miss.select("path"), "path", "left_semi").agg(F.min("modificationTime")).first()[0]
-        missed = named(reader.option("recursiveFileLookup", True).load(root)).where(F.col("modificationTime") >= F.lit(oldest))
-    hashed = miss.join(missed.select("path", digest), "path")
-    return hit.unionByName(hashed.select(*hit.columns)).select(*listed.columns)
+    return hit.unionByName(hash_files(miss, root)).select(*listed.columns)
 
 
 def archive_read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -94,10 +67,22 @@ def archive_read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("path string, size long, digest string").json(path)
 
 
-def sidecar_read(spark: SparkSession, root: str, names: str = "*.manifest.json") -> DataFrame:
-    """Fields of every readable sidecar (by default ``*.manifest.json``) under ``root``; an unreadable one counts as missing."""
-    reader = spark.read.schema(SIDECAR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).option("mode", "PERMISSIVE")
-    return reader.json(root).where("source_path is not null and content_hash is not null")
+def sidecar_read(spark: SparkSession, root: str, suffix: str = ".manifest.json") -> DataFrame:
+    """manifest_path and the fields of every readable sidecar manifest under ``root``; an unreadable one counts as missing.
+
+    ``root`` is a share (its sidecars lie in a hidden folder) or any folder of sidecars; hidden names count.
+    """
+    named = list_tree(spark, root).where(F.endswith("path", F.lit(suffix))).select("path")
+    parsed = F.from_json(F.col("content").cast("string"), SIDECAR, {"mode": "PERMISSIVE"})
+    fields = read_files(named, root).select(F.col("path").alias("manifest_path"), parsed.alias("m")).select("manifest_path", "m.*")
+    return fields.where("source_path is not null and content_hash is not null")
+
+
+def sidecar_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """source_path and bytes of every vector file in the sidecar folder of the share ``root``, from the listing alone."""
+    suffix, below = ".vec.bin", len(SIDECAR_ROOT) + 2
+    found = list_tree(spark, root).where(is_co_storage(F.col("path")) & F.endswith("path", F.lit(suffix)))
+    return found.select(F.expr(f"substring(path, {below}, length(path) - {below - 1 + len(suffix)})").alias("source_path"), F.col("size").alias("bytes"))
 
 
 def known_audit_rows(events: DataFrame) -> DataFrame:

@@ -1,44 +1,104 @@
 """Sources and sinks on small trees, and streams against their batch form."""
 
+import hashlib
 import json
 import os
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions.paths import FilterRules
-from tallyweave.operators import blocks, governance
+from tallyweave.operators import blocks, governance, sidecars
 from tallyweave.sources import files
+from tallyweave.sources import tree as sources_tree
 from tallyweave.streaming import events, state
 
 
+ODD = {
+    "a.md": "one", "sub dir/b+c.txt": "two", "sub dir/ü.md": "three", ".git/x.md": "no", "p.png": "no", "empty.md": "", ".env.md": "four", "_drafts/x.md": "five", "_index.md": "six",
+    ".obsidian/app.md": "seven", "100%.md": "eight", "a%41.md": "nine", "c%.md": "ten", "[x]{y},*?.md": "eleven", "deep/er/and/deeper/z.md": "twelve",
+}
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
-    for name, text in {"a.md": "one", "sub dir/b+c.txt": "two", "sub dir/ü.md": "three", ".git/x.md": "no", "p.png": "no", "empty.md": ""}.items():
+    for name, text in ODD.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
+    (root / "link.md").symlink_to(root / "a.md")
+    (root / "linked").symlink_to(root / "sub dir")
+    (root / "nothing").mkdir()
     return str(root)
 
 
+def walked(root):
+    """What a walk that follows no links sees."""
+    found = {}
+    for folder, _, names in os.walk(root):
+        for name in names:
+            path = os.path.join(folder, name)
+            if not os.path.islink(path):
+                stat = os.lstat(path)
+                found[os.path.relpath(path, root)] = (stat.st_size, stat.st_mtime_ns, stat.st_ino)
+    return found
+
+
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_list_tree(spark, tree, prefix):
+    got = {r["path"]: tuple(r)[1:] for r in sources_tree.list_tree(spark, prefix + tree).collect()}
+    assert got == walked(tree) and len(got) == len(ODD)
+
+
+def test_a_deep_tree_is_dealt_out(monkeypatch, tree):
+    monkeypatch.setattr(sources_tree, "FOLDERS", 3)
+    monkeypatch.setattr(sources_tree, "ROWS", 2)
+    reader = sources_tree.TreeReader(tree)
+    parts = reader.partitions()
+    got = [p for part in parts for batch in reader.read(part) for p in batch.column(0).to_pylist()]
+    assert sorted(got) == sorted(walked(tree)) and len(parts) > 3 and any(part.whole for part in parts)
+
+
 def test_scan_manifest(spark, tree):
     rules = FilterRules(extensions=("md", "txt"))
     scan = files.scan_manifest(spark, tree, None, "v", "n", rules)
     got = {r["path"]: r for r in scan.collect()}
-    assert sorted(got) == ["a.md", "sub dir/b+c.txt", "sub dir/ü.md"]
-    assert got["a.md"]["size"] == 3 and got["a.md"]["deleted"] is False and got["a.md"]["vector_clock"] == {}
+    assert sorted(got) == sorted(set(ODD) - {".git/x.md", "p.png"})
+    assert all(r["content_hash"] == hashlib.sha256(ODD[p].encode()).hexdigest() for p, r in got.items())
+    assert got["a.md"]["size"] == 3 and got["a.md"]["deleted"] is False and got["a.md"]["vector_clock"] == {} and got["a.md"]["inode"] == os.stat(f"{tree}/a.md").st_ino
     prior = scan.withColumn("content_hash", F.lit("known")).withColumn("vector_clock", F.create_map(F.lit("n"), F.lit(4).cast("long"))).withColumn("size", F.when(F.col("path") == "a.md", 99).otherwise(F.col("size"))).persist()
     again = {r["path"]: r for r in files.scan_manifest(spark, tree, None, "v", "n", rules, prior).collect()}
-    assert again["a.md"]["content_hash"] == got["a.md"]["content_hash"] and again["sub dir/ü.md"]["content_hash"] == "known" and again["a.md"]["vector_clock"] == {"n": 4}
-    plan = files.scan_manifest(spark, tree, None, "v", "n", rules, prior)._jdf.queryExecution().optimizedPlan().toString()
-    again = files.scan_manifest(spark, tree, None, "v", "n", rules, prior)._jdf.queryExecution().executedPlan().toString()
-    read = re.findall(r"FileScan binaryFile \[([^\]]*)\].*?Location: \S+ ?\(?(\d+) paths?\)?\[([^\]]*)\]", again)
-    contents = [where for columns, _, where in read if "content#" in columns]
-    assert plan and len(read) >= 2 and contents and all(w.endswith("a.md") for w in contents)  # what is known is only listed
+    assert again["a.md"]["content_hash"] == got["a.md"]["content_hash"] and again["a.md"]["vector_clock"] == {"n": 4}
+    assert {r["content_hash"] for p, r in again.items() if p != "a.md"} == {"known"}
+    assert len(again) == len(got)
     prior.unpersist()
 
 
+def test_only_misses_are_read(spark, tree):
+    """A known file's contents are not touched: other bytes under its size and mtime go unseen; a miss is read."""
+    prior = spark.createDataFrame(files.scan_manifest(spark, tree, None, "v", "n").collect(), files.scan_manifest(spark, tree, None, "v", "n").schema)
+    for name, text in (("a.md", "ONE"), ("sub dir/ü.md", "threeX")):
+        stat = os.stat(f"{tree}/{name}")
+        with open(f"{tree}/{name}", "w") as f:
+            f.write(text)
+        os.utime(f"{tree}/{name}", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    got = {r["path"]: r["content_hash"] for r in files.scan_manifest(spark, tree, None, "v", "n", prior=prior).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got["a.md"] == digest("one") and got["sub dir/ü.md"] == digest("threeX")
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = [("x/.y/z", b"1"), ("_a", b""), ("p%q", b"3" * 3_000_000), ("n", None)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    root = str(tmp_path / "out")
+    assert {tuple(r) for r in sources_tree.write_files(df, root).collect()} == {(p, len(c or b"")) for p, c in rows}
+    back = sources_tree.read_files(sources_tree.list_tree(spark, root).select("path"), root)
+    assert {r["path"]: bytes(r["content"]) for r in back.collect()} == {p: c or b"" for p, c in rows}
+    for bad in ("../x", "/x", "a/../../b"):
+        with pytest.raises(Exception, match="leaves the folder"):
+            sources_tree.write_files(spark.createDataFrame([(bad, b"")], df.schema), root).collect()
+
+
 def test_archive_entries(spark, tmp_path):
     index = spark.range(500).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.col("id").alias("size"), F.lit("d").alias("digest"))
     files.archive_write_entries(index.repartition(7), str(tmp_path / "entries"))
@@ -58,11 +118,22 @@ def test_archive_round_trip(spark, tmp_path):
 
 
 def test_sidecar_read(spark, tmp_path):
-    good = {"schema_version": 1, "source_path": "a.md", "content_hash": "h", "model_id": "m", "dimensions": 4, "vector_bytes": 16, "embedded_at": 1}
-    for name, text in {"a.md.manifest.json": json.dumps(good), "deep/b.manifest.json": "{broken", "c.json": "{}"}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text(text)
-    assert [r["source_path"] for r in files.sidecar_read(spark, str(tmp_path)).collect()] == ["a.md"]
+    sources = {"_x.md": "one", ".notes/y.md": "two", "notes/a.md": "three", "notes/b.md": "four"}
+    field = lambda p: {"schema_version": 1, "source_path": p, "content_hash": hashlib.sha256(sources[p].encode()).hexdigest(), "model_id": "m", "dimensions": 4, "vector_bytes": 16, "embedded_at": 1}
+    for p, text in sources.items():
+        for name, content in ((p, text.encode()), (f".disk-embeddings/{p}.manifest.json", b"{broken" if p == "notes/b.md" else json.dumps(field(p)).encode()), (f".disk-embeddings/{p}.vec.bin", b"\0" * 16)):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_bytes(content)
+    root = str(tmp_path)
+    found = files.sidecar_read(spark, root)
+    assert {r["source_path"]: r["manifest_path"] for r in found.collect()} == {p: f".disk-embeddings/{p}.manifest.json" for p in sources if p != "notes/b.md"}
+    assert files.sidecar_read(spark, f"{root}/.disk-embeddings").count() == 3
+    scan = files.scan_manifest(spark, root, None, "v", "n")
+    vectors = files.sidecar_vectors(spark, root)
+    assert {tuple(r) for r in vectors.collect()} == {(p, 16) for p in sources}
+    vault = lambda df: df.withColumn("vault_id", F.lit("v"))
+    state = sidecars.sidecar_staleness(scan, vault(found), vault(vectors), "m", 4)
+    assert {r["path"]: r["staleness"] for r in state.collect()} == {p: "fresh" if p != "notes/b.md" else "missing_manifest" for p in sources}
 
 
 def test_audit_append(spark, tmp_path):
