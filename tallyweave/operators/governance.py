@@ -65,25 +65,60 @@ def tenant_dashboard(tenants: DataFrame, users: DataFrame, nodes: DataFrame, vau
     )
 
 
-def quota_verdict(uploads: DataFrame, files: DataFrame, vaults: DataFrame, tenants: DataFrame) -> DataFrame:
+def quota_verdict(uploads: DataFrame, files: DataFrame, vaults: DataFrame, tenants: DataFrame, order: Sequence[str] = ("vault_id", "path", "size")) -> DataFrame:
     """``uploads`` (tenant_id, vault_id, path, size) with verdict: unknown_tier, vaults_exceeded, storage_exceeded, ok.
 
-    A new vault counts against the known ones; bytes grow by the new size less the old row's, tombstones included, while
-    the used bytes leave tombstones out; neither falls below 0.
+    A tenant's uploads are judged in ``order``, each after those before it are stored: what is ok adds its vault and its bytes,
+    what is not leaves nothing. A new vault counts against the known ones; bytes grow by the new size less the old row's,
+    tombstones included, while the used bytes leave tombstones out; neither falls below 0. A null size counts as 0.
+
+    A task holds one batch of a tenant's rows and its state: bytes, new vaults (no more than its tier allows) and the sizes of
+    admitted paths that come again later.
     """
-    rows = with_limits(join_on(uploads, tenants.select("tenant_id", "plan_tier"), ["tenant_id"]))
+    rows = with_limits(join_on(uploads, tenants.select("tenant_id", F.col("plan_tier").alias("__tier_name")), ["tenant_id"]), "__tier_name")
     rows = join_on(rows, storage_used(files), ["tenant_id"])
     rows = join_on(rows, vaults.groupBy("tenant_id").agg(F.count("*").alias("__vaults")), ["tenant_id"])
     rows = join_on(rows, vaults.select(*SCOPE, F.lit(True).alias("__known")).distinct(), SCOPE)
-    rows = join_on(rows, files.select(*SCOPE, "path", F.col("size").alias("__old")), [*SCOPE, "path"])
-    projected = F.greatest(F.lit(0), F.coalesce("used_bytes", F.lit(0)) + F.col("size") - F.coalesce("__old", F.lit(0)))
-    verdict = (
-        F.when(F.col("max_vaults").isNull(), "unknown_tier")
-        .when(F.col("__known").isNull() & (F.coalesce("__vaults", F.lit(0)) >= F.col("max_vaults")), "vaults_exceeded")
-        .when(projected > F.col("max_storage_bytes"), "storage_exceeded")
-        .otherwise("ok")
-    )
-    return rows.select(*uploads.columns, verdict.alias("verdict"))
+    rows = join_on(rows, files.select(*SCOPE, "path", F.col("size").alias("__old"), F.when(~F.col("deleted"), F.col("size")).alias("__live")), [*SCOPE, "path"])
+    later = Window.partitionBy(*SCOPE, "path").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    facts = {
+        "__bytes": zero("size"), "__max_bytes": F.col("max_storage_bytes").cast("long"), "__max_vaults": F.col("max_vaults").cast("long"), "__used": zero("used_bytes"), "__vaults": zero("__vaults"),
+        "__known": F.coalesce("__known", F.lit(False)), "__old": zero("__old"), "__live": zero("__live"), "__later": F.count("*").over(later),
+    }
+    rows = rows.withColumns(facts).select(*uploads.columns, *facts)
+    judged = judged_in_order(rows, ["tenant_id"], order, ["vault_id", "path", *facts], "verdict string", lambda row: Admitted(row[5], row[6]), lambda part, state: [(state.verdict(*row),) for row in part])
+    return judged.select(*uploads.columns, "verdict")
+
+
+class Admitted:
+    """What a tenant has stored so far."""
+
+    def __init__(self, used: int, vaults: int):
+        self.used, self.vaults = used, vaults
+        self.new_vaults: set = set()
+        self.sizes: dict[tuple, int] = {}  # of paths stored here that come again
+
+    def verdict(self, vault: str, path: str, size: int, max_bytes: int | None, max_vaults: int | None, used: int, vaults: int, known: bool, old: int, live: int, later: int) -> str:
+        before = self.sizes.get((vault, path))
+        if not later:
+            self.sizes.pop((vault, path), None)
+        if before is not None:
+            old = live = before
+        fresh = not known and vault not in self.new_vaults
+        if max_vaults is None:
+            return "unknown_tier"
+        if fresh and self.vaults >= max_vaults:
+            return "vaults_exceeded"
+        if max(0, self.used + size - old) > max_bytes:
+            return "storage_exceeded"
+        self.used = max(0, self.used + size - live)
+        if fresh:
+            self.vaults += 1
+            self.new_vaults.add(vault)
+        if later:
+            self.sizes[vault, path] = size
+        return "ok"
 
 
 def node_capacity(tenants: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -49,17 +49,31 @@ def tenant_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("vault_ids", "node_ids")})
 
 
-_UPLOADS = "SELECT tenant_id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' || CAST(o_orderkey % 3 AS STRING) ELSE vault_id END AS vault_id, path, size * (CASE WHEN o_orderkey % 4 = 0 THEN 30000 ELSE 1 END) AS size FROM files"
+#: Some uploads go to new vaults, some are large, some come to one of three paths again and again.
+_UPLOADS = """SELECT o_orderkey AS seq, tenant_id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' || CAST(o_orderkey % 3 AS STRING) ELSE vault_id END AS vault_id,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'again' || CAST(o_orderkey % 3 AS STRING) ELSE path END AS path, size * (CASE WHEN o_orderkey % 4 = 0 THEN 30000 WHEN o_orderkey % 4 = 1 THEN 3000 ELSE 1 END) AS size FROM files"""
 
 
 @register(
-    f"""WITH {_TIER}, u AS ({_UPLOADS}), used AS (SELECT tenant_id, sum(size) FILTER (NOT deleted) AS b FROM files GROUP BY tenant_id), vc AS (SELECT tenant_id, count(*) AS n FROM vaults GROUP BY tenant_id)
-    SELECT u.*, CASE WHEN t.raw IS NOT NULL AND t.name IS NULL THEN 'unknown_tier' WHEN NOT EXISTS (SELECT 1 FROM vaults v WHERE {same('v', 'u', 'tenant_id vault_id')}) AND coalesce(vc.n, 0) >= max_vaults THEN 'vaults_exceeded'
-      WHEN coalesce(b, 0) + u.size - coalesce(f.size, 0) > storage THEN 'storage_exceeded' ELSE 'ok' END AS verdict
-    FROM u LEFT JOIN tier t ON t.tenant_id IS NOT DISTINCT FROM u.tenant_id LEFT JOIN used ON used.tenant_id IS NOT DISTINCT FROM u.tenant_id LEFT JOIN vc ON vc.tenant_id IS NOT DISTINCT FROM u.tenant_id LEFT JOIN files f ON {same('f', 'u')}"""
+    f"""WITH RECURSIVE {_TIER}, used AS (SELECT tenant_id, sum(size) FILTER (NOT deleted) AS b FROM files GROUP BY tenant_id), vc AS (SELECT tenant_id, count(*) AS n FROM vaults GROUP BY tenant_id),
+    u AS (
+      SELECT q.*, coalesce(q.tenant_id, '') AS k, t.storage, t.max_vaults, coalesce(used.b, 0) AS b, coalesce(vc.n, 0) AS n, EXISTS (SELECT 1 FROM vaults v WHERE {same('v', 'q', 'tenant_id vault_id')}) AS known,
+        coalesce(f.size, 0) AS old, CASE WHEN f.deleted THEN 0 ELSE coalesce(f.size, 0) END AS live, row_number() OVER (PARTITION BY q.tenant_id ORDER BY seq) AS i
+      FROM ({_UPLOADS}) q LEFT JOIN tier t ON t.tenant_id IS NOT DISTINCT FROM q.tenant_id LEFT JOIN used ON used.tenant_id IS NOT DISTINCT FROM q.tenant_id LEFT JOIN vc ON vc.tenant_id IS NOT DISTINCT FROM q.tenant_id LEFT JOIN files f ON {same('f', 'q')}
+    ), s AS (
+      SELECT k, CAST(0 AS BIGINT) AS i, CAST(max(b) AS BIGINT) AS b, CAST(max(n) AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS fresh, MAP {{}}::MAP(VARCHAR, BIGINT) AS m, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict FROM u GROUP BY k
+      UNION ALL
+      SELECT k, i, CASE WHEN verdict = 'ok' THEN greatest(0, b + size - coalesce(before, live)) ELSE b END, CASE WHEN verdict = 'ok' AND own THEN n + 1 ELSE n END, CASE WHEN verdict = 'ok' AND own THEN list_append(fresh, vault_id) ELSE fresh END,
+        CASE WHEN verdict = 'ok' AND path LIKE 'again%' THEN map_concat(m, MAP {{vault_id || '/' || path: size}}) ELSE m END, seq, verdict
+      FROM (
+        SELECT *, CASE WHEN max_vaults IS NULL THEN 'unknown_tier' WHEN own AND n >= max_vaults THEN 'vaults_exceeded' WHEN greatest(0, b + size - coalesce(before, old)) > storage THEN 'storage_exceeded' ELSE 'ok' END AS verdict
+        FROM (SELECT u.k, u.i, u.seq, u.vault_id, u.path, u.size, u.storage, u.max_vaults, u.old, u.live, s.b, s.n, s.fresh, s.m, NOT u.known AND NOT list_contains(s.fresh, u.vault_id) AS own, s.m[u.vault_id || '/' || u.path] AS before FROM s JOIN u ON u.k = s.k AND u.i = s.i + 1) x
+      ) y
+    )
+    SELECT u.seq, u.tenant_id, u.vault_id, u.path, u.size, s.verdict FROM u JOIN s ON s.seq = u.seq"""
 )
 def quota_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.quota_verdict(query(spark, sf_dir, _UPLOADS), *_tables(spark, sf_dir, "files", "vaults", "tenants"))
+    return governance.quota_verdict(query(spark, sf_dir, _UPLOADS), *_tables(spark, sf_dir, "files", "vaults", "tenants"), order=["seq"])
 
 
 @register(f"WITH {_TIER} SELECT t.tenant_id, count(n.node_id) AS active_nodes, CASE WHEN max_nodes IS NULL THEN 'unknown_tier' WHEN count(n.node_id) >= max_nodes THEN 'nodes_exceeded' ELSE 'ok' END AS verdict FROM tier t LEFT JOIN nodes n ON n.tenant_id IS NOT DISTINCT FROM t.tenant_id AND NOT n.revoked GROUP BY t.tenant_id, max_nodes")
