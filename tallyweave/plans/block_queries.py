@@ -58,6 +58,14 @@ def delta_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("file_key", "offset", F.col("length").cast("long").alias("length"), "kind", "base_offset", F.sha2("data", 256).alias("data_hash"))
 
 
+@register("SELECT coalesce(tenant_id, '') || '|' || vault_id || '|' || path AS file_key, content_hash, size FROM local_files WHERE text <> ''")
+def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put together as chunks, hashed as they stream past."""
+    base, client = _signed(spark, sf_dir, "indexed"), _files(spark, sf_dir, "local")
+    chunks = blocks.delta_chunks(blocks.delta_plan(blocks.block_signatures(client, BLOCK, signed=False).withColumn("strong", F.sha2("data", 256)), base), base)
+    return blocks.chunk_digests(chunks).select("file_key", "content_hash", "size")
+
+
 @register("SELECT coalesce(tenant_id, '') || '|' || vault_id || '|' || path AS file_key, content_hash, CAST(NULL AS VARCHAR) AS error FROM local_files")
 def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, client = _signed(spark, sf_dir, "indexed"), _files(spark, sf_dir, "local")
@@ -65,7 +73,12 @@ def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt.select("file_key", F.sha2("content", 256).alias("content_hash"), "error")
 
 
-@register(None)
+@register(
+    f"""WITH {_duck_blocks("indexed", "b")}, k AS (SELECT file_key, hex(data) AS h, max("offset") AS base_offset FROM b WHERE octet_length(data) = {BLOCK} GROUP BY ALL),
+    c AS (SELECT coalesce(tenant_id, '') || '|' || vault_id || '|' || path AS file_key, hex(encode('inserted' || text)) AS h FROM local_files),
+    w AS (SELECT file_key, i AS "offset", substr(h, 2 * i + 1, {2 * BLOCK}) AS h FROM c, unnest(range(greatest(0, length(h) // 2 - {BLOCK - 1}))) t(i) WHERE file_key IN (SELECT file_key FROM k))
+    SELECT w.file_key, w."offset", k.base_offset FROM w JOIN k ON k.file_key = w.file_key AND k.h = w.h"""
+)
 def shifted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = _files(spark, sf_dir, "local").withColumn("content", F.concat(F.encode(F.lit("inserted"), "UTF-8"), "content"))
     return blocks.shifted_matches(moved, _signed(spark, sf_dir, "indexed"), BLOCK)

@@ -38,6 +38,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 # Files
 
+@register(f"SELECT path, size, digest, 'ok' AS status, sha256(digest) AS seal FROM ({ARCHIVE}) a WHERE doc_id % 31 <> 0 AND left(digest, 1) < '4'")
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of an archive's entries restored from the slots written to their folders; what would be written is hashed."""
+    path = scratch(spark, "slots")
+    index, slots = blocks.archive_create(archive_files(spark, sf_dir))
+    blocks.archive_write_slots(slots, path)
+    some = index.where("digest < '4' and path not like '../%'")
+    out = blocks.archive_restore(some, blocks.archive_read_slots(spark, path), contents=True)
+    return out.select("path", "size", "digest", "status", F.sha2(F.sha2("content", 256), 256).alias("seal"))
+
+
 #: Every ninth file has an odd name: hidden, underscored, percent signs, a plus; some are empty.
 _TREE = """SELECT CASE doc_id % 9 WHEN 0 THEN '.notes/' WHEN 1 THEN '_drafts/' WHEN 2 THEN '100%/' WHEN 3 THEN 'a%41/' WHEN 4 THEN 'b+c d/' ELSE '' END
   || coalesce(source, 'none') || '/' || CASE doc_id % 5 WHEN 0 THEN '.' WHEN 1 THEN '_' WHEN 2 THEN '%2F' ELSE '' END || CAST(doc_id AS STRING) || '.md' AS path,
