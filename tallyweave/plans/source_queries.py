@@ -6,7 +6,7 @@ import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,19 +118,34 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def _as_stream(rows: DataFrame, tag: str) -> DataFrame:
+def _parts(rows: DataFrame, order: str) -> list[DataFrame]:
+    """The rows in three parts, in order."""
+    low, high = rows.agg(F.percentile_approx(order, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cuts")).first()["cuts"]
+    at = F.col(order)
+    return [rows.where(at <= low), rows.where((at > low) & (at <= high)), rows.where(at > high)]
+
+
+def _fed(rows: DataFrame, order: str, tag: str, run: Callable[[DataFrame], None]) -> None:
+    """``run(stream)`` three times over: before each, a third of the rows arrives, so what it keeps goes on from restart to restart."""
     path = scratch(rows.sparkSession, tag)
-    rows.write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+    for part in _parts(rows, order):
+        part.write.mode("append").parquet(path)
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(path))
+
 
+def _run(rows: DataFrame, order: str, tag: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream that ``make`` makes appends, over three runs from one checkpoint."""
+    spark, out, schema = rows.sparkSession, scratch(rows.sparkSession, f"{tag}-out"), None
 
-def _run(stream: DataFrame, tag: str) -> DataFrame:
-    """What the stream appends until all that is there is read."""
-    spark, out = stream.sparkSession, scratch(stream.sparkSession, tag)
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True)
-    with keyed_state(spark):
-        writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    def run(stream: DataFrame) -> None:
+        nonlocal schema
+        made = make(stream)
+        schema = made.schema
+        with keyed_state(spark):
+            made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    _fed(rows, order, tag, run)
+    return spark.read.schema(schema).parquet(out)
 
 
 _CHANGES = "SELECT tenant_id, vault_id, path, CASE WHEN doc_id % 4 = 1 THEN 'delete' ELSE 'change' END AS kind, doc_id AS event_id FROM base WHERE doc_id % 3 <> 0"
@@ -149,15 +164,13 @@ def apply_index_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [*KEY, "content_hash", "size", "deleted", "deleted_at"]
     view(spark, sf_dir, "index_rows").select(*columns).write.parquet(f"{index}/v=-1")
     present = query(spark, sf_dir, _PRESENT).withColumns({"deleted": F.lit(False), "deleted_at": F.lit(None).cast("long")}).select(*columns)
-    stream = _as_stream(query(spark, sf_dir, _CHANGES), "changes")
-    events.apply_index_events(stream, index, lambda: present, f"{index}-checkpoint", lambda: AS_OF).awaitTermination()
-    return events.latest_index(spark, index, 0)
+    _fed(query(spark, sf_dir, _CHANGES), "event_id", "changes", lambda stream: events.apply_index_events(stream, index, lambda: present, f"{index}-checkpoint", lambda: AS_OF).awaitTermination())
+    return events.latest_index(spark, index)
 
 
 @register("SELECT key, event_id, counter > coalesce(max(counter) OVER (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS accepted FROM messages")
 def replay_guard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _as_stream(view(spark, sf_dir, "messages").withColumnRenamed("counter", "sequence"), "messages")
-    return _run(state.replay_guard_stream(stream), "replay").drop("sequence")
+    return _run(view(spark, sf_dir, "messages").withColumnRenamed("counter", "sequence"), "event_id", "replay", state.replay_guard_stream).drop("sequence")
 
 
 _LIMITED = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second, event_id) AS i FROM attempts), r AS (
@@ -169,7 +182,7 @@ SELECT key, event_id, status FROM r"""
 
 @register(_LIMITED)
 def auth_limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(state.auth_limiter_stream(_as_stream(view(spark, sf_dir, "attempts"), "attempts"), 3, 600), "limiter").select("key", "event_id", "status")
+    return _run(view(spark, sf_dir, "attempts"), "second", "limiter", lambda s: state.auth_limiter_stream(s, 3, 600)).select("key", "event_id", "status")
 
 
 @register(
@@ -180,13 +193,13 @@ def auth_limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes = view(spark, sf_dir, "messages").selectExpr("key as path", "event_id", "counter % 4 as expected")
-    return _run(state.revision_stream(_as_stream(writes, "writes")), "revisions").drop("expected")
+    return _run(writes, "event_id", "revisions", state.revision_stream).drop("expected")
 
 
 @register(f"""WITH f AS ({FIRED}) SELECT f.event_id, h.hook_id, h.url FROM f JOIN hooks h ON {same('h', 'f', 'tenant_id vault_id')} WHERE h.enabled AND h.secret <> '' AND contains(h.events_json, '"' || f.event || '"')""")
 def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _as_stream(query(spark, sf_dir, FIRED), "fired")
-    return _run(events.webhook_stream(stream, view(spark, sf_dir, "hooks")), "deliveries").drop("body")
+    hooks = view(spark, sf_dir, "hooks")
+    return _run(query(spark, sf_dir, FIRED), "event_id", "deliveries", lambda s: events.webhook_stream(s, hooks)).drop("body")
 
 
 @register("SELECT epoch_us(date_trunc('hour', ts)) AS window_us, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'change' END AS kind, count(*) AS n FROM $events GROUP BY ALL")
@@ -199,6 +212,9 @@ def audit_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    counts = events.audit_counts_stream(_as_stream(rows, "timed")).withColumn("window_us", F.unix_micros("window_start")).drop("window_start")
-    counts.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    def run(stream: DataFrame) -> None:
+        counts = events.audit_counts_stream(stream).withColumn("window_us", F.unix_micros("window_start")).drop("window_start")
+        counts.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    _fed(rows, "event_time", "timed", run)
     return spark.read.parquet(out).groupBy("window_us", "kind").agg(F.max_by("n", "batch").alias("n"))
