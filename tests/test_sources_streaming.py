@@ -253,3 +253,49 @@ def test_webhook_and_fs_streams(spark, tmp_path):
     stream, batch = streamed(spark, [(i, None, "v", "sync.file_deleted", i, f"p{i}") for i in range(4)], "event_id long, tenant_id string, vault_id string, event string, created_at long, payload string", tmp_path, "wh")
     sent = run(events.webhook_stream(stream, hooks), tmp_path, "hooks")
     assert sent.count() == 4 and same(sent, governance.webhook_fanout(batch, hooks))
+
+
+def test_old_index_versions_go(spark, tmp_path):
+    """25 micro-batches with a restart leave one whole version and the changes since."""
+    manifest = "tenant_id string, vault_id string, path string, content_hash string, size long, deleted boolean, deleted_at long"
+    index, source = str(tmp_path / "index"), str(tmp_path / "in")
+    before = spark.createDataFrame([(None, "v", f"p{i}", "old", 1, False, None) for i in range(10)], manifest)
+    before.coalesce(1).write.parquet(f"{index}/v=-1")
+    listing = spark.createDataFrame([(None, "v", f"p{i}", "new", 2, False, None) for i in range(0, 10, 2)], manifest)
+    schema = "event_id long, tenant_id string, vault_id string, path string, kind string"
+    everything = []
+    for part in (range(13), range(13, 25)):
+        for i in part:
+            rows = [(i, None, "v", f"p{i % 13}", "delete" if i % 3 else "change")]
+            everything += rows
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+        events.apply_index_events(stream, index, lambda: listing, str(tmp_path / "cp"), lambda: 77, compact=10).awaitTermination()
+    assert events.index_versions(spark, index) == list(range(20, 25))
+    want = {f"p{i}": ("old", 1, False, None) for i in range(10)}
+    for *_, path, kind in everything:  # one after the other: what is there is live, what is gone is kept as deleted
+        if int(path[1:]) < 10 and int(path[1:]) % 2 == 0:
+            want[path] = ("new", 2, False, None)
+        elif kind == "delete":
+            want[path] = (*want.get(path, ("0" * 64, 0))[:2], True, 77)
+    got = {r["path"]: (r["content_hash"], r["size"], r["deleted"], r["deleted_at"]) for r in events.latest_index(spark, index, compact=10).collect()}
+    assert got == want
+
+
+def test_state_expires_by_event_time(spark, tmp_path):
+    """A run that is over still forgets: an old sequence counts again once the watermark is past the key's time."""
+    from datetime import timedelta
+
+    with_state(spark)
+    schema, source, out = "key string, event_id long, sequence long, event_time timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    hour = lambda h: f"2024-01-01T{h:02}:00:00Z"
+    batches = [[("a", 1, 5, hour(0)), ("b", 2, 5, hour(0))], [("a", 3, 5, hour(1)), ("b", 4, 4, hour(1)), ("c", 5, 1, hour(1))], [("c", 6, 1, hour(4))], [("c", 7, 1, hour(5)), ("a", 8, 3, hour(5)), ("a", 9, 3, hour(5))]]
+    for i, rows in enumerate(batches):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("key", "event_id", "sequence", "event_time"), r, strict=True))) for r in rows))
+        stream = state.replay_guard_stream(spark.readStream.schema(schema).json(source), forget=timedelta(hours=2))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r["event_id"]: r["accepted"] for r in spark.read.schema(stream.schema).parquet(out).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False, 8: True, 9: False}
+    with pytest.raises(ValueError, match="processing time or by event time"):
+        state.replay_guard_stream(spark.readStream.schema(schema).json(source), keep=timedelta(hours=1), forget=timedelta(hours=1))
