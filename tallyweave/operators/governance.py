@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.tiers import parse_tier, with_limits
 from ..schemas import SCOPE
-from .keys import join_on, latest_wins, upsert
+from .keys import join_on, latest_wins, running, upsert
 
 DAY = 86400
 
@@ -344,17 +344,23 @@ def active_nodes(nodes: DataFrame) -> DataFrame:
 # Sequences
 
 
-def replay_check(messages: DataFrame, keys: Sequence[str], counter: str, order: Sequence[str | Column]) -> DataFrame:
-    """``messages`` with accepted: the counter is above all before it of its key (from 0), for rejected ones never exceed them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("accepted", F.col(counter) > F.coalesce(F.max(counter).over(w), F.lit(0)))
+def replay_check(messages: DataFrame, keys: Sequence[str], counter: str, order: Sequence[str], segments: int = 1) -> DataFrame:
+    """``messages`` with accepted: the counter is above all before it of its key (from 0), for rejected ones never exceed them.
+
+    ``segments`` cuts the keys' rows for more tasks (``keys.running``); the result is the same.
+    """
+    seen = running(messages, keys, order, F.col(counter), "max", "__seen", segments)
+    return seen.withColumn("accepted", F.col(counter) > F.coalesce("__seen", F.lit(0))).drop("__seen")
 
 
-def acl_version_check(loads: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``loads`` with verdict: version_regress where a version above 0 is stored and the new one is not above it; else ok."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    stored = F.coalesce(F.max("version").over(w), F.lit(0))
-    return loads.withColumn("verdict", F.when((stored > 0) & (F.col("version") <= stored), "version_regress").otherwise("ok"))
+def acl_version_check(loads: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int = 1) -> DataFrame:
+    """``loads`` with verdict: version_regress where a version above 0 is stored and the new one is not above it; else ok.
+
+    ``segments`` as in ``replay_check``.
+    """
+    stored = F.coalesce("__seen", F.lit(0))
+    seen = running(loads, keys, order, F.col("version"), "max", "__seen", segments)
+    return seen.withColumn("verdict", F.when((stored > 0) & (F.col("version") <= stored), "version_regress").otherwise("ok")).drop("__seen")
 
 
 def failure_window(attempts: DataFrame, window: int = 60, keys: Sequence[str] = ("key",)) -> DataFrame:

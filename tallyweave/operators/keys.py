@@ -64,3 +64,35 @@ def paginate(rows: DataFrame, partition: Sequence[str], order: Sequence[Column],
     ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("position") <= offset + limit)
     page = ranked.where(F.col("position") > offset).withColumn("position", F.col("position").cast("long"))
     return join_on(page, rows.groupBy(*partition).agg(F.count("*").alias("total")), partition).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+
+
+def in_segments(rows: DataFrame, order: str, segments: int, name: str = "__segment") -> DataFrame:
+    """``rows`` with a segment number that rises with ``order`` (nulls first): about equal shares of all rows.
+
+    The driver gets ``segments`` - 1 cuts. Rows of one ``order`` are in one segment. The numbers hang on the cuts as literals, so a
+    task done again gives the same.
+    """
+    shares = F.array(*[F.lit(i / segments) for i in range(1, segments)])
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, shares).alias("cuts")).first()["cuts"] or [])) if segments > 1 else []
+    number = reduce(lambda n, cut: n + F.coalesce((F.col(order) > F.lit(cut)).cast("int"), F.lit(0)), cuts, F.lit(0))
+    return rows.withColumn(name, number)
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, how: str, name: str, segments: int = 1) -> DataFrame:
+    """``rows`` with ``name``: the ``how`` (max or sum) of ``value`` over the rows before each of its key in ``order``; null for the first.
+
+    With more than one of ``segments``, a key's rows are cut by the first column of ``order`` and each segment is a task's: the
+    segments' totals meet on the map side, are carried on (a row a key and segment) and join the rows again, so one key
+    with most of all rows is many tasks' work. Both give the same.
+    """
+    best = {"max": F.max, "sum": F.sum}[how]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if segments <= 1:
+        return rows.withColumn(name, best(value).over(before(Window.partitionBy(*keys).orderBy(*order))))
+    cut = in_segments(rows.withColumn("__value", value), order[0], segments)
+    totals = cut.groupBy(*keys, "__segment").agg(best("__value").alias("__total"))
+    carried = totals.select(*keys, "__segment", best("__total").over(before(Window.partitionBy(*keys).orderBy("__segment"))).alias("__carried"))
+    inside = best("__value").over(before(Window.partitionBy(*keys, "__segment").orderBy(*order)))
+    met = join_on(cut, carried, [*keys, "__segment"]).withColumn("__inside", inside)
+    both = F.greatest("__inside", "__carried") if how == "max" else F.when(F.col("__inside").isNull() | F.col("__carried").isNull(), F.coalesce("__inside", "__carried")).otherwise(F.col("__inside") + F.col("__carried"))
+    return met.withColumn(name, both).select(*rows.columns, name)

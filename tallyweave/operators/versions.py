@@ -10,23 +10,44 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_violation
 from ..functions.tiers import with_limits
 from ..schemas import KEY, SCOPE
-from .keys import join_on, latest_wins, paginate
+from .keys import in_segments, join_on, latest_wins, paginate
 
 
-def assign_versions(writes: DataFrame, keys: Sequence[str] = tuple(KEY), order: Sequence[str] = ("seq",)) -> DataFrame:
+def assign_versions(writes: DataFrame, keys: Sequence[str] = tuple(KEY), order: Sequence[str] = ("seq",), segments: int = 1) -> DataFrame:
     """``writes`` with version_id, parent_version_id and archived (superseded by a later version).
 
     In order within a key: the first write is version 1 of parent 0; one whose hash differs from a live prior row's adds
     a version with that one as parent; an equal hash or a deleted prior row keeps the version.
+
+    With more than one of ``segments``, a key's writes are cut by the first column of ``order`` and each segment is a task's; what
+    lies on either side of a cut, and the versions before it, come from a row a key and segment. Both give the same.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    bump = (F.lag("content_hash").over(w) != F.col("content_hash")) & ~F.lag("deleted").over(w)
-    flagged = writes.withColumn("__bump", F.coalesce(bump, F.lit(False)))
-    version = F.lit(1) + F.sum(F.col("__bump").cast("long")).over(w)
-    numbered = flagged.withColumn("version_id", version)
-    return numbered.withColumns(
-        {"parent_version_id": F.col("version_id") - 1, "archived": F.coalesce(F.lead("__bump").over(w), F.lit(False))}
-    ).drop("__bump")
+    if segments <= 1:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        bump = _bumps(F.lag("content_hash").over(w), F.lag("deleted").over(w))
+        flagged = writes.withColumn("__bump", bump)
+        flagged = flagged.withColumns({"version_id": F.lit(1) + F.sum(F.col("__bump").cast("long")).over(w), "__next": F.lead("__bump").over(w)})
+    else:
+        cut = in_segments(writes, order[0], segments)
+        place, sides = F.struct(*order), F.struct("content_hash", "deleted")
+        ends = cut.groupBy(*keys, "__segment").agg(F.min_by(sides, place).alias("__first"), F.max_by(sides, place).alias("__end"))
+        by_segment = Window.partitionBy(*keys).orderBy("__segment")
+        ends = ends.select(*keys, "__segment", F.lag("__end").over(by_segment).alias("__above"), F.lead("__first").over(by_segment).alias("__below"))
+        w = Window.partitionBy(*keys, "__segment").orderBy(*order)
+        met = join_on(cut, ends, [*keys, "__segment"]).withColumn("__prior", F.coalesce(F.lag(sides).over(w), F.col("__above")))
+        met = met.withColumn("__bump", _bumps(F.col("__prior")["content_hash"], F.col("__prior")["deleted"]))
+        after = F.coalesce(F.lead(sides).over(w), F.col("__below"))
+        met = met.withColumn("__next", after.isNotNull() & F.coalesce((after["content_hash"] != F.col("content_hash")) & ~F.col("deleted"), F.lit(False)))
+        sums = met.groupBy(*keys, "__segment").agg(F.sum(F.col("__bump").cast("long")).alias("__sum"))
+        carried = sums.select(*keys, "__segment", F.sum("__sum").over(by_segment.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+        version = F.lit(1) + F.coalesce("__carried", F.lit(0)) + F.sum(F.col("__bump").cast("long")).over(w)
+        flagged = join_on(met, carried, [*keys, "__segment"]).withColumn("version_id", version)
+    numbered = flagged.withColumns({"parent_version_id": F.col("version_id") - 1, "archived": F.coalesce("__next", F.lit(False))})
+    return numbered.select(*writes.columns, "version_id", "parent_version_id", "archived")
+
+
+def _bumps(hash_before: Column, deleted_before: Column) -> Column:
+    return F.coalesce((hash_before != F.col("content_hash")) & ~deleted_before, F.lit(False))
 
 
 def _pruned(rows: DataFrame, partition: Sequence[str], order: Sequence[Column], tiers: DataFrame, most: str, as_of: int) -> DataFrame:

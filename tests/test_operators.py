@@ -82,6 +82,31 @@ def test_delta_faults(spark):
     assert {r["file_key"]: (r["content"], r["error"]) for r in blocks.delta_apply(plan, base).collect()} == {"a": (None, "out_of_bounds"), "b": (None, "missing_data"), "c": (None, "out_of_bounds")}
 
 
+def test_a_hot_key_is_many_tasks_work(spark):
+    """One key with nearly all rows, cut in segments: the rows of the window form, dealt over several tasks."""
+    n = F.col("id")
+    rows = spark.range(20_000).select(
+        F.when(n % 100 == 0, F.concat(F.lit("k"), (n % 7).cast("string"))).when(n % 101 == 0, None).otherwise("hot").alias("key"), (n * 7919 % 10_007).alias("seq"), n.alias("tie"),
+        (n * 31 % 9973 + n % 5).alias("version"), F.when(n % 11 == 0, None).otherwise(F.concat(F.lit("h"), F.floor(n / 3) % 4)).alias("content_hash"), (n % 9 == 4).alias("deleted"),
+    )
+    order = ["seq", "tie"]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for made in (
+            lambda s: governance.replay_check(rows, ["key"], "version", order, s),
+            lambda s: governance.acl_version_check(rows, ["key"], order, s),
+            lambda s: versions.assign_versions(rows, ["key"], order, s),
+        ):
+            want, got = made(1), made(8)
+            assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+            assert got.where("key = 'hot'").groupBy(F.spark_partition_id()).count().count() > 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    none = rows.limit(0)
+    assert governance.replay_check(none, ["key"], "version", order, 4).count() == versions.assign_versions(none, ["key"], order, 4).count() == 0
+
+
 def test_a_file_of_many_rows(spark):
     """A file in 3,000 chunks verifies, and its digest is that of the whole; a changed or missing chunk shows."""
     import hashlib
