@@ -18,8 +18,9 @@ def balanced_shards(rows: DataFrame, size: str, shards: int) -> DataFrame:
 
     ``size`` must be a non-negative long; null counts as 0. Repeated rows, null ids and ties need no rule, for
     rows are told apart by their place. An empty table gives no rows. A row larger than a shard's target
-    leaves neighbouring shards empty rather than being cut.
+    leaves neighbouring shards empty rather than being cut. Other columns stay; ones named shard or slot are replaced.
     """
+    rows = rows.drop("shard", "slot")
     placed = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "shards").withColumn("__part", F.shiftright("__at", 33))
     bytes_ = F.coalesce(F.col(size), F.lit(0))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
