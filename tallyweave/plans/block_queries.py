@@ -76,8 +76,9 @@ def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     f"""WITH {_duck_blocks("indexed", "b")}, k AS (SELECT file_key, hex(data) AS h, max("offset") AS base_offset FROM b WHERE octet_length(data) = {BLOCK} GROUP BY ALL),
     c AS (SELECT coalesce(tenant_id, '') || '|' || vault_id || '|' || path AS file_key, hex(encode('inserted' || text)) AS h FROM local_files),
-    w AS (SELECT file_key, i AS "offset", substr(h, 2 * i + 1, 16) AS s FROM c, unnest(range(greatest(0, length(h) // 2 - {BLOCK - 1}))) t(i) WHERE file_key IN (SELECT file_key FROM k))
-    SELECT w.file_key, w."offset", k.base_offset FROM w JOIN k ON k.file_key = w.file_key AND left(k.h, 16) = w.s JOIN c ON c.file_key = w.file_key WHERE substr(c.h, 2 * w."offset" + 1, {2 * BLOCK}) = k.h"""
+    p AS (SELECT file_key, j * 512 AS "at", substr(h, j * 1024 + 1, 1024 + {2 * BLOCK - 2}) AS h FROM c, unnest(range(length(h) // 1024 + 1)) t(j) WHERE file_key IN (SELECT file_key FROM k)),
+    w AS (SELECT file_key, "at" + i AS "offset", substr(h, 2 * i + 1, {2 * BLOCK}) AS h FROM p, unnest(range(greatest(0, least(512, length(h) // 2 - {BLOCK - 1})))) t(i))
+    SELECT w.file_key, w."offset", k.base_offset FROM w JOIN k ON k.file_key = w.file_key AND k.h = w.h"""
 )
 def shifted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = _files(spark, sf_dir, "local").withColumn("content", F.concat(F.encode(F.lit("inserted"), "UTF-8"), "content"))
