@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -108,6 +109,14 @@ def codes_of(words: Spans, seed: int = 0) -> np.ndarray:
     return out
 
 
+def counted_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different codes, where each first occurs, how often it occurs), by hashing."""
+    which, found = pd.factorize(codes)
+    first = np.zeros(len(found), np.int64)
+    first[which[::-1]] = np.arange(len(codes))[::-1]
+    return found, first, np.bincount(which, minlength=len(found))
+
+
 def same_bytes(words: Spans, one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether span ``one[i]`` has the same bytes as span ``other[i]``."""
     eights, same = _eights(words.data), words.length[one] == words.length[other]

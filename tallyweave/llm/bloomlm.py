@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._words import Spans, codes_of, joined, mixed, sliced_bytes, taken, words_of
+from ._words import Spans, codes_of, counted_codes, joined, mixed, sliced_bytes, taken, words_of
 
 #: One document in FOLDS is held out of training; what the base adds to each count.
 FOLDS, ADDED = 10, 0.1
@@ -135,7 +136,7 @@ def token_counts(texts: DataFrame, seed: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced_bytes(batches, 0):
             words, _ = words_of(batch.column(0), lower=True)
-            codes, at, c = np.unique(codes_of(words, seed), return_index=True, return_counts=True)
+            codes, at, c = counted_codes(codes_of(words, seed))
             spelt = pa.concat_arrays([taken(words, at), pa.array([b""], pa.large_binary())]).cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([spelt, pa.array(np.append(codes, end_code(seed)).view(np.int64)), pa.array(np.append(c, batch.num_rows), pa.int64())], ["word", "code", "c"])
 
@@ -222,10 +223,10 @@ def train(texts: DataFrame) -> Model:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced_bytes(batches, 0):
-            tokens, before, _ = sequences(batch.column(0), seed)
-            found, at, c = np.unique(joined(before, tokens), return_index=True, return_counts=True)
-            level = word_filter.value.levels(before[at])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c, pa.int32()), pa.array(level, pa.int32())], ["code", "c", "level"])
+            tokens, before, sizes = sequences(batch.column(0), seed)
+            _, _, _, context = _levels(tokens, sizes, word_filter.value, seed)
+            found, at, c = counted_codes(joined(before, tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c, pa.int32()), pa.array(context[at], pa.int32())], ["code", "c", "level"])
 
     pair_segments = max(1, -(-tokens * PAIR_BITS // SEGMENT_BITS))
     pairs = stored(filter_segments(texts.select("text").mapInArrow(count_pairs, "code long, c int, level int"), pair_segments), "pairs")
@@ -235,18 +236,25 @@ def train(texts: DataFrame) -> Model:
     return Model(words, tokens, kinds, seed, word_filter, head, pairs, pair_segments, weights)
 
 
-def _pair_scores(tokens: np.ndarray, before: np.ndarray, words: LogFrequencyFilter, pairs: LogFrequencyFilter, weights: np.ndarray, total: float) -> np.ndarray:
-    """log10 probability of each token after the one before it; zero where the pair's segment is in another shard."""
-    mine = pairs.holds(joined(before, tokens))
-    tokens, before = tokens[mine], before[mine]
-    kinds, where = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    levels = words.levels(kinds)[where]
-    own, context = ESTIMATES[levels[: len(tokens)]], levels[len(tokens) :]
-    pair = ESTIMATES[pairs.levels(joined(before, tokens))]
+def _levels(tokens: np.ndarray, sizes: np.ndarray, words: LogFrequencyFilter, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(different tokens, which of them each token is, level of each token's count, level of the one before it)."""
+    where, kinds = pd.factorize(tokens)
+    own = words.levels(kinds)[where]
+    context = np.empty_like(own)
+    context[1:] = own[:-1]
+    context[np.cumsum(sizes) - sizes] = words.levels(np.array([begin_code(seed)]))[0]
+    return kinds, where, own, context
+
+
+def _pair_scores(codes: np.ndarray, own: np.ndarray, context: np.ndarray, pairs: LogFrequencyFilter, weights: np.ndarray, total: float) -> np.ndarray:
+    """log10 probability of each token after the one before it, from the pair's code and both levels; zero where the pair is another shard's."""
+    mine = pairs.holds(codes)
+    pair = ESTIMATES[pairs.levels(codes[mine])]
+    own, context = own[mine], context[mine]
     share = np.minimum(1.0, pair / np.maximum(ESTIMATES[context], 1.0))
     weight = np.where(context > 0, weights[context], 0.0)
     out = np.zeros(len(mine))
-    out[mine] = np.log10(weight * share + (1 - weight) * (own + ADDED) / total)
+    out[mine] = np.log10(weight * share + (1 - weight) * (ESTIMATES[own] + ADDED) / total)
     return out
 
 
@@ -264,8 +272,8 @@ def _one_shard(rows: DataFrame, model: Model, first: int, count: int, kind: str)
         for batch in sliced_bytes(batches, 3):
             tokens, before, sizes = sequences(batch.column(3), seed)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            logp = _pair_scores(tokens, before, word_filter.value, shard.value, weights, total)
-            kinds, where = np.unique(tokens, return_inverse=True)
+            kinds, where, own, context = _levels(tokens, sizes, word_filter.value, seed)
+            logp = _pair_scores(joined(before, tokens), own, context, shard.value, weights, total)
             at = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
             hit = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
             base = np.where(hit, np.log10((np.where(hit, counts[at] if len(known) else 0, 0) + ADDED) / total), 0.0)[where]
