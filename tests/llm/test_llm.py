@@ -821,7 +821,7 @@ def test_classifier_held_out(spark, sf_dir, docs, odd, none):
 @pytest.mark.parametrize("name", QUERIES)
 def test_queries_answer_whole_tables(spark, sf_dir, name):
     out = QUERIES[name](spark, sf_dir)
-    table = {"op4_top_k": None, "op6_url_filter": "pages"}.get(name, "documents")
+    table = {"op4_top_k": None, "op6_url_filter": "pages", "op11_filter_audit": None, "op12_collocations": None}.get(name, "documents")
     if table and name != "op2_pack_best_fit":
         assert out.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     else:
