@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -189,8 +190,8 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Each row's content written to its path below ``root``; path, bytes of what was written, when the result is run.
 
-    A file appears under its name only when it is whole (it is written beside it and moved), so a task may run twice. ``root``
-    is a local folder of one machine or one mounted on all. An absolute path or one with ``..`` fails the job.
+    A file appears under its name only when it is whole (it is written beside it and moved), so a task may run twice; one that dies
+    midway may leave a ``.part`` file. ``root`` is a local folder of one machine or one mounted on all. An absolute path or one with ``..`` fails the job.
     """
     folder = _local(root)
     if folder is None:
@@ -204,7 +205,7 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
                     raise ValueError(f"a path that leaves the folder: {path}")
                 target = os.path.join(folder, path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                beside = f"{target}.{os.getpid()}.part"
+                beside = f"{target}.{uuid.uuid4().hex}.part"
                 with open(beside, "wb") as file:
                     file.write(content or b"")
                 os.replace(beside, target)
