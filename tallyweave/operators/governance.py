@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.tiers import parse_tier, with_limits
 from ..schemas import SCOPE
-from .keys import join_on, latest_wins, running, upsert
+from .keys import in_segments, join_on, latest_wins, running, upsert
 
 DAY = 86400
 
@@ -415,13 +415,37 @@ def limited(attempts: Iterable[tuple[int, bool]], failures: list[int], most: int
         yield ("ok" if success else "failed"), 0
 
 
-def auth_rate_limit(attempts: DataFrame, most: int = 5, window: int = 60) -> DataFrame:
+def limiter_sessions(attempts: DataFrame, most: int = 5, window: int = 60, name: str = "__session") -> DataFrame:
+    """``attempts`` with a number that rises within a key wherever the limiter provably remembers nothing.
+
+    That is so at the start of a slot of ``window`` seconds whose slot before is empty, and after the last success of a slot
+    that has, with the slot before, fewer than ``most`` failures (such a success is not blocked). Slots are counted on the map
+    side; a key's slots, one row each, are numbered in one task.
+    """
+    failed, stamp = ~F.coalesce("success", F.lit(False)), F.struct("second", "event_id")
+    rows = attempts.withColumn("__slot", F.floor(F.col("second") / window))
+    slots = rows.groupBy("key", "__slot").agg(F.count_if(failed).alias("__failed"), F.max(F.when(F.col("success"), stamp)).alias("__last"))
+    w = Window.partitionBy("key").orderBy("__slot")
+    near = F.coalesce(F.lag("__slot").over(w) == F.col("__slot") - 1, F.lit(False))
+    met = F.col("__failed") + F.when(near, F.lag("__failed").over(w)).otherwise(0)
+    cuts = slots.withColumns({"__quiet": (~near).cast("long"), "__calm": F.when(met < most, F.col("__last"))})
+    so_far = F.sum(F.col("__quiet") + F.col("__calm").isNotNull().cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = cuts.select("key", "__slot", "__calm", (F.coalesce(so_far, F.lit(0)) + F.col("__quiet")).alias("__from"))
+    after = F.coalesce(stamp > F.col("__calm"), F.lit(False)).cast("long")
+    return join_on(rows, cuts, ["key", "__slot"]).select(*attempts.columns, (F.col("__from") + after).alias(name))
+
+
+def auth_rate_limit(attempts: DataFrame, most: int = 5, window: int = 60, split: bool = False) -> DataFrame:
     """``attempts`` (key, second, event_id, success) with status (ok, failed, blocked) and retry_after.
 
-    What is blocked is neither remembered nor clears the key, so each attempt hangs on those before it: one key's are
-    judged in order of (second, event_id), with at most ``most`` times held.
+    What is blocked is neither remembered nor clears the key, so each attempt hangs on those before it: they are judged in
+    order of (second, event_id), with at most ``most`` times held. With ``split`` a key's attempts are cut where the limiter
+    remembers nothing (``limiter_sessions``), so a hot key is many tasks' work, unless it fails without a pause; the result is the
+    same.
     """
-    return judged_in_order(attempts, ["key"], ["second", "event_id"], ["second", "success"], "status string, retry_after long", lambda row: [], lambda rows, failures: limited(rows, failures, most, window))
+    rows, keys = (limiter_sessions(attempts, most, window), ["key", "__session"]) if split else (attempts, ["key"])
+    judged = judged_in_order(rows, keys, ["second", "event_id"], ["second", "success"], "status string, retry_after long", lambda row: [], lambda part, failures: limited(part, failures, most, window))
+    return judged.drop("__session")
 
 
 def bumped(writes: Iterable[int], current: list[int]) -> Iterable[tuple[str, int]]:
@@ -434,11 +458,72 @@ def bumped(writes: Iterable[int], current: list[int]) -> Iterable[tuple[str, int
             yield "conflict", current[0]
 
 
-def revision_bump(writes: DataFrame, keys: Sequence[str], order: Sequence[str], current: DataFrame | None = None) -> DataFrame:
+def revision_steps(writes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """keys, __segment, __from, __at, __to: where a segment's writes take each revision that they expect.
+
+    Revisions without a row stay as they are. A segment also has one row whose ``__at`` is null. The writes stream past from the last
+    to the first; a task holds one segment's different revisions.
+    """
+    whose = [*keys, "__segment"]
+    rows = writes.select(*whose, "__from", "expected", *[F.col(o).alias(f"__order{i}") for i, o in enumerate(order)])
+    schema = StructType([*rows.select(*whose, "__from").schema, *StructType.fromDDL("__at long, __to long")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # (keys, segment, from) of the segment under way
+        ends: dict[int, int] = {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            steps = [(None, None), *ends.items()]
+            for s in range(0, len(steps), 10_000):
+                part = steps[s : s + 10_000]
+                values = [*([v] * len(part) for v in held), *map(list, zip(*part, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(values, schema, strict=True)], schema.names)
+
+        for batch in batches:
+            fixed = list(zip(*(batch.column(i).to_pylist() for i in range(len(whose) + 1)), strict=True))
+            for now, expected in zip(fixed, batch.column(len(whose) + 1).to_pylist(), strict=True):
+                if held is None or now[:-1] != held[:-1]:
+                    if held is not None:
+                        yield from done()
+                    held, ends = now, {}
+                if expected is not None:
+                    ends[expected] = ends.get(expected + 1, expected + 1)
+        if held is not None:
+            yield from done()
+
+    last_first = [F.col(f"__order{i}").desc() for i in range(len(order))]
+    return rows.repartition(*whose).sortWithinPartitions(*whose, *last_first, F.desc("expected")).mapInArrow(run, schema)
+
+
+def carried(steps: Iterable[tuple[int | None, int | None]], now: list[int]) -> Iterable[tuple[int]]:
+    """(revision at the segment's start,) of each (at, to), a segment's first row having no ``at``; ``now`` is kept up to date."""
+    for at, to in steps:
+        if at is None:
+            now[1] = now[0]
+        elif at == now[1]:
+            now[0] = to
+        yield (now[1],)
+
+
+def revision_bump(writes: DataFrame, keys: Sequence[str], order: Sequence[str], current: DataFrame | None = None, segments: int = 1) -> DataFrame:
     """``writes`` (keys, expected) with status (applied, conflict) and revision: the new one, or the current one.
 
-    ``current`` (keys, revision) is where keys stand; others start at 0. One key's writes are judged in order.
+    ``current`` (keys, revision) is where keys stand; others start at 0. Writes are judged in ``order``, those that tie from the
+    least expected revision; a null one conflicts. With more than one of ``segments`` a key's writes are cut by the first column of ``order``
+    (numbers): each segment says where it takes the revisions it expects (``revision_steps``), of those the ones that a segment
+    can start from are carried on, key by key, and then every segment is judged by itself. The result is the same.
     """
     rows = join_on(writes, current.select(*keys, F.col("revision").alias("__from")), list(keys)) if current is not None else writes.withColumn("__from", F.lit(0).cast("long"))
-    judged = judged_in_order(rows, keys, order, ["expected", "__from"], "status string, revision long", lambda row: [row[1] or 0], lambda part, now: bumped((r[0] for r in part), now))
-    return judged.drop("__from")
+    whose = list(keys)
+    if segments > 1:
+        whose.append("__segment")
+        rows = in_segments(rows.withColumn("__from", F.coalesce("__from", F.lit(0))), order[0], segments)
+        steps = revision_steps(rows, keys, order)
+        # A segment starts from where its key stood or from where an earlier segment led.
+        starts = steps.select(*keys, F.coalesce("__to", "__from").alias("__at")).distinct()
+        able = steps.where("__at is null").unionByName(join_on(steps.where("__at is not null"), starts, [*keys, "__at"], "left_semi"))
+        begun = judged_in_order(able, keys, ["__segment", "__at"], ["__at", "__to", "__from"], "__start long", lambda row: [row[2]] * 2, lambda part, now: carried((r[:2] for r in part), now))
+        begun = begun.where("__at is null").select(*whose, "__start")
+        rows = join_on(rows, begun, whose).withColumn("__from", F.col("__start")).drop("__start")
+    judged = judged_in_order(rows, whose, [*order, "expected"], ["expected", "__from"], "status string, revision long", lambda row: [row[1] or 0], lambda part, now: bumped((r[0] for r in part), now))
+    return judged.drop("__from", "__segment")

@@ -312,27 +312,44 @@ def failure_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.failure_window(view(spark, sf_dir, "attempts")).select("key", "event_id", "failures")
 
 
-@register(
-    """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second, event_id) AS i FROM attempts), r AS (
+_LIMITED = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second, event_id) AS i FROM attempts), r AS (
       SELECT key, second, event_id, success, i, CASE WHEN success THEN 'ok' ELSE 'failed' END AS status, CAST(0 AS BIGINT) AS retry_after, CASE WHEN success THEN CAST([] AS BIGINT[]) ELSE [second] END AS f FROM n WHERE i = 1
       UNION ALL SELECT key, second, event_id, success, i, CASE WHEN len(k) >= 2 THEN 'blocked' WHEN success THEN 'ok' ELSE 'failed' END, CASE WHEN len(k) >= 2 THEN greatest(1, 60 - (second - list_min(k))) ELSE 0 END,
         CASE WHEN len(k) >= 2 THEN k WHEN success THEN [] ELSE list_append(k, second) END
       FROM (SELECT n.*, list_filter(r.f, lambda x: n.second - x < 60) AS k FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1) q)
     SELECT key, second, event_id, success, status, retry_after FROM r"""
-)
+
+
+@register(_LIMITED)
 def auth_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.auth_rate_limit(view(spark, sf_dir, "attempts"), most=2)
 
 
-@register(
-    """WITH RECURSIVE n AS (SELECT key, event_id, counter % 4 AS expected, row_number() OVER (PARTITION BY key ORDER BY event_id) AS i FROM messages), r AS (
+@register(_LIMITED)
+def auth_rate_limit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, keys cut where the limiter remembers nothing."""
+    return governance.auth_rate_limit(view(spark, sf_dir, "attempts"), most=2, split=True)
+
+
+_BUMPED = """WITH RECURSIVE n AS (SELECT key, event_id, counter % 4 AS expected, row_number() OVER (PARTITION BY key ORDER BY event_id) AS i FROM messages), r AS (
       SELECT key, event_id, expected, i, CASE WHEN expected = 0 THEN 'applied' ELSE 'conflict' END AS status, CASE WHEN expected = 0 THEN CAST(1 AS BIGINT) ELSE 0 END AS revision FROM n WHERE i = 1
       UNION ALL SELECT n.key, n.event_id, n.expected, n.i, CASE WHEN n.expected = r.revision THEN 'applied' ELSE 'conflict' END, CASE WHEN n.expected = r.revision THEN r.revision + 1 ELSE r.revision END FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)
     SELECT key AS path, event_id, expected, status, revision FROM r"""
-)
+
+
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "messages").selectExpr("key as path", "event_id", "counter % 4 as expected")
+
+
+@register(_BUMPED)
 def revision_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    writes = view(spark, sf_dir, "messages").selectExpr("key as path", "event_id", "counter % 4 as expected")
-    return governance.revision_bump(writes, ["path"], ["event_id"])
+    return governance.revision_bump(_writes(spark, sf_dir), ["path"], ["event_id"])
+
+
+@register(_BUMPED)
+def revision_bump_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, every key's writes cut in eight."""
+    return governance.revision_bump(_writes(spark, sf_dir), ["path"], ["event_id"], segments=8)
 
 
 # Sidecars

@@ -246,6 +246,52 @@ def test_hot_keys_are_judged_batch_by_batch(spark):
     assert found["failed"] == -(-n // 60) * 5 and found["failed"] + found["blocked"] == n
 
 
+def test_limiter_sessions_judge_as_whole_keys_do(spark):
+    rng = random.Random(5)
+    attempts, at = [], {"a": 0, "b": -500, None: 7}
+    for i in range(3000):
+        key = rng.choice(list(at))
+        at[key] += rng.choice([0, 0, 1, 2, 5, 20, 59, 60, 61, 119, 120])
+        attempts.append((key, at[key], i, rng.choice([True, False, False, False, None])))
+    for odd in (attempts, []):
+        df = spark.createDataFrame(odd, "key string, second long, event_id int, success boolean").repartition(3)
+        for most, window in ((1, 60), (2, 60), (5, 60), (3, 7)):
+            whole, cut = governance.auth_rate_limit(df, most, window), governance.auth_rate_limit(df, most, window, split=True)
+            assert cut.columns == whole.columns and sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    hot = spark.range(200_000).select(F.lit("hot").alias("key"), F.col("id").alias("second"), F.col("id").alias("event_id"), (F.col("id") % 50 == 0).alias("success"), (F.col("id") % 50 < 4).alias("kept")).where("kept")
+    out = governance.auth_rate_limit(hot.drop("kept"), 10, 60, split=True).withColumn("task", F.spark_partition_id())
+    shares = [r["count"] for r in out.groupBy("task").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) > 4 and max(shares) < sum(shares) / 2 and sum(shares) == 16_000
+
+
+def test_revisions_in_segments_are_those_of_whole_keys(spark):
+    rng = random.Random(6)
+    for spread in (2, 5, 40):
+        writes, now = [], {"p": 3, "q": 0, None: 1}
+        for i in range(1500):
+            key = rng.choice(["p", "q", None])
+            expected = rng.choice([None, now[key], now[key], now[key] - 1, now[key] + rng.randrange(spread)])
+            now[key] += expected == now[key]
+            writes.append((key, i // 2 if i % 9 else None, i, expected, "x"))
+        df = spark.createDataFrame(writes, "path string, at int, event_id int, expected long, __data string").repartition(3)
+        stand = spark.createDataFrame([("p", 3), (None, 1)], "path string, revision long")
+        for current in (None, stand):
+            whole = governance.revision_bump(df, ["path"], ["at", "event_id"], current)
+            for segments in (2, 7):
+                cut = governance.revision_bump(df, ["path"], ["at", "event_id"], current, segments)
+                assert cut.columns == whole.columns and sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+    assert governance.revision_bump(df.limit(0), ["path"], ["at"], None, 4).count() == 0
+    n = 100_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    hot = spark.range(n).select(F.lit("hot").alias("path"), F.col("id").alias("event_id"), F.floor(F.col("id") / 2).alias("expected"))
+    out = governance.revision_bump(hot, ["path"], ["event_id"], None, 32).withColumn("task", F.spark_partition_id())
+    shares = out.groupBy("task").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "applied").alias("done"), F.max("revision").alias("r")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) > 4 and max(r["n"] for r in shares) < n / 2 and sum(r["done"] for r in shares) == n // 2 and max(r["r"] for r in shares) == n // 2
+
+
 def test_tiers_of_any_case_and_unknown_ones(spark):
     tenants = spark.createDataFrame([("a", "Pro"), ("b", "gold"), ("c", None), ("d", "FREE")], "tenant_id string, plan_tier string")
     nodes = spark.createDataFrame([(t, f"n{i}", False) for t in "abcd" for i in range(3)], "tenant_id string, node_id string, revoked boolean")
