@@ -16,16 +16,22 @@ WRITE_ROLES, READ_ROLES = ("bidirectional", "send_only", "publisher"), ("bidirec
 
 
 def filter_includes(rows: DataFrame, includes: DataFrame, scope: list[str]) -> DataFrame:
-    """Rows whose scope has no include rule, or whose path is a prefix of a rule or lies below one.
+    """Rows whose scope has no include rule, or whose path is one of its rules or lies below one.
 
-    Every path is met with the rules by its ancestors, so the prefix test is an equi-join; ``includes`` has ``scope`` and
-    ``prefix``.
+    ``includes`` has ``scope`` and ``prefix``. Rules below other rules of their scope say nothing more and go, so a path has at
+    most one rule left among its ancestors: rows are read once, meet their scope's depths, are repeated for the ancestors between these,
+    and the one that is a rule stays. A null path or prefix lies nowhere, but a null prefix makes its scope a ruled one.
     """
-    rules = includes.select(*scope, "prefix").distinct()
-    free = join_on(rows, rules.select(*scope).distinct(), scope, "left_anti")
-    hit = rows.select(*scope, "path").distinct().withColumn("prefix", F.explode(ancestors(F.col("path"))))
-    hit = join_on(hit, rules, [*scope, "prefix"], "left_semi").select(*scope, "path").distinct()
-    return free.unionByName(join_on(rows, hit, [*scope, "path"], "left_semi"))
+    rules = includes.select(*scope, F.col("prefix").alias("__rule")).distinct()
+    above = rules.select(*scope, F.col("__rule").alias("__below"), F.explode(F.filter(ancestors(F.col("__rule")), lambda a: a != F.col("__rule"))).alias("__rule"))
+    nested = join_on(above, rules, [*scope, "__rule"], "left_semi").select(*scope, F.col("__below").alias("__rule")).distinct()
+    top = join_on(rules, nested, [*scope, "__rule"], "left_anti").withColumn("__hit", F.lit(True))
+    depth = F.coalesce(F.size(F.split("__rule", "/")), F.lit(1))
+    scopes = rules.groupBy(*scope).agg(F.min(depth).alias("__least"), F.max(depth).alias("__most"))
+    met = join_on(rows, scopes, scope)
+    able = F.slice(ancestors(F.col("path")), F.col("__least"), F.col("__most") - F.col("__least") + 1)
+    spread = met.withColumn("__rule", F.explode(F.when(F.col("__least").isNull(), F.array(F.lit(None).cast("string"))).otherwise(able)))
+    return join_on(spread, top, [*scope, "__rule"]).where("__hit or __least is null").select(*rows.columns)
 
 
 def replace_includes(current: DataFrame, wanted: DataFrame, scope: list[str]) -> DataFrame:

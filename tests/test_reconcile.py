@@ -140,3 +140,25 @@ def test_keys(spark):
     page = paginate(spark.range(10).withColumn("p", F.lit(1)), ["p"], [F.desc("id")], 3, 6).collect()
     assert [(r["id"], r["position"], r["total"], r["has_more"]) for r in page] == [(3, 7, 10, True), (2, 8, 10, True), (1, 9, 10, True)]
     assert KEY[:2] == SCOPE
+
+
+def test_filter_includes_against_all_rules(spark):
+    rng = random.Random(3)
+    name = lambda: "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+    scopes = [(t, v) for t in ("s", None) for v in ("v", "w", "free")]
+    rows = [(*rng.choice(scopes), name() if i % 40 else None, i % 7) for i in range(600)]
+    rows += rows[:20]
+    rules = [(t, v, name()) for t, v in scopes if v != "free" for _ in range(4)] + [("s", "v", "a"), ("s", "v", "a"), ("s", "v", "a/b"), ("s", "null", None), ("s", "w", ""), ("s", "w", "a//b"), ("s", "w", "b/")]
+    rows += [("s", "null", "a", 1), ("s", "null", None, 1)]
+    files = spark.createDataFrame(rows, "tenant_id string, vault_id string, path string, payload int")
+    got = exchange.filter_includes(files, spark.createDataFrame(rules, "tenant_id string, vault_id string, prefix string"), ["tenant_id", "vault_id"])
+
+    def kept(t, v, path):
+        own = [p for a, b, p in rules if (a, b) == (t, v)]
+        return not own or (path is not None and any(p and (path == p or path.startswith(p + "/")) for p in own))
+
+    assert got.columns == files.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if kept(*r[:3]))
+    none = spark.createDataFrame([], "tenant_id string, vault_id string, prefix string")
+    assert exchange.filter_includes(files, none, ["tenant_id", "vault_id"]).count() == len(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("LogicalRDD" in line and "payload" in line for line in plan.splitlines()) == 1  # rows are read once
