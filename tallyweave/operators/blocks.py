@@ -35,16 +35,42 @@ def delta_plan(client: DataFrame, base: DataFrame) -> DataFrame:
     """file_key, offset, length, kind, base_offset, data: each client block as a hit in its base file or a miss with data.
 
     A block that the base holds more than once stands for its last offset. Equal digests have equal checksums, so the digest
-    alone is joined on and no checksum is computed here.
+    alone is joined on and no checksum is computed here. A client of keys alone (file_key, offset, length, strong) gives a plan without
+    data, whose misses ``miss_data`` fetches: where most blocks are hits, far fewer bytes move.
     """
     known = base.groupBy("file_key", "strong").agg(F.max("offset").alias("base_offset"))
     joined = client.join(known, ["file_key", "strong"], "left")
     hit = F.col("base_offset").isNotNull()
+    carried = "data" in client.columns
     return joined.select(
-        "file_key", "offset", F.octet_length("data").alias("length"), F.when(hit, "hit").otherwise("miss").alias("kind"), "base_offset", F.when(~hit, F.col("data")).alias("data")
+        "file_key", "offset", (F.octet_length("data") if carried else F.col("length")).alias("length"), F.when(hit, "hit").otherwise("miss").alias("kind"), "base_offset", *([F.when(~hit, F.col("data")).alias("data")] if carried else [])
     )
 
 
+def marked_blocks(client: DataFrame, wanted: DataFrame, buckets: int = 2048) -> DataFrame:
+    """Rows of ``client`` whose (file_key, offset) may be in ``wanted``: all that are, and few others.
+
+    ``wanted`` sets bits of ``buckets`` maps of 32,768 bits each, made by Spark on the map side and broadcast: 8 MB at most, however many
+    blocks are wanted. With many more than a bit each, more of the others stay.
+    """
+    place = F.pmod(F.xxhash64("file_key", "offset"), F.lit(buckets * 32768))
+    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = client.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "__bucket")
+    return met.where(F.getbit(byte, at % 8) == 1).select(*client.columns)
+
+
+def miss_data(plan: DataFrame, client: DataFrame, buckets: int = 2048) -> DataFrame:
+    """file_key, offset, length, data of a plan's misses, from the client's blocks (file_key, offset, data).
+
+    Blocks that are hits stay where they are: ``marked_blocks`` holds them back before the exact join moves data. The plan is read
+    twice, so write a costly one first.
+    """
+    misses = plan.where("kind = 'miss'").select("file_key", "offset", "length")
+    return misses.join(marked_blocks(client.select("file_key", "offset", "data"), misses, buckets), ["file_key", "offset"]).select("file_key", "offset", "length", "data")
+
+
 def delta_chunks(plan: DataFrame, base: DataFrame) -> DataFrame:
     """file_key, offset, data, fault: each block of a plan as its bytes, so a file of any size is as many rows as it has blocks.
 

@@ -58,6 +58,15 @@ def delta_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("file_key", "offset", F.col("length").cast("long").alias("length"), "kind", "base_offset", F.sha2("data", 256).alias("data_hash"))
 
 
+@register(f"""WITH {_PLAN} SELECT file_key, "offset", length, sha256(data) AS data_hash FROM plan WHERE kind = 'miss'""")
+def delta_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are planned first; of the data only what misses moves."""
+    client = blocks.block_signatures(_files(spark, sf_dir, "local"), BLOCK, signed=False)
+    keys = client.select("file_key", "offset", F.octet_length("data").alias("length"), F.sha2("data", 256).alias("strong"))
+    found = blocks.miss_data(blocks.delta_plan(keys, _signed(spark, sf_dir, "indexed")), client)
+    return found.select("file_key", "offset", F.col("length").cast("long").alias("length"), F.sha2("data", 256).alias("data_hash"))
+
+
 @register("SELECT coalesce(tenant_id, '') || '|' || vault_id || '|' || path AS file_key, content_hash, size FROM local_files WHERE text <> ''")
 def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files put together as chunks, hashed as they stream past."""

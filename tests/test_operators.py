@@ -246,6 +246,25 @@ def test_hot_keys_are_judged_batch_by_batch(spark):
     assert found["failed"] == -(-n // 60) * 5 and found["failed"] + found["blocked"] == n
 
 
+def test_data_of_misses_alone(spark):
+    rng = random.Random(8)
+    old = [(f"f{i}", rng.randbytes(200)) for i in range(60)]
+    new = [(k, c[:64] + rng.randbytes(8) + c[72:]) if i % 3 else (k, c) for i, (k, c) in enumerate(old)] + [("new", rng.randbytes(50)), ("empty", b""), (None, b"abc")]
+    client, base = (blocks.block_signatures(spark.createDataFrame(x, "file_key string, content binary"), 16) for x in (new, old))
+    whole = blocks.delta_plan(client, base)
+    keys = blocks.delta_plan(client.select("file_key", "offset", F.octet_length("data").alias("length"), "strong"), base)
+    assert "data" not in keys.columns and sorted(map(repr, keys.collect())) == sorted(map(repr, whole.drop("data").collect()))
+    misses = whole.where("kind = 'miss' and file_key is not null")
+    want = sorted((r["file_key"], r["offset"], r["length"], bytes(r["data"])) for r in misses.collect())
+    for buckets in (1, 2048):
+        got = sorted((r["file_key"], r["offset"], r["length"], bytes(r["data"])) for r in blocks.miss_data(keys, client, buckets).collect())
+        assert got == want and len(got) > 40
+    assert len(want) <= blocks.marked_blocks(client, misses).count() <= len(want) + 2 < client.count() / 5
+    assert blocks.miss_data(keys.limit(0), client).count() == 0
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert all("data" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_limiter_sessions_judge_as_whole_keys_do(spark):
     rng = random.Random(5)
     attempts, at = [], {"a": 0, "b": -500, None: 7}
