@@ -249,33 +249,43 @@ def webhook_fanout(events: DataFrame, hooks: DataFrame) -> DataFrame:
     return hit.select("event_id", "hook_id", "url", body.alias("body"))
 
 
+def _after_first(rows: DataFrame, key: str, able: Column) -> DataFrame:
+    """``rows`` with __earlier: an able attempt of the key comes before, in the order of (second, attempt_id).
+
+    The first able one is a minimum, made on the map side, so a key with most of all rows is never one task's to sort.
+    """
+    stamp = F.struct("second", "attempt_id")
+    first = rows.where(able).groupBy(key).agg(F.min(stamp).alias("__first"))
+    return rows.join(first, key, "left").withColumn("__earlier", F.coalesce(stamp > F.col("__first"), F.lit(False)))
+
+
 def enrollment_status(attempts: DataFrame, tokens: DataFrame) -> DataFrame:
     """``attempts`` (attempt_id, token_hash, second) with status: not_found, revoked, replay, expired, ok, tested in this order.
 
-    An ok uses the token up: attempts of one token count in the order of (second, attempt_id), and later ones are replays.
+    An ok uses the token up: attempts of one token count in the order of (second, attempt_id), and later ones are replays. Rows of
+    one attempt have one status; a null token is not found.
 
     ``tokens`` (token_hash, issued_at, ttl, revoked, used); a time to live is an hour by default and a day at most.
     """
     ttl = F.least(F.coalesce("ttl", F.lit(3600)), F.lit(DAY))
     known = tokens.select("token_hash", (F.col("issued_at") + ttl).alias("expires_at"), "revoked", "used")
-    rows = attempts.join(known, "token_hash", "left")
     able = F.coalesce(~F.col("revoked") & ~F.col("used") & (F.col("expires_at") >= F.col("second")), F.lit(False))
-    w = Window.partitionBy("token_hash").orderBy("second", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.max(able.cast("int")).over(w), F.lit(0)) == 1
-    status = F.when(F.col("expires_at").isNull(), "not_found").when(F.col("revoked"), "revoked").when(F.col("used") | earlier, "replay").when(F.col("expires_at") < F.col("second"), "expired").otherwise("ok")
+    rows = _after_first(attempts.join(known, "token_hash", "left"), "token_hash", able)
+    used = F.col("used") | F.col("__earlier")
+    status = F.when(F.col("expires_at").isNull(), "not_found").when(F.col("revoked"), "revoked").when(used, "replay").when(F.col("expires_at") < F.col("second"), "expired").otherwise("ok")
     return rows.select(*attempts.columns, status.alias("status"))
 
 
 def invite_status(attempts: DataFrame, invites: DataFrame) -> DataFrame:
     """``attempts`` (attempt_id, code, second) with status: not_found, already_redeemed, expired, ok; ok redeems the invite once.
 
-    ``invites`` (code, expires_at, redeemed). Attempts of one code count in the order of (second, attempt_id).
+    ``invites`` (code, expires_at, redeemed). Attempts of one code count in the order of (second, attempt_id); rows of one attempt
+    have one status, and a null code is not found.
     """
-    rows = attempts.join(invites, "code", "left")
     able = F.coalesce(~F.col("redeemed") & (F.col("expires_at") >= F.col("second")), F.lit(False))
-    w = Window.partitionBy("code").orderBy("second", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.max(able.cast("int")).over(w), F.lit(0)) == 1
-    status = F.when(F.col("expires_at").isNull(), "not_found").when(F.col("redeemed") | earlier, "already_redeemed").when(F.col("expires_at") < F.col("second"), "expired").otherwise("ok")
+    rows = _after_first(attempts.join(invites, "code", "left"), "code", able)
+    redeemed = F.col("redeemed") | F.col("__earlier")
+    status = F.when(F.col("expires_at").isNull(), "not_found").when(redeemed, "already_redeemed").when(F.col("expires_at") < F.col("second"), "expired").otherwise("ok")
     return rows.select(*attempts.columns, status.alias("status"))
 
 

@@ -359,6 +359,29 @@ def test_a_token_enrolls_once(spark):
     assert got == {1: "replay", 2: "ok", 3: "replay", 4: "replay", 5: "revoked", 6: "not_found"}
 
 
+def test_hot_tokens_are_used_up_without_a_window(spark):
+    rng = random.Random(9)
+    tries = [(i // 2 if i % 50 == 0 else i, rng.choice(["hot"] * 4 + ["late", "gone", None, "unknown"]), rng.choice([None, *range(90, 170)])) for i in range(2000)]
+    invites = [("hot", 150, False), ("late", 95, False), ("gone", 500, True)]
+    df = spark.createDataFrame(tries, "attempt_id int, code string, second long")
+    out = governance.invite_status(df, spark.createDataFrame(invites, "code string, expires_at long, redeemed boolean"))
+    want, ends, first = [], {c: (e, r) for c, e, r in invites}, {}
+    for a, code, at in tries:
+        if code in ends and not ends[code][1] and at is not None and at <= ends[code][0]:
+            first[code] = min(first.get(code, (at, a)), (at, a))
+    for a, code, at in tries:
+        end, redeemed = ends.get(code, (None, None))
+        spent = redeemed or (code in first and at is not None and (at, a) > first[code])
+        want.append((a, code, at, "not_found" if end is None else "already_redeemed" if spent else "expired" if at is not None and end < at else "ok"))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    tokens = spark.createDataFrame([(c, 100, e - 100, False, r) for c, e, r in invites], "token_hash string, issued_at long, ttl long, revoked boolean, used boolean")
+    same = {"already_redeemed": "replay"}
+    enrolled = governance.enrollment_status(df.withColumnRenamed("code", "token_hash"), tokens)
+    assert sorted(map(repr, map(tuple, enrolled.collect()))) == sorted(repr((*w[:3], same.get(w[3], w[3]))) for w in want)
+    assert governance.invite_status(df.limit(0), spark.createDataFrame(invites, "code string, expires_at long, redeemed boolean")).count() == 0
+
+
 def test_replay_and_versions(spark):
     df = spark.createDataFrame([("a", i, c) for i, c in enumerate([0, 3, 3, 2, 5])], "key string, event_id int, version long")
     assert [r["accepted"] for r in governance.replay_check(df, ["key"], "version", ["event_id"]).orderBy("event_id").collect()] == [False, True, False, False, True]
