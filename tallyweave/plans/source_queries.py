@@ -15,7 +15,7 @@ from ..functions.paths import manifest_path
 from ..operators import blocks
 from ..schemas import KEY
 from ..sources import files
-from ..streaming import events, state
+from ..streaming import events, state, tables
 from .block_queries import ARCHIVE, archive_files
 from .fixtures import AS_OF, query, view
 from .governance_queries import FIRED
@@ -168,7 +168,10 @@ def apply_index_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.latest_index(spark, index)
 
 
-@register("SELECT key, event_id, counter > coalesce(max(counter) OVER (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS accepted FROM messages")
+_ACCEPTED = "SELECT key, event_id, counter > coalesce(max(counter) OVER (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS accepted FROM messages"
+
+
+@register(_ACCEPTED)
 def replay_guard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(view(spark, sf_dir, "messages").withColumnRenamed("counter", "sequence"), "event_id", "replay", state.replay_guard_stream).drop("sequence")
 
@@ -185,17 +188,36 @@ def auth_limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(view(spark, sf_dir, "attempts"), "second", "limiter", lambda s: state.auth_limiter_stream(s, 3, 600)).select("key", "event_id", "status")
 
 
-@register(
-    """WITH RECURSIVE n AS (SELECT key, event_id, counter % 4 AS expected, row_number() OVER (PARTITION BY key ORDER BY event_id) AS i FROM messages), r AS (
+_REVISED = """WITH RECURSIVE n AS (SELECT key, event_id, counter % 4 AS expected, row_number() OVER (PARTITION BY key ORDER BY event_id) AS i FROM messages), r AS (
       SELECT key, event_id, i, CASE WHEN expected = 0 THEN CAST(1 AS BIGINT) ELSE 0 END AS revision, expected = 0 AS good FROM n WHERE i = 1
       UNION ALL SELECT n.key, n.event_id, n.i, CASE WHEN n.expected = r.revision THEN r.revision + 1 ELSE r.revision END, n.expected = r.revision FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)
     SELECT key AS path, event_id, CASE WHEN good THEN 'agent.write_ok' ELSE 'agent.write_conflict' END AS event, revision FROM r"""
-)
+
+
+@register(_REVISED)
 def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes = view(spark, sf_dir, "messages").selectExpr("key as path", "event_id", "counter % 4 as expected")
     return _run(writes, "event_id", "revisions", state.revision_stream).drop("expected")
 
 
+@register(_ACCEPTED)
+def replay_guard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard with its state in tables, keys cut in segments."""
+    out = scratch(spark, "guard")
+    rows = view(spark, sf_dir, "messages").withColumnRenamed("counter", "sequence")
+    _fed(rows, "event_id", "sequences", lambda s: tables.replay_guard_table(s, out, f"{out}-checkpoint", 4).awaitTermination())
+    return tables.judged_rows(spark, out).drop("sequence")
+
+
+@register(_REVISED)
+def revision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions with their state in tables, keys cut in segments."""
+    out = scratch(spark, "revised")
+    writes = view(spark, sf_dir, "messages").selectExpr("key as path", "event_id", "counter % 4 as expected")
+    _fed(writes, "event_id", "expected", lambda s: tables.revision_table(s, out, f"{out}-checkpoint", 4).awaitTermination())
+    return tables.judged_rows(spark, out).drop("expected")
+
+
 @register(f"""WITH f AS ({FIRED}) SELECT f.event_id, h.hook_id, h.url FROM f JOIN hooks h ON {same('h', 'f', 'tenant_id vault_id')} WHERE h.enabled AND h.secret <> '' AND contains(h.events_json, '"' || f.event || '"')""")
 def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     hooks = view(spark, sf_dir, "hooks")

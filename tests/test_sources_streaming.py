@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tallyweave.functions.paths import FilterRules
 from tallyweave.operators import blocks, governance, sidecars
 from tallyweave.sources import files
 from tallyweave.sources import tree as sources_tree
-from tallyweave.streaming import events, state
+from tallyweave.streaming import events, state, tables
 
 
 ODD = {
@@ -299,3 +300,30 @@ def test_state_expires_by_event_time(spark, tmp_path):
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False, 8: True, 9: False}
     with pytest.raises(ValueError, match="processing time or by event time"):
         state.replay_guard_stream(spark.readStream.schema(schema).json(source), keep=timedelta(hours=1), forget=timedelta(hours=1))
+
+
+def test_states_in_tables_over_many_batches(spark, tmp_path):
+    """Nine micro-batches in three runs, state whole every second one: the same as judging all rows at once."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot"] * 5 + ["b", None, f"k{i // 300}"]), i, rng.choice([None, i // 3, rng.randrange(1 + i)]), "kept") for i in range(1800)]
+    schema = "key string, event_id long, sequence long, last string"
+    writes, now = [], {}
+    for key, i, _, word in rows:
+        expected = rng.choice([None, now.get(key, 0), now.get(key, 0), rng.randrange(30)])
+        now[key] = now.get(key, 0) + (expected == now.get(key, 0))
+        writes.append((key, i, expected, word))
+    asked = "path string, event_id long, expected long, __x string"
+    guard, revised = str(tmp_path / "guard"), str(tmp_path / "revised")
+    for n in range(9):
+        for source, part, kind in ((f"{guard}-in", rows, schema), (f"{revised}-in", writes, asked)):
+            spark.createDataFrame(part[n * 200 : n * 200 + 200], kind).coalesce(1).write.mode("append").parquet(source)
+        if n % 3 == 2:
+            stream = lambda source, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+            tables.replay_guard_table(stream(f"{guard}-in", schema), guard, f"{guard}-checkpoint", 3, compact=2).awaitTermination()
+            tables.revision_table(stream(f"{revised}-in", asked), revised, f"{revised}-checkpoint", compact=2).awaitTermination()
+    want = governance.replay_check(spark.createDataFrame(rows, schema), ["key"], "sequence", ["event_id"]).withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    assert same(tables.judged_rows(spark, guard), want)
+    whole = governance.revision_bump(spark.createDataFrame(writes, asked), ["path"], ["event_id"])
+    assert same(tables.judged_rows(spark, revised).drop("event"), whole.drop("status"))
+    assert {r["path"]: r["revision"] for r in tables.state_after(spark, revised, ["path"], compact=2).collect()} == now
+    assert events.index_versions(spark, f"{guard}/state") == [6, 7, 8]
