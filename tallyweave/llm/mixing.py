@@ -16,26 +16,9 @@ from pyspark.sql.window import Window
 
 from ._shared import WORD, sliced, stored, word_count
 
-#: Words in a block, blocks in an output shard, and the number of sources that are planned and drawn for as a list; more are
-#: planned as a table.
-BLOCK, SHARD_SLOTS, MAX_SOURCES = 128, 4096, 10_000
-
-
-def water_fill(sizes: list[int], weights: list[float], total: float, cap: float = 2.0) -> list[float]:
-    """Shares of ``total`` by weight, none above ``cap`` times its size; what is cut off is shared again by weight."""
-    targets, free, left = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}, float(total)
-    while free:
-        weight = sum(weights[i] for i in free)
-        full = {i for i in free if left * weights[i] / weight > cap * sizes[i]}
-        if not full:
-            for i in free:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in full:
-            targets[i] = cap * sizes[i]
-            left -= targets[i]
-        free -= full
-    return targets
+#: Words in a block, blocks in an output shard, shards' worth of slots that one task draws, sources that are drawn for
+#: together, and the number of sources that are sent to all tasks (more are joined).
+BLOCK, SHARD_SLOTS, TASK_SHARDS, GROUP, SENT_SOURCES = 128, 4096, 64, 10_000, 10_000
 
 
 def permuted(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -144,58 +127,57 @@ def drawn_counts(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.
     return out
 
 
-def shard_counts(shard: int, shards: int, slots: list[int], per: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source in one shard, and in all shards before it.
+def shard_draws(groups: list[int], group: int, slots: np.ndarray, shards: int, per: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, slots of each group, sources, slots of each, slots of each in all shards before) for the shards [low, high).
 
-    The draw is multinomial given its totals (multivariate hypergeometric), split shard range by shard range with a
-    seed per range: every shard finds its own counts alone, and all of them add up to the plan.
+    Sources are drawn for in groups: ``groups`` has the slots of every group, ``slots`` those of each source of ``group``.
+    The draw is multinomial given its totals (multivariate hypergeometric), split shard range by shard range with a seed
+    per range, groups first and then the sources of each group: every task finds its own shards' counts of its own group
+    alone, and all of them add up to the plan. Sources without slots in a shard are left out.
     """
-    counts, before, lo, hi = np.array(slots, np.int64), np.zeros(len(slots), np.int64), 0, shards
-    total = int(counts.sum())
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        take = min((mid - lo) * per, total)
-        left = drawn_counts(np.random.default_rng([seed, lo, hi]), counts, take)
-        if shard < mid:
-            counts, total, hi = left, take, mid
-        else:
-            before, counts, total, lo = before + left, counts - left, total - take, mid
-    return counts, before
-
 
-def _slots(shares: list[Share], shards: int, per: int, block: int, seed: int):
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for shard in batch["id"]:
-                counts, before = shard_counts(int(shard), shards, [s.slots for s in shares], per, seed)
-                parts = []
-                for i, s in enumerate(shares):
-                    k = np.arange(before[i], before[i] + counts[i])
-                    if len(k):
-                        take = np.full(len(k), block, np.int64)
-                        take[k == s.slots - 1] = s.last_take
-                        parts.append(pd.DataFrame({"source_no": i, "round": k // s.blocks, "block": permuted(k % s.blocks, s.blocks, s.key), "take": take}))
-                if parts:
-                    out = pd.concat(parts, ignore_index=True)
-                    order = np.random.default_rng([seed, int(shard), 1]).permutation(len(out))
-                    yield out.assign(shard=int(shard), position=order)
+    def within(lo: int, hi: int, whole: np.ndarray, which: np.ndarray, counts: np.ndarray, before: np.ndarray):
+        if hi <= low or high <= lo or not len(which):
+            return
+        if hi - lo == 1:
+            yield lo, whole, which, counts, before
+            return
+        mid = (lo + hi) // 2
+        left = drawn_counts(np.random.default_rng([seed, lo, hi]), whole, min((mid - lo) * per, int(whole.sum())))
+        mine = drawn_counts(np.random.default_rng([seed, lo, hi, group + 1]), counts, int(left[group]))
+        for a, b, g, c, f in ((lo, mid, left, mine, before), (mid, hi, whole - left, counts - mine, before + mine)):
+            some = c > 0
+            yield from within(a, b, g, which[some], c[some], f[some])
+
+    some = slots > 0
+    yield from within(0, shards, np.array(groups, np.int64), np.flatnonzero(some), slots[some], np.zeros(some.sum(), np.int64))
+
+
+def _slots(groups: list[int], shards: int, per: int, block: int, seed: int):
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source_no", ignore_index=True)
+        group, low, high = (int(rows[c].iloc[0]) for c in ("group", "low", "high"))
+        slots, blocks = rows["slots"].to_numpy(), rows["blocks"].to_numpy()
+        parts = [np.zeros((4, 0), np.int64)]
+        for shard, whole, which, counts, before in shard_draws(groups, group, slots, shards, per, seed, low, high):
+            n = int(counts.sum())
+            k = np.arange(n) + np.repeat(before - (np.cumsum(counts) - counts), counts)
+            place = permuted(int(whole[:group].sum()) + np.arange(n), int(whole.sum()), zlib.crc32(f"{seed}/shard {shard}".encode()))
+            parts.append(np.stack([np.repeat(which, counts), k, np.full(n, shard), place]))
+        at, k, shard, place = np.concatenate(parts, axis=1)
+        order = np.argsort(at, kind="stable")
+        at, k, shard, place = at[order], k[order], shard[order], place[order]
+        mapped = k % blocks[at]
+        used, first = np.unique(at, return_index=True)
+        for i, lo, hi in zip(used, first, [*first[1:], len(at)], strict=True):
+            if blocks[i] > 1:
+                mapped[lo:hi] = permuted(mapped[lo:hi], int(blocks[i]), int(rows["key"][i]))
+        take = np.where(k == slots[at] - 1, rows["last_take"].to_numpy()[at], block)
+        return pd.DataFrame({"source_no": rows["source_no"].to_numpy()[at], "round": k // blocks[at], "block": mapped, "take": take, "shard": shard, "position": place})
 
     return draw
 
 
-def _listed_plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: float, cap: float, block: int, per: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(sources: source_no, source, source_size, target; slots: source_no, round, block, take, shard, position), drawn shard by shard."""
-    spark = totals.sparkSession
-    found = sorted(totals.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in found]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share_of_words * sum(sizes), cap)
-    shares = [share(r["source"], n, t, block, seed) for r, n, t in zip(found, sizes, targets, strict=True)]
-    names = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(shares)], "source_no long, source string, source_size long, target double")
-    shards = max(1, math.ceil(sum(s.slots for s in shares) / per))
-    drawn = spark.range(0, shards, 1, min(shards, max(8, shards // 64))).mapInPandas(_slots(shares, shards, per, block, seed), _SLOT)
-    return names, drawn
-
-
 _SLOT = "source_no long, round long, block long, take long, shard long, position long"
 
 
@@ -209,17 +191,17 @@ def _running(rows: DataFrame, order: Column, value: str, total: str) -> DataFram
     return placed.join(starts, "__part").withColumn(total, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__at", "__start")
 
 
-def _table_plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: float, cap: float, block: int, per: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """As ``_listed_plan``, for any number of sources: the sources stay a table.
+def _plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: float, cap: float, block: int, per: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sources: source_no, source, source_size, target; slots: source_no, round, block, take, shard, position).
 
-    All slots get their places in one pseudorandom permutation, so a shard's counts are a draw without replacement here too.
+    Sources stay a table, however many they are; the driver holds the slots of each GROUP of them, one number a group.
     """
     numbered = _running(totals.withColumn("one", F.lit(1).cast("long")), F.asc_nulls_last("source"), "one", "source_no").drop("one")
     sources = stored(numbered.withColumn("w", F.element_at(F.lit([float(w) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))), "numbered")
     every = sources.where("size > 0")
     total = share_of_words * (every.agg(F.sum("size")).first()[0] or 0)
     level, full = 0.0, -1
-    while True:  # the level at which sources stop only rises, so the loop ends as water_fill's does
+    while True:  # the level at which sources stop only rises, so the loop ends
         over = F.col("w") * level > F.col("size") * cap
         r = every.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("size") * cap).otherwise(0.0)).alias("cut"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w")).first()
         if r["n"] == full:
@@ -233,27 +215,16 @@ def _table_plan(totals: DataFrame, weights: tuple[float, ...], share_of_words: f
             yield batch.assign(blocks=[f.blocks for f in found], slots=[f.slots for f in found], last_take=[f.last_take for f in found], key=[f.key for f in found])
 
     planned = sources.select("source_no", "source", "size", target.alias("target")).mapInPandas(shares, "source_no long, source string, size long, target double, blocks long, slots long, last_take long, key long")
-    planned = stored(_running(planned, F.asc("source_no"), "slots", "base"), "planned")
-    all_slots = planned.agg(F.sum("slots")).first()[0] or 0
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 64):
-                batch = whole.iloc[at : at + 64]
-                n = (np.minimum(batch["low"] + per, batch["slots"]) - batch["low"]).to_numpy()
-                rows = batch.loc[batch.index.repeat(n)]
-                k = rows["low"].to_numpy() + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                blocks = rows["blocks"].to_numpy()
-                mapped, end = k % blocks, np.cumsum(n)
-                for s, e, b, key in zip(end - n, end, batch["blocks"], batch["key"], strict=True):
-                    if b > 1:
-                        mapped[s:e] = permuted(mapped[s:e], b, key)
-                place = permuted(rows["base"].to_numpy() + k, all_slots, seed)
-                take = np.where(k == rows["slots"].to_numpy() - 1, rows["last_take"].to_numpy(), block)
-                yield pd.DataFrame({"source_no": rows["source_no"].to_numpy(), "round": k // blocks, "block": mapped, "take": take, "shard": place // per, "position": place % per})
-
-    strips = planned.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, slots - 1, {per}L)")).alias("low")).repartition(F.col("source_no"), F.col("low"))
-    return planned.select("source_no", "source", F.col("size").alias("source_size"), "target"), strips.mapInPandas(draw, _SLOT)
+    planned = stored(planned.withColumn("group", F.expr(f"source_no div {GROUP}")), "planned")
+    names = planned.select("source_no", "source", F.col("size").alias("source_size"), "target")
+    sums = stored(planned.groupBy("group").agg(F.sum("slots").alias("group_slots")), "groups")
+    groups = [r["group_slots"] for r in sums.orderBy("group").collect()]
+    shards, strips = max(1, -(-sum(groups) // per)), sum(max(1, -(-n // (TASK_SHARDS * per))) for n in groups)
+    cut = planned.join(sums, "group").withColumn("strips", F.expr(f"least({shards}L, greatest(1L, (group_slots + {TASK_SHARDS * per - 1}) div {TASK_SHARDS * per}))"))
+    cut = cut.select("group", "source_no", "blocks", "slots", "last_take", "key", "strips", F.explode(F.expr("sequence(0L, strips - 1)")).alias("strip"))
+    cut = cut.withColumn("low", F.expr(f"strip * {shards}L div strips")).withColumn("high", F.expr(f"(strip + 1) * {shards}L div strips"))
+    cut = cut.repartition(max(1, min(2 * strips, 10_000)), "group", "strip")  # few rows in, many out: not for the optimiser to join up
+    return names, cut.groupBy("group", "strip").applyInPandas(_slots(groups, shards, per, block, seed), _SLOT)
 
 
 def mix_sources(
@@ -276,18 +247,14 @@ def mix_sources(
 
     Null or empty texts have size 0 and give nothing; a null source is a source; ties in doc_id are ordered by text; fully
     equal rows are rows of their own, counted as one until their words have places; no rows give no rows. Columns besides
-    doc_id, text and source are ignored. Up to MAX_SOURCES sources pass through the driver, a row each; more stay a table.
+    doc_id, text and source are ignored. One plan serves any number of sources.
     """
     sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
     sized = stored(sized.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("doc_id", "text_hash")), "sizes")
     totals = stored(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")), "sources")
     rows, sources = sized.count(), totals.count()
-    if sources <= MAX_SOURCES:
-        names, drawn = _listed_plan(totals, weights, share_of_words, cap, block, shard_slots, seed)
-        names = F.broadcast(names)
-    else:
-        names, drawn = _table_plan(totals, weights, share_of_words, cap, block, shard_slots, seed)
-    names = names.withColumnRenamed("source", "__source")
+    names, drawn = _plan(totals, weights, share_of_words, cap, block, shard_slots, seed)
+    names = (F.broadcast(names) if sources <= SENT_SOURCES else names).withColumnRenamed("source", "__source")
 
     # Word offsets inside each source: totals of hashed buckets, then a running sum in each bucket.
     buckets = max(64, rows // 20_000)
@@ -318,13 +285,19 @@ def mix_sources(
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target and the words the mix takes of it (repeats counted)."""
+    """One row for each document: doc_id, size, source_size, target, and what the mix takes of it.
+
+    ``taken``: words, repeats counted; ``shards``: output shards that hold some of them; ``first_shard``: the first of
+    these, null where none does.
+    """
     documents, slots = mix_sources(docs, **options)
-    taken = slots.groupBy("source_no", "start").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
+    # Dealt out by document once: both sums then need no other exchange.
+    here = slots.repartition("source_no", "start").groupBy("source_no", "start", "shard").agg(F.sum(F.col("high") - F.col("low")).alias("words"))
+    taken = here.groupBy("source_no", "start").agg(F.sum("words").alias("taken"), F.count("*").alias("shards"), F.min("shard").alias("first_shard"))
     # A (source, start) is one document where size > 0; documents without words share a start and give nothing.
     filled = documents.where("size > 0").join(taken, ["source_no", "start"], "left")
-    return filled.unionByName(documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+    return filled.unionByName(documents.where("size = 0"), allowMissingColumns=True).select(
+        "doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("taken", "shards")], "first_shard"
     )
 
 
@@ -349,11 +322,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each document and round the words taken, all columns else unchanged (n_chars is counted again).
 
     A document taken whole keeps its text as it was; one that the mix does not take is left out; one taken in two
-    rounds gives two rows. Fully equal rows are taken one by one; a row is told by id, source and text.
+    rounds gives two rows. Fully equal rows are taken one by one; a row is told by id, source and text. Rows lie in the
+    order of the drawn shards: those whose first words are in one shard together, by the place of these words.
     """
     _, slots = mix_sources(docs, **options)
     key = ["doc_id", "source", "text_hash"]
-    ranges = slots.groupBy(*key, "start").agg(F.collect_list(F.struct("round", "low", "high")).alias("__ranges"))
+    ranges = slots.groupBy(*key, "start").agg(F.collect_list(F.struct("round", "low", "high")).alias("__ranges"), F.min(F.struct("shard", "position")).alias("__first"))
     ranges = ranges.withColumnsRenamed({k: f"__{k}" for k in key}).drop("start")
     names = docs.columns
     whole = docs.withColumn("__hash", F.xxhash64("text"))
@@ -362,7 +336,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         others = [c for c in names if c not in own]
         whole = whole.groupBy(*own).agg(F.min(F.struct(*others)).alias("__row")).select(*own, *[F.col("__row")[c].alias(c) for c in others])
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__text_hash"))
-    joined = whole.join(ranges, same).select(*names, "__ranges")
+    joined = whole.join(ranges, same).select(*names, "__ranges", F.col("__first.shard").alias("__shard"), F.col("__first.position").alias("__position"))
+    joined = joined.repartition("__shard").sortWithinPartitions("__shard", "__position")
     at, counted, lengths = names.index("text"), names.index("n_chars") if "n_chars" in names else None, docs.schema
 
     def cut(batches: Iterator) -> Iterator:

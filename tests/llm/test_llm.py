@@ -59,13 +59,26 @@ def none(spark):
 # 1 mixing
 
 
+def water_fill(sizes, weights, total, cap=2.0):
+    """Shares of ``total`` by weight, none above ``cap`` times its size; what is cut off is shared again by weight."""
+    targets, free, left = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}, float(total)
+    while free:
+        weight = sum(weights[i] for i in free)
+        full = {i for i in free if left * weights[i] / weight > cap * sizes[i]}
+        for i in full or free:
+            targets[i] = cap * sizes[i] if full else left * weights[i] / weight
+        left -= sum(targets[i] for i in full)
+        free = free - full if full else set()
+    return targets
+
+
 def check_mix(df, rows):
     out = [r.asDict() for r in df.collect()]
     sizes = Counter()
     for r in rows:
         sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(names, mixing.water_fill([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values())), strict=True))
+    targets = dict(zip(names, water_fill([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values())), strict=True))
     source = defaultdict(list)
     for r in rows:
         source[r["doc_id"], len(WORD.findall(r["text"] or ""))].append(r["source"])
@@ -89,7 +102,7 @@ def test_mix(docs, texts, odd, none):
 
 
 def test_water_fill():
-    assert mixing.water_fill([10, 100, 0], [5, 2, 1], 165.0) == [20.0, 145.0, 0.0]
+    assert water_fill([10, 100, 0], [5, 2, 1], 165.0) == [20.0, 145.0, 0.0]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
@@ -99,15 +112,69 @@ def test_permuted(n):
     assert sorted(p) == list(range(n)) and (mixing.permuted(p, n, 5, inverse=True) == x).all()
 
 
-def test_shard_counts_add_up():
-    slots = [100, 33, 0, 7]
-    counts = [mixing.shard_counts(i, 15, slots, 10, 3) for i in range(14 + 1)]
-    assert (sum(c for c, _ in counts) == slots).all()
-    assert all(c.sum() == 10 for c, _ in counts[:14])
-    before = np.zeros(4, int)
-    for c, b in counts:
-        assert (b == before).all()
-        before += c
+def drawn_plainly(shard, shards, groups, per, seed):
+    """Slots of each source in one shard, groups one after another: range by range down to the shard, all groups at hand."""
+    whole, counts, lo, hi = np.array([sum(g) for g in groups]), [np.array(g) for g in groups], 0, shards
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = mixing.drawn_counts(np.random.default_rng([seed, lo, hi]), whole, min((mid - lo) * per, int(whole.sum())))
+        mine = []
+        for i, (c, n) in enumerate(zip(counts, left, strict=True)):
+            out = np.zeros_like(c)
+            out[c > 0] = mixing.drawn_counts(np.random.default_rng([seed, lo, hi, i + 1]), c[c > 0], int(n)) if (c > 0).any() else 0
+            mine.append(out)
+        if shard < mid:
+            whole, counts, hi = left, mine, mid
+        else:
+            whole, counts, lo = whole - left, [c - m for c, m in zip(counts, mine, strict=True)], mid
+    return np.concatenate(counts)
+
+
+@pytest.mark.parametrize("groups", [[[100, 33, 0, 7]], [[100, 33], [0, 7]], [[0], [140]]])
+def test_shard_draws_add_up(groups):
+    whole, first = [sum(g) for g in groups], np.cumsum([0, *map(len, groups)])
+    total = np.zeros((14, first[-1]), int)
+    for i, g in enumerate(groups):
+        before = np.zeros(len(g), int)
+        for low, high in ((0, 5), (5, 6), (6, 14)):  # any cut of the shards among tasks
+            for shard, _, which, counts, seen in mixing.shard_draws(whole, i, np.array(g), 14, 10, 3, low, high):
+                assert low <= shard < high and (seen == before[which]).all() and (counts > 0).all()
+                total[shard, first[i] + which] = counts
+                before[which] += counts
+    assert (total.sum(0) == np.concatenate(groups)).all() and (total.sum(1) == 10).all()
+    assert all((total[s] == drawn_plainly(s, 14, groups, 10, 3)).all() for s in range(14))
+
+
+@pytest.mark.parametrize("group", [10_000, 2])
+def test_shards_hold_what_the_seed_draws(docs, group, monkeypatch):
+    """Every shard's counts of its sources, rebuilt from the seed alone; places in a shard have no gap; documents say where they went."""
+    monkeypatch.setattr(mixing, "GROUP", group)
+    monkeypatch.setattr(mixing, "TASK_SHARDS", 3)
+    documents, slots = mixing.mix_sources(docs, shard_slots=64)
+    slots = slots.select("source_no", "shard", "position", "start").collect()
+    places = {(r["shard"], r["position"]): r["source_no"] for r in slots}
+    sources = documents.select("source_no").distinct().count()
+    of = Counter(places.values())
+    shards = -(-len(places) // 64)
+    assert {s for s, _ in places} == set(range(shards)) and all((s, p) in places for s in range(shards - 1) for p in range(64))
+    got = Counter((s, n) for (s, _), n in places.items())
+    groups = [[of[i] for i in range(g, min(g + group, sources))] for g in range(0, sources, group)]
+    for s in range(shards):
+        assert [got[s, i] for i in range(sources)] == drawn_plainly(s, shards, groups, 64, 17).tolist()
+    held = defaultdict(set)
+    for r in slots:
+        held[r["source_no"], r["start"]].add(r["shard"])
+    ids = {(r["source_no"], r["start"]): r["doc_id"] for r in documents.where("size > 0").collect()}
+    want = {ids[k]: (len(v), min(v)) for k, v in held.items()}
+    for r in mixing.taken_words(docs, shard_slots=64).collect():
+        assert (r["shards"], r["first_shard"]) == want.get(r["doc_id"], (0, None))
+
+
+def test_other_seeds_fill_other_shards(docs):
+    """The draw is seen in what is returned: another seed gives the same totals in other shards."""
+    one, two = ({r["doc_id"]: r for r in mixing.taken_words(docs, shard_slots=64, seed=s).collect()} for s in (17, 18))
+    assert sum(r["taken"] for r in one.values()) == sum(r["taken"] for r in two.values())
+    assert sum(one[k]["first_shard"] != two[k]["first_shard"] for k in one) > len(one) / 2
 
 
 def test_hypergeometric_of_any_size(monkeypatch):
@@ -124,15 +191,13 @@ def test_hypergeometric_of_any_size(monkeypatch):
     assert np.abs(seen - np.bincount(rng.hypergeometric(6, 9, 7, 200_000), minlength=8) / 200_000).max() < 0.02
 
 
-def test_sources_as_a_table(spark, docs, texts, odd, none, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 0)
+def test_sources_in_many_groups(docs, texts, odd, none, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 0)
     check_mix(mixing.taken_words(docs), list(texts.values()))
     check_mix(mixing.taken_words(odd), odd.collect())
     assert mixing.taken_words(none).count() == 0
     assert rows_of(mixing.taken_words(odd)) == rows_of(mixing.taken_words(odd.repartition(5)))
-    _, slots = mixing.mix_sources(docs, shard_slots=64)
-    used = Counter((r["shard"], r["position"]) for r in slots.select("shard", "position").distinct().collect())
-    assert max(used.values()) == 1 and len(used) > 500
 
 
 def test_many_sources(spark):
@@ -162,6 +227,13 @@ def test_mixed_documents(docs, texts, odd, none):
     assert words == Counter({k: v for k, v in taken.items() if v})
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns
+    _, slots = mixing.mix_sources(docs)
+    first = {r["doc_id"]: (r["at"]["shard"], r["at"]["position"]) for r in slots.groupBy("doc_id").agg(F.min(F.struct("shard", "position")).alias("at")).collect()}
+    parts = mixing.mixed_documents(docs).withColumn("p", F.spark_partition_id()).collect()
+    by = defaultdict(list)
+    for r in parts:
+        by[r["p"]].append(first[r["doc_id"]])
+    assert all(p == sorted(p) for p in by.values())
     assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in mixing.taken_words(odd).collect())
     assert mixing.mixed_documents(none).count() == 0
 
