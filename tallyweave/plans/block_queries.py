@@ -185,10 +185,10 @@ def line_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_base' WHEN strlen(text) > 8000 THEN 'too_large' WHEN doc_id % 5 = 0 THEN 'binary' WHEN doc_id % 3 = 0 THEN 'not_text' ELSE 'ok' END AS verdict FROM base"""
 )
 def merge_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.encode("text", "UTF-8")
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")  # a null text is an empty file
     n = F.col("doc_id")
     local = F.when(n % 5 == 0, F.overlay(data, F.lit(bytearray(b"\0")), 1, 1)).otherwise(data)
-    remote = F.when((n % 3 == 0) & (F.octet_length(data) <= 7998), F.concat(data, F.lit(bytearray(b"\xff\xfe")))).otherwise(data)
+    remote = F.when(n % 3 == 0, F.overlay(data, F.lit(bytearray(b"\xff")), 1, 1)).otherwise(data)  # no longer, so at the limit too
     return view(spark, sf_dir, "base").select("doc_id", paths.merge_guard(F.when(n % 7 != 0, data), local, remote, max_bytes=8000).alias("verdict"))
 
 
