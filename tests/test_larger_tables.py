@@ -35,3 +35,45 @@ def test_guard_at_its_limit(spark, sf_dir, tmp_path):
     rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(t for t in texts for _ in range(105))]
     folder = made(spark, sf_dir, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert by_spark(spark, "merge_guard", folder) == by_sql("merge_guard", folder)
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def fires(spark, n):
+    rows = [(i, None if i % 2 else "t1", "v0", "sync.file_changed", i * 60, f"p{i}.md") for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, tenant_id string, vault_id string, event string, created_at long, payload string")
+
+
+def hooks_of(spark, n):
+    rows = [(i, None if i % 3 else "t1", "v0", f"https://h{i}", "s", True, '["sync.file_changed"]') for i in range(n)]
+    return spark.createDataFrame(rows, "hook_id long, tenant_id string, vault_id string, url string, secret string, enabled boolean, events_json string")
+
+
+def test_bodies_are_made_once_an_event(spark, monkeypatch):
+    monkeypatch.setattr(governance, "PAGE_HOOKS", 7)
+    sent = governance.webhook_fanout(fires(spark, 40), hooks_of(spark, 90))
+    got = sent.collect()
+    want = {(e, h) for e in range(40) for h in range(90) if (e % 2 != 0) == (h % 3 != 0)}
+    assert len(got) == len(want) and {(r["event_id"], r["hook_id"]) for r in got} == want
+    assert got[0]["body"].startswith('{"id":"evt_') and all(r["url"] == f"https://h{r['hook_id']}" for r in got)
+    lines = plan_of(sent)
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert not any("to_json" in line or "structstojson" in line for line in lines[:join])
+    assert any("RepartitionByExpression" in line and line.rstrip().endswith(", 8") for line in lines)  # all partitions stay
+
+
+def test_stream_keeps_matches_not_deliveries(spark, tmp_path):
+    from tallyweave.streaming import events
+
+    fires(spark, 40).write.parquet(str(tmp_path / "in"))
+    governance.webhook_pages(hooks_of(spark, 90)).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    stream = spark.readStream.schema(fires(spark, 1).schema).parquet(str(tmp_path / "in"))
+    sink = events.webhook_matches(stream, pages).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.count() == 40
+    key = lambda rows: sorted(map(tuple, rows.collect()))
+    assert key(governance.webhook_deliveries(kept, pages)) == key(governance.webhook_fanout(fires(spark, 40), hooks_of(spark, 90)).drop("body"))
