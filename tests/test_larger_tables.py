@@ -77,3 +77,20 @@ def test_stream_keeps_matches_not_deliveries(spark, tmp_path):
     assert kept.count() == 40
     key = lambda rows: sorted(map(tuple, rows.collect()))
     assert key(governance.webhook_deliveries(kept, pages)) == key(governance.webhook_fanout(fires(spark, 40), hooks_of(spark, 90)).drop("body"))
+
+
+def test_tenants_are_written_once(spark):
+    users = spark.createDataFrame([(1, "t1", 'a"@x'), (2, None, None), (3, "t9", "c"), (4, "t1", "d")], "user_id long, tenant_id string, email string")
+    billing = spark.createDataFrame([("t1", "pro"), (None, None)], "tenant_id string, plan_tier string")
+    vaults = spark.createDataFrame([(None, "v1", 5), ("t1", "v2", 6), ("t1", "v1", 7)], "tenant_id string, vault_id string, created_at long")
+    nodes = spark.createDataFrame([("t1", "n1", 1, False), ("t1", "n0", 2, True), ("t7", "n9", 3, False)], "tenant_id string, node_id string, registered_at long, revoked boolean")
+    out = governance.tenant_export(users, billing, vaults, nodes)
+    t1 = '"tenant":{"tenant_id":"t1","plan_tier":"pro","vaults":[{"vault_id":"v1","created_at":7},{"vault_id":"v2","created_at":6}],"devices":[{"node_id":"n1","registered_at":1}]}}'
+    assert {r["user_id"]: r["document"] for r in out.collect()} == {
+        1: '{"user":{"user_id":1,"email":"a\\"@x"},' + t1,
+        2: '{"user":{"user_id":2},"tenant":{"plan_tier":"free","vaults":[{"vault_id":"v1","created_at":5}],"devices":[]}}',
+        3: '{"user":{"user_id":3,"email":"c"},"tenant":{"tenant_id":"t9","plan_tier":"free","vaults":[],"devices":[]}}',
+        4: '{"user":{"user_id":4,"email":"d"},' + t1,
+    }
+    lines = plan_of(out)
+    assert not any("to_json" in line for line in lines[: next(i for i, line in enumerate(lines) if "Join" in line)])
