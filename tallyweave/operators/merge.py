@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from .keys import join_on
 
 #: Extensions that are merged; all others fork.
 MERGED = ("md", "txt")
+#: Characters of merged texts that a task holds before it hands them on.
+MERGE_HELD = 4_000_000
 
 
 def merge_bases(conflicts: DataFrame, baselines: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -64,19 +66,25 @@ def diff3(base: str, local: str, remote: str) -> tuple[str, bool]:
 def three_way_merge(conflicts: DataFrame) -> DataFrame:
     """``conflicts`` (path, base, local, remote: binary, and keys) with outcome (merged, conflicted, fork), reason and merged.
 
-    Guards run on the JVM; only rows that pass them reach the line merge. Edits of different places merge; edits that touch
-    are conflicted, and the text then holds both sides.
+    Guards run on the JVM; only rows that pass them reach the line merge, which takes row by row from Spark's batch and hands merged
+    texts on by MERGE_HELD. Edits of different places merge; edits that touch are conflicted, and the text then holds both sides.
     """
     listed = F.coalesce(extension(F.col("path")).isin(*MERGED), F.lit(False))
     rows = conflicts.withColumn("reason", F.when(~listed, "extension").otherwise(merge_guard(F.col("base"), F.col("local"), F.col("remote"))))
     names = conflicts.columns
     forked = rows.where("reason <> 'ok'").select(*names, F.lit("fork").alias("outcome"), "reason", F.lit(None).cast("string").alias("merged"))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            done = [diff3(*(bytes(x).decode() for x in three)) for three in zip(part["base"], part["local"], part["remote"], strict=True)]
-            yield part.assign(outcome=["merged" if ok else "conflicted" for _, ok in done], reason="ok", merged=[text for text, _ in done])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, out = 0, 0, []
+            for i, three in enumerate(zip(*(batch.column(c) for c in ("base", "local", "remote")), strict=True)):
+                out.append(diff3(*(x.as_py().decode() for x in three)))
+                held += len(out[-1][0])
+                if held >= MERGE_HELD or i + 1 == batch.num_rows:
+                    added = [["merged" if ok else "conflicted" for _, ok in out], ["ok"] * len(out), [text for text, _ in out]]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(out)).columns, *map(pa.array, added)], [*names, "outcome", "reason", "merged"])
+                    start, held, out = i + 1, 0, []
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in conflicts.schema)
-    merged = rows.where("reason = 'ok'").select(*names).mapInPandas(merge, f"{columns}, outcome string, reason string, merged string")
+    merged = rows.where("reason = 'ok'").select(*names).mapInArrow(merge, f"{columns}, outcome string, reason string, merged string")
     return forked.unionByName(merged)

@@ -5,7 +5,7 @@ import os
 import duckdb
 
 import __spark_entry__ as entry
-from tallyweave.operators import governance
+from tallyweave.operators import governance, merge
 
 
 def made(spark, sf_dir, tmp_path, **tables):
@@ -94,3 +94,16 @@ def test_tenants_are_written_once(spark):
     }
     lines = plan_of(out)
     assert not any("to_json" in line for line in lines[: next(i for i, line in enumerate(lines) if "Join" in line)])
+
+
+def test_merged_texts_are_handed_on_by_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(merge, "MERGE_HELD", 1000)
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda rows, f, schema, *a, **k: seen.append(f) or rows.selectExpr("*", "'' as outcome", "'' as reason", "'' as merged"))
+    rows = [("a.md", b"1\n", ("x" * n + "\n").encode(), b"1\n") for n in (10, 2000, 20, 30, 1500, 5)]
+    merge.three_way_merge(spark.createDataFrame(rows, "path string, base binary, local binary, remote binary"))
+    out = list(seen[0](iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "base", "local", "remote"])])))
+    assert [b.num_rows for b in out] == [2, 3, 1]
+    assert [m for b in out for m in b.column("merged").to_pylist()] == [r[2].decode() for r in rows]
