@@ -22,8 +22,11 @@ def merge_bases(conflicts: DataFrame, baselines: DataFrame, blobs: DataFrame) ->
     """``conflicts`` (tenant_id, node_id, vault_id, path, ...) with ``base``: the content of the live baseline, or null."""
     keys = ["tenant_id", "node_id", "vault_id", "path"]
     known = baselines.where("not deleted").select(*keys, F.col("content_hash").alias("__hash"))
-    rows = join_on(conflicts, known, keys).join(blobs.select(F.col("content_hash").alias("__hash"), F.col("data").alias("base")), "__hash", "left")
-    return rows.drop("__hash")
+    rows = join_on(conflicts, known, keys)
+    # Rows without a baseline have no hash to be dealt by: joined, they would all be one task's.
+    met = rows.where("__hash is not null").join(blobs.select(F.col("content_hash").alias("__hash"), F.col("data").alias("base")), "__hash", "left").drop("__hash")
+    lone = rows.where("__hash is null").drop("__hash")
+    return met.unionByName(lone.withColumn("base", F.lit(None).cast(met.schema["base"].dataType)))
 
 
 def diff3(base: str, local: str, remote: str) -> tuple[str, bool]:

@@ -107,3 +107,22 @@ def test_merged_texts_are_handed_on_by_size(spark, monkeypatch):
     out = list(seen[0](iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "base", "local", "remote"])])))
     assert [b.num_rows for b in out] == [2, 3, 1]
     assert [m for b in out for m in b.column("merged").to_pylist()] == [r[2].decode() for r in rows]
+
+
+def test_rows_without_a_baseline_are_not_one_tasks(spark):
+    conflicts = spark.createDataFrame([("t", "n", "v", f"p{i}") for i in range(400)], "tenant_id string, node_id string, vault_id string, path string").repartition(8)
+    baselines = spark.createDataFrame([("t", "n", "v", "p7", "h7", False), ("t", "n", "v", "p8", "h8", False)], "tenant_id string, node_id string, vault_id string, path string, content_hash string, deleted boolean")
+    blobs = spark.createDataFrame([("h7", b"seven")], "content_hash string, data binary")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("-1", "false"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        rows = merge.merge_bases(conflicts, baselines, blobs)
+        got = {r["path"]: r["base"] for r in rows.collect()}
+        sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert len(got) == 400 and {p: bytes(b) for p, b in got.items() if b is not None} == {"p7": b"seven"}
+    assert max(sizes) < 200
