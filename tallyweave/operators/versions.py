@@ -166,19 +166,28 @@ def restore_snapshot_plan(frozen: DataFrame, blobs: DataFrame, versions: DataFra
     return out.withColumn("source", source).withColumn("status", status).select(*frozen.columns, "status", "source")
 
 
+def _packed(hash_: Column) -> Column:
+    """A hash as bytes that are equal where hashes are: half as long where it is hexadecimal, for it to move in."""
+    data = F.unhex(hash_)
+    return F.when(F.lower(F.hex(data)) == hash_, F.concat(F.lit(bytearray(b"\0")), data)).otherwise(F.concat(F.lit(bytearray(b"\1")), F.encode(hash_, "UTF-8")))
+
+
 def restore_version_plan(requests: DataFrame, live: DataFrame, versions: DataFrame, blobs: DataFrame) -> DataFrame:
     """``requests`` (KEY, version_id) with status: invalid_id, already_current, not_found, blob_missing, content_equal, ok."""
-    out = join_on(requests, live.select(*KEY, F.col("version_id").alias("__now"), F.col("content_hash").alias("__hash")), KEY)
-    out = join_on(out, versions.select(*KEY, "version_id", F.col("content_hash").alias("__old")), [*KEY, "version_id"])
-    out = out.join(blobs.select(F.col("content_hash").alias("__old"), F.lit(True).alias("__blob")).distinct(), "__old", "left")
-    status = (
+    out = join_on(requests, versions.select(*KEY, "version_id", _packed(F.col("content_hash")).alias("__old")), [*KEY, "version_id"])
+    out = join_on(out, live.select(*KEY, F.col("version_id").alias("__now"), _packed(F.col("content_hash")).alias("__hash")), KEY)
+    known = (
         F.when(F.col("version_id") == 0, "invalid_id")
         .when(F.col("version_id") == F.col("__now"), "already_current")
         .when(F.col("__old").isNull(), "not_found")
-        .when(F.col("__blob").isNull(), "blob_missing")
-        .when(F.col("__old") == F.col("__hash"), "content_equal")
-        .otherwise("ok")
-    )
+    )
+    found = F.when(F.col("__old") == F.col("__hash"), "content_equal").otherwise("ok")
+    out = out.select(*requests.columns, known.alias("__known"), found.alias("__found"), F.when(known.isNull(), F.col("__old")).alias("__asked"))
+    # Of what is settled no hash is looked for: a number deals those rows out, or a null hash would make them one task's.
+    by = F.struct(F.col("__asked").alias("hash"), F.when(F.col("__asked").isNull(), F.xxhash64(*KEY, "version_id")).alias("number")).alias("__by")
+    have = blobs.select(F.struct(_packed(F.col("content_hash")).alias("hash"), F.lit(None).cast("long").alias("number")).alias("__by"), F.lit(True).alias("__blob")).distinct()
+    out = out.select(*requests.columns, "__known", "__found", by).join(have, "__by", "left")
+    status = F.coalesce("__known", F.when(F.col("__blob").isNull(), "blob_missing").otherwise(F.col("__found")))
     return out.select(*requests.columns, status.alias("status"))
 
 

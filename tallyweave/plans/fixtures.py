@@ -24,6 +24,8 @@ class Dialect:
     epoch: Callable[[str], str]
     micros: Callable[[str], str]
     json_int: Callable[[str, str], str]
+    #: Spark evaluates what stands beside a window before its exchange: hashes and names would be shuffled in place of the table's own columns.
+    inner_windows: bool = False
 
 
 def spark_dialect(sf_dir: str) -> Dialect:
@@ -36,6 +38,7 @@ def spark_dialect(sf_dir: str) -> Dialect:
         epoch=lambda x: f"timestampdiff(SECOND, {since}, {x})",
         micros=lambda x: f"timestampdiff(MICROSECOND, {since}, {x})",
         json_int=lambda x, k: f"CAST(get_json_object({x}, '$.{k}') AS BIGINT)",
+        inner_windows=True,
     )
 
 
@@ -62,6 +65,10 @@ def _views(d: Dialect) -> dict[str, str]:
             f"{ca} AS ca, {cb} AS cb, {presence} = 2 AS deleted, CASE WHEN {presence} = 2 THEN doc_id * 86400 END AS deleted_at, doc_id, {text} AS text FROM base WHERE {presence} > 0"
         )
 
+    version = "CAST(row_number() OVER (PARTITION BY l_suppkey % 10, l_suppkey % 3, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT)"
+    lines = "$lineitem"
+    if d.inner_windows:
+        lines, version = f"(SELECT *, {version} AS version_id FROM $lineitem) n", "version_id"
     moved = "(doc_id % 27 = 13 AND doc_id % 2 = 0)"
     return {
         "base": (
@@ -83,9 +90,8 @@ def _views(d: Dialect) -> dict[str, str]:
             f"CAST(conv_id AS STRING) AS path, turn AS seq, {d.sha('role')} AS content_hash, {d.size('text')} AS size, conv_id * 1000 + turn * 86400 AS created_at, turn % 6 = 5 AS deleted FROM $conversations"
         ),
         "history": (
-            f"SELECT 't' || CAST(l_suppkey % 10 AS STRING) AS tenant_id, 'v' || CAST(l_suppkey % 3 AS STRING) AS vault_id, CAST(l_partkey AS STRING) AS path, "
-            f"CAST(row_number() OVER (PARTITION BY l_suppkey % 10, l_suppkey % 3, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS version_id, "
-            f"{d.sha('CAST(l_orderkey AS STRING)')} AS content_hash, CAST(l_quantity AS BIGINT) AS size, {d.epoch('l_shipdate')} AS created_at FROM $lineitem"
+            f"SELECT 't' || CAST(l_suppkey % 10 AS STRING) AS tenant_id, 'v' || CAST(l_suppkey % 3 AS STRING) AS vault_id, CAST(l_partkey AS STRING) AS path, {version} AS version_id, "
+            f"{d.sha('CAST(l_orderkey AS STRING)')} AS content_hash, CAST(l_quantity AS BIGINT) AS size, {d.epoch('l_shipdate')} AS created_at FROM {lines}"
         ),
         "files": (
             f"SELECT CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE 't' || CAST(o_custkey % 50 AS STRING) END AS tenant_id, o_orderpriority AS vault_id, CAST(o_orderkey AS STRING) AS path, "

@@ -126,3 +126,26 @@ def test_rows_without_a_baseline_are_not_one_tasks(spark):
             spark.conf.set(n, v)
     assert len(got) == 400 and {p: bytes(b) for p, b in got.items() if b is not None} == {"p7": b"seven"}
     assert max(sizes) < 200
+
+
+def test_restore_plan_statuses_and_deals(spark):
+    from tallyweave.operators import versions
+
+    key = "tenant_id string, vault_id string, path string"
+    at = lambda n: (None, "v", f"p{n}")
+    asked = spark.createDataFrame([(*at(i), i) for i in range(8)], f"{key}, version_id long")
+    live = spark.createDataFrame([(*at(1), 1, "aa"), (*at(4), 9, "ab"), (*at(5), 9, "zz"), (*at(6), 9, "AB")], f"{key}, version_id long, content_hash string")
+    old = spark.createDataFrame([(*at(3), 3, "cd"), (*at(4), 4, "ab"), (*at(5), 5, "zz"), (*at(6), 6, "ab"), (*at(7), 7, "xyz"), (*at(1), 1, "aa")], f"{key}, version_id long, content_hash string")
+    blobs = spark.createDataFrame([("ab",), ("ab",), ("zz",), ("xyz",), ("CD",), (None,)], "content_hash string")
+    out = versions.restore_version_plan(asked, live, old, blobs)
+    want = ["invalid_id", "already_current", "not_found", "blob_missing", "content_equal", "content_equal", "ok", "ok"]
+    assert [r["status"] for r in sorted(out.collect(), key=lambda r: r["version_id"])] == want
+    assert any("number" in line and "Join" in line or "__by" in line for line in plan_of(out))
+
+
+def test_history_shuffles_columns_not_hashes(spark, sf_dir):
+    from tallyweave.plans.fixtures import view
+
+    lines = plan_of(view(spark, sf_dir, "history"))
+    window = next(i for i, line in enumerate(lines) if "Window [" in line)
+    assert not any("sha2" in line for line in lines[window:])
