@@ -22,6 +22,8 @@ BITS = 64
 SAMPLE, BUCKET_ROWS = 2048, 1024
 #: Texts and shingles of a group that one task compares; texts of a larger group that all its texts are compared with first.
 CELL_ROWS, CELL_SHINGLES, CENTRES = 2048, 2_000_000, 8
+#: Bits within which fingerprints of sets of shingles make texts candidates, by generalised pigeonhole partitions.
+CANDIDATE_BITS = 7
 #: MinHash values in a band, and the share of pairs right at the wanted similarity that may have no band in common.
 BAND_VALUES, MISSED = 4, 1e-6
 #: Cost of writing a probe and of comparing a pair, in like units, for choosing partitions.
@@ -459,11 +461,22 @@ def _large_group_links(big: DataFrame, similarity: float, shingle: int) -> DataF
     return links.unionByName(third.where("b is not null").select("a", "b"))
 
 
+def _print_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) among the nodes of ``classes`` (node, fp) whose fingerprints are equal or within CANDIDATE_BITS, as stars."""
+    prints = stored(classes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
+    # both sides come straight from tables, so a print of very many nodes is a skewed join that Spark splits
+    equal = classes.select("node", "fp").join(prints, "fp").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    links = stored(near_links(prints.select("fp"), CANDIDATE_BITS), "print-links")
+    ends = [prints.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in ("a", "b")]
+    return equal.unionByName(links.join(ends[0], "a").join(ends[1], "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
+
+
 def text_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text), fp and root for every row; rows of one root are linked by texts whose word
     shingles reach the Jaccard ``similarity``.
 
-    Texts that share a band of MinHash values and whose 128 fingerprint bits are near are candidates. Candidates' components
+    Texts whose fingerprints differ in CANDIDATE_BITS or fewer are candidates, found by ``near_links``; so are those farther apart in bits
+    that share a band of MinHash values and whose 128 fingerprint bits are near. Candidates' components
     are small and far apart, so each is then compared in full, whole sets of shingles, in one task; one of over CELL_ROWS
     texts or CELL_SHINGLES shingles is split into cells. Where many rows share a band, rows near to one of them in bits are
     linked to it, and only the others meet the whole band, in cells of BUCKET_ROWS.
@@ -483,7 +496,7 @@ def text_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     dealt = shared.join(far, "bucket", "left_semi").select("bucket", "node", "fp", "fq", "close", F.pmod(F.xxhash64("node"), cells).alias("home"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("salt"))
     dealt = dealt.where(~F.col("close") | (F.col("home") == F.col("salt"))).select("bucket", "salt", (F.col("home") != F.col("salt")).alias("probe"), "node", "fp", "fq")
     together = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "probe")
-    candidates = to_low.unionByName(together.mapInArrow(_bucket_links(["fp", "fq"], most), "a long, b long"))
+    candidates = _print_links(classes).unionByName(to_low).unionByName(together.mapInArrow(_bucket_links(["fp", "fq"], most), "a long, b long"))
     groups = stored(connected_components(_in_order(candidates)), "candidates")
     picked = classes.select("node", "n", "shown.doc_id", "shown.text_hash").join(groups, "node")
     sizes = picked.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL_ROWS, F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
