@@ -551,9 +551,9 @@ def revision_bump(writes: DataFrame, keys: Sequence[str], order: Sequence[str],
         whose.append("__segment")
         rows = in_segments(rows.withColumn("__from", F.coalesce("__from", F.lit(0))), order[0], segments)
         steps = revision_steps(rows, keys, order)
-        # A segment starts from where its key stood or from where an earlier segment led.
-        starts = steps.select(*keys, F.coalesce("__to", "__from").alias("__at")).distinct()
-        able = steps.where("__at is null").unionByName(join_on(steps.where("__at is not null"), starts, [*keys, "__at"], "left_semi"))
+        # A segment starts from where its key stood or from where an earlier segment led; the null is for the rows without an ``__at``.
+        starts = steps.select(*keys, F.explode(F.array(F.coalesce("__to", "__from"), F.lit(None))).alias("__at")).distinct()
+        able = join_on(steps, starts, [*keys, "__at"], "left_semi")
         begun = judged_in_order(able, keys, ["__segment", "__at"], ["__at", "__to", "__from"], "__start long", lambda row: [row[2]] * 2, lambda part, now: carried((r[:2] for r in part), now))
         begun = begun.where("__at is null").select(*whose, "__start")
         rows = join_on(rows, begun, whose).withColumn("__from", F.col("__start")).drop("__start")

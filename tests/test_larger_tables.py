@@ -149,3 +149,11 @@ def test_history_shuffles_columns_not_hashes(spark, sf_dir):
     lines = plan_of(view(spark, sf_dir, "history"))
     window = next(i for i, line in enumerate(lines) if "Window [" in line)
     assert not any("sha2" in line for line in lines[window:])
+
+
+def test_steps_are_made_twice_at_most(spark):
+    """Once for where segments lead, once for the rows that are carried on; the judging of starts and of writes comes on top."""
+    writes = spark.createDataFrame([(f"k{i % 3}", i, i % 4 if i % 7 else None) for i in range(60)], "path string, event_id long, expected long")
+    one, four = (governance.revision_bump(writes, ["path"], ["event_id"], None, n) for n in (1, 4))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, four.collect()), key=repr)
+    assert sum("MapInArrow" in line for line in plan_of(four)) <= 4
