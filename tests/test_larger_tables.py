@@ -5,7 +5,7 @@ import os
 import duckdb
 
 import __spark_entry__ as entry
-from tallyweave.operators import governance, merge
+from tallyweave.operators import governance, keys, merge
 
 
 def made(spark, sf_dir, tmp_path, **tables):
@@ -79,6 +79,47 @@ def test_stream_keeps_matches_not_deliveries(spark, tmp_path):
     assert key(governance.webhook_deliveries(kept, pages)) == key(governance.webhook_fanout(fires(spark, 40), hooks_of(spark, 90)).drop("body"))
 
 
+def bytes_a_row(rows, folder):
+    rows.write.parquet(folder)
+    return sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".parquet")) / rows.sparkSession.read.parquet(folder).count()
+
+
+def many(spark, events, hooks):
+    fired = spark.range(events).selectExpr("id as event_id", "if(id % 2 = 0, 't1', null) as tenant_id", "'v0' as vault_id", "'sync.file_changed' as event", "id * 60 as created_at", "concat('p', id, '.md') as payload")
+    listed = spark.range(hooks).selectExpr("id as hook_id", "if(id % 3 = 0, 't1', null) as tenant_id", "'v0' as vault_id", "concat('https://h', id) as url", "'s' as secret", "true as enabled", """'["sync.file_changed"]' as events_json""")
+    return fired, listed
+
+
+def test_deliveries_repeat_near_each_other(spark, tmp_path):
+    """3.6 million of them; laid out an event at a time, hooks alone took 1.4 bytes each."""
+    sent = governance.webhook_fanout(*many(spark, 600, 12_000))
+    assert bytes_a_row(sent, str(tmp_path / "sent")) < 0.6
+    kept = spark.read.parquet(str(tmp_path / "sent"))
+    assert kept.count() == kept.select("event_id", "hook_id").distinct().count() == 300 * 4000 + 300 * 8000
+    assert kept.where("(event_id % 2 = 0) <> (hook_id % 3 = 0) or url <> concat('https://h', hook_id) or get_json_object(body, '$.id') <> concat('evt_', event_id)").count() == 0
+
+
+def test_strips_lose_nothing(spark, monkeypatch):
+    """Lists that are no multiple of a strip, a block or a page, and more tasks than the session's."""
+    for name, n in (("STRIP", 4), ("TASK_ROWS", 50)):
+        monkeypatch.setattr(keys, name, n)
+    for name, n in (("PAGE_HOOKS", 7), ("BLOCK_EVENTS", 3)):
+        monkeypatch.setattr(governance, name, n)
+    sent = governance.webhook_fanout(fires(spark, 41), hooks_of(spark, 90))
+    got = [(r["event_id"], r["hook_id"]) for r in sent.collect()]
+    assert sorted(got) == [(e, h) for e in range(41) for h in range(90) if (e % 2 != 0) == (h % 3 != 0)]
+    assert any("RepartitionByExpression" in line and line.rstrip().endswith(", 37") for line in plan_of(sent))  # 1,830 deliveries, 50 a task
+    assert governance.webhook_fanout(fires(spark, 41), hooks_of(spark, 0)).count() == 0
+
+
+def test_fan_out_keeps_its_partitions(spark):
+    """Also where a key may be null on one side only."""
+    rows = spark.range(64).selectExpr("id", "substr(concat('k', id), 1, 1) as k")
+    few = spark.range(2).selectExpr("if(id = 0, 'k', null) as k", "id as few")
+    out = keys.fan_out(rows, few.hint("merge"), ["k"], "id")
+    assert out.rdd.getNumPartitions() == 8 and out.count() == 64
+
+
 def test_tenants_are_written_once(spark):
     users = spark.createDataFrame([(1, "t1", 'a"@x'), (2, None, None), (3, "t9", "c"), (4, "t1", "d")], "user_id long, tenant_id string, email string")
     billing = spark.createDataFrame([("t1", "pro"), (None, None)], "tenant_id string, plan_tier string")
