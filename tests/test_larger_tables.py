@@ -93,12 +93,25 @@ def many(spark, events, hooks):
 def test_deliveries_repeat_near_each_other(spark, tmp_path):
     """3.6 million of them; laid out an event at a time, hooks alone took 1.4 bytes each."""
     sent = governance.webhook_fanout(*many(spark, 600, 12_000))
-    assert bytes_a_row(sent, str(tmp_path / "sent")) < 0.6
+    assert sent.rdd.getNumPartitions() == 8 and bytes_a_row(sent, str(tmp_path / "sent")) < 0.6
     kept = spark.read.parquet(str(tmp_path / "sent"))
     assert kept.count() == kept.select("event_id", "hook_id").distinct().count() == 300 * 4000 + 300 * 8000
     assert kept.where("(event_id % 2 = 0) <> (hook_id % 3 = 0) or url <> concat('https://h', hook_id) or get_json_object(body, '$.id') <> concat('evt_', event_id)").count() == 0
 
 
+def test_read_deliveries_repeat_near_each_other(spark, tmp_path):
+    """What a stream has matched, as it is read; laid out an event at a time, hooks alone took over a byte each."""
+    from tallyweave.streaming import events
+
+    fired, hooks = many(spark, 600, 12_000)
+    pages = governance.webhook_pages(hooks)
+    sent = governance.webhook_deliveries(events.webhook_matches(fired, pages), pages)
+    assert sent.rdd.getNumPartitions() == 8 and bytes_a_row(sent, str(tmp_path / "sent")) < 0.6
+    kept = spark.read.parquet(str(tmp_path / "sent"))
+    assert kept.count() == kept.select("event_id", "hook_id").distinct().count() == 300 * 4000 + 300 * 8000
+    assert kept.where("(event_id % 2 = 0) <> (hook_id % 3 = 0) or url <> concat('https://h', hook_id)").count() == 0
+
+
 def test_strips_lose_nothing(spark, monkeypatch):
     """Lists that are no multiple of a strip, a block or a page, and more tasks than the session's."""
     for name, n in (("STRIP", 4), ("TASK_ROWS", 50)):
