@@ -150,6 +150,16 @@ def test_tenants_are_written_once(spark):
     assert not any("to_json" in line for line in lines[: next(i for i, line in enumerate(lines) if "Join" in line)])
 
 
+def test_small_tables_of_users_are_not_sent_to_one_task(spark, sf_dir, tmp_path):
+    """180,000 users whose file is small: their documents were one task's work."""
+    users = spark.range(180_000).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey", "'Customer' as c_name", "0.0d as c_acctbal", "'BUILDING' as c_mktsegment")
+    folder = made(spark, sf_dir, tmp_path, customer=users)
+    out = entry.queries()["tenant_export"](spark, folder)
+    assert out.rdd.getNumPartitions() == 8
+    sizes = out.select("user_id").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 180_000 and max(sizes) < 45_000
+
+
 def test_merged_texts_are_handed_on_by_size(spark, monkeypatch):
     import pyarrow as pa
 
